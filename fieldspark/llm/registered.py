@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lsa, packing, ppm, simhash
+from . import bpe, lsa, packing, ppm, secrets, simhash
 from .common import remainder
 
 
@@ -37,6 +37,16 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.learn(docs))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,6 +57,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_ppm_language": op4_ppm_language,
     "op5_best_two_fit": op5_best_two_fit,
+    "op7_markov_secrets": op7_markov_secrets,
     "op9_simhash": op9_simhash,
 }
 
