@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lsa, packing, ppm, secrets, simhash
+from . import bpe, linkgraph, lsa, packing, ppm, secrets, simhash
 from .common import remainder
 
 
@@ -52,6 +52,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Verdict, host and path of the rules for urls.
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return linkgraph.verdicts(pages, linkgraph.rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_lsa_quality": op1_lsa_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -59,6 +68,9 @@ QUERIES = {
     "op5_best_two_fit": op5_best_two_fit,
     "op7_markov_secrets": op7_markov_secrets,
     "op9_simhash": op9_simhash,
+    "op10_link_graph": op10_link_graph,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_link_graph": linkgraph.oracle(RULES),
+}
