@@ -36,30 +36,58 @@ class WordEncoder:
     """Ids of whole texts as little-endian bytes, by a tokenizer that drops white space.
 
     Such a tokenizer never joins what a space parts, so spaces cut a text into
-    chunks that are encoded once and kept in bounded caches.
+    chunks. Chunks and the words in them are kept in bounded caches, and new
+    words of plain letters, which are one unit each, are encoded many at a time.
     """
 
-    def __init__(self, path: str, chunks: int = 150_000, words: int = 300_000):
+    def __init__(self, path: str, chunks: int = 150_000, words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words = Memo(self._word, words)
         self.chunks = Memo(self._chunk, chunks)
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _word(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(word).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, str]:
+        """A word and the punctuation after it."""
         core = chunk.rstrip(TAIL)
         if core and core[-1].isalpha():
-            tail = chunk[len(core) :]
-            core = core.lower() if core.isascii() else core
-            return self.words[core] + (self.words[tail] if tail else b"")
-        return self.words[chunk]
+            return core.lower() if core.isascii() else core, chunk[len(core) :]
+        return chunk, ""
+
+    def _chunk(self, chunk: str) -> bytes:
+        core, tail = self._parts(chunk)
+        return self.words[core] + (self.words[tail] if tail else b"")
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes the new chunks' words of plain Latin letters together."""
+        words = [w for w in {self._parts(c)[0] for c in new} if w.isalpha() and max(w) <= "\xff" and w not in self.words]
+        if len(self.words) + len(words) > self.words.bound:
+            self.words.clear()
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = self._ids(" ".join(some))
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(some, (data[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        self._learn({c for chunks in cut for c in chunks if c not in self.chunks})
+        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in cut]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -79,8 +107,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, id_co
     def block(batch: pa.RecordBatch) -> list:
         encoder, end = word_encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         owner, number, start, length, crc, ids = [], [], [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            data = (encoder.encode(text) if text else b"") + end
+        for i, data in enumerate(encoder.encode_all(batch.column(1).to_pylist())):
+            data += end
             for k, at in enumerate(range(0, len(data), 4 * sequence)):
                 cut = data[at : at + 4 * sequence]
                 owner.append(i), number.append(k), start.append(at // 4), length.append(len(cut) // 4)
