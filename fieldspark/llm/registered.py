@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linkgraph, lsa, packing, ppm, secrets, simhash
+from . import aq, bpe, linkgraph, lsa, neargraph, packing, ppm, secrets, simhash
 from .common import remainder
 
 
@@ -37,6 +37,10 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_near_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.learn(docs))
@@ -47,6 +51,10 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op8_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aq.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,11 +74,25 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_ppm_language": op4_ppm_language,
     "op5_best_two_fit": op5_best_two_fit,
+    "op6_near_graph": op6_near_graph,
     "op7_markov_secrets": op7_markov_secrets,
+    "op8_additive": op8_additive,
     "op9_simhash": op9_simhash,
     "op10_link_graph": op10_link_graph,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_near_graph": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id""",
     "op10_link_graph": linkgraph.oracle(RULES),
 }
