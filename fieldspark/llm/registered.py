@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import aq, bpe, linkgraph, lsa, neargraph, packing, ppm, secrets, simhash
+from . import aq, attention, bpe, linkgraph, lsa, neargraph, packing, ppm, secrets, simhash
 from .common import remainder
 
 
@@ -26,6 +26,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = attention.fit(docs, remainder("doc_id", 5) != 1, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = attention.score(docs, model, counts)
+    return found.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trees = ppm.learn(docs, remainder("doc_id", 4) != 2)
@@ -72,6 +79,7 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lsa_quality": op1_lsa_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_attention": op3_attention,
     "op4_ppm_language": op4_ppm_language,
     "op5_best_two_fit": op5_best_two_fit,
     "op6_near_graph": op6_near_graph,
