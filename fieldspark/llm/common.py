@@ -66,6 +66,18 @@ def map_blocks(df: DataFrame, text_column: int, schema: str, block: Callable[[pa
     return df.mapInArrow(run, schema)
 
 
+def filter_blocks(df: DataFrame, text_column: str, keep: Callable[[list], object]) -> DataFrame:
+    """The rows for whose texts (a list of bytes or None) `keep` returns true; all columns stay."""
+    place = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, place):
+                yield part.filter(pa.array(keep(part.column(place).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Memo(dict):
     """A bounded cache: filled by `make`, emptied when full."""
 

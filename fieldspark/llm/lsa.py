@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_blocks
+from .common import filter_blocks, map_blocks
 
 WORDS = 1536
 SHAPES = 512
@@ -165,3 +165,9 @@ def score(docs: DataFrame, voters: Voters, id_column: str = "doc_id", text_colum
         return [batch.column(0), *(batch.column(2 + k) for k in range(len(keep))), model.value.scores(texts)]
 
     return map_blocks(docs.select(id_column, text_column, *keep), 1, schema, block)
+
+
+def accepted(docs: DataFrame, voters: Voters, least: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of docs whose whole texts score `least` or more, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(voters)
+    return filter_blocks(docs, text_column, lambda texts: model.value.scores([t or b"" for t in texts]) >= least)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_blocks
+from .common import filter_blocks, map_blocks
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -143,25 +143,38 @@ def learn(docs: DataFrame, usable: Column, text_column: str = "text", lang_colum
     return ContextTrees(samples)
 
 
-def predict(docs: DataFrame, trees: ContextTrees, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, lang_pred, score) of every whole text."""
+def judge(trees: ContextTrees, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
+    names, scores = ["und"] * len(texts), np.zeros(len(texts))
+    if trees.languages and lettered.any():
+        rows = np.flatnonzero(lettered)
+        bits = trees.code_lengths([fold(texts[i]) for i in rows])
+        best = bits.argmin(1)
+        odds = np.exp2((bits.min(1, keepdims=True) - bits) / SOFT_BITS)
+        scores[rows] = 1.0 / odds.sum(1)
+        for i, k in zip(rows, best):
+            names[i] = trees.languages[k]
+    return names, scores
+
+
+def predict(docs: DataFrame, trees: ContextTrees, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every whole text."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    columns = [id_column, text_column, *keep]
-    schema = ", ".join([f"doc_id {docs.schema[id_column].dataType.simpleString()}", *(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "lang_pred string", "score double"])
+    kind = docs.schema[id_column].dataType.simpleString()
 
     def block(batch: pa.RecordBatch) -> list:
-        own = model.value
-        texts = batch.column(1).to_pylist()
-        lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
-        names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        if own.languages and lettered.any():
-            rows = np.flatnonzero(lettered)
-            bits = own.code_lengths([fold(texts[i]) for i in rows])
-            best = bits.argmin(1)
-            odds = np.exp2((bits.min(1, keepdims=True) - bits) / SOFT_BITS)
-            scores[rows] = 1.0 / odds.sum(1)
-            for i, k in zip(rows, best):
-                names[i] = own.languages[k]
-        return [batch.column(0), *(batch.column(2 + k) for k in range(len(keep))), names, scores]
-
-    return map_blocks(docs.select(*columns), 1, schema, block)
+        return [batch.column(0), *judge(model.value, batch.column(1).to_pylist())]
+
+    return map_blocks(docs.select(id_column, text_column), 1, f"doc_id {kind}, lang_pred string, score double", block)
+
+
+def accepted(docs: DataFrame, trees: ContextTrees, least: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of docs in a learned language, with a score of `least` or more, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def keep(texts: list) -> list[bool]:
+        names, scores = judge(model.value, [t.decode() if t else None for t in texts])
+        return [name != "und" and score >= least for name, score in zip(names, scores)]
+
+    return filter_blocks(docs, text_column, keep)

@@ -48,24 +48,33 @@ BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitor
 PLACES = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(data: bytes, width: int) -> int:
-    """SimHash of the A-Z-lowered words of UTF-8 bytes in shingles of `width`."""
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles of the A-Z-lowered words of UTF-8 bytes, repeats included."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     text = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(width, len(words))
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[a:b], 42) for a, b in zip(starts, ends)], "<u8")
+    return np.array([digest(text[a:b], 42) for a, b in zip(starts, ends)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     places = hashes.view(np.uint8).reshape(-1, 8) + PLACES
     counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256)
     ones = (counts @ BYTE_BITS).ravel()
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(data: bytes, width: int) -> int:
+    """SimHash of a text in shingles of `width` words; zero for no words."""
+    return majority(shingle_hashes(data, width))
+
+
 def fingerprints(docs: DataFrame, width: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
     kind = docs.schema[id_column].dataType.simpleString()
@@ -224,6 +233,86 @@ def links(classes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataF
     return dealt.repartition(wanted, "seg", "val", "sub", "subval").select("fp", "seg").mapInArrow(find, "fp long, other long").distinct()
 
 
+#: A long signature: this many fingerprints of the same shingles, hashed on with these odd numbers.
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+SIMILAR = 0.8
+#: Shingle counts are banded by this factor; twice it passes 1 / SIMILAR.
+BAND = 1.12
+TILE = 8_192
+
+
+def signature(data: bytes, width: int) -> tuple[list[int], int]:
+    """Four fingerprints with independent bits, and the number of shingles."""
+    hashes = shingle_hashes(data, width)
+    out = []
+    for m in MIXERS:
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * m
+        out.append(majority(np.ascontiguousarray(mixed ^ (mixed >> np.uint64(32)))))
+    return out, len(hashes)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, row, representative): groups of texts whose 256 signature bits agree in a share of `similar`.
+
+    Fingerprints of 64 bits can't tell a similarity of 0.8 from chance among
+    many texts, and at that distance no segment of theirs need agree; so the
+    signatures are four times as long and are compared block by block, with
+    those texts whose shingle counts allow the similarity. `row` numbers the
+    rows of docs, `representative` is the row that stays: the smallest of its
+    group by id, then row.
+    """
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def block(batch: pa.RecordBatch) -> list:
+        found = [signature(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        bits = np.array([f[0] for f in found], np.uint64).reshape(-1, 4).view(np.int64)
+        return [batch.column(0), batch.column(2), *bits.T, np.array([f[1] for f in found], np.int64)]
+
+    spark = docs.sparkSession
+    signed = written(map_blocks(docs.select(id_column, text_column, "row"), 1, f"doc_id {kind}, row long, s0 long, s1 long, s2 long, s3 long, shingles long", block), "signatures")
+    key = ["s0", "s1", "s2", "s3", "shingles"]
+    classes = signed.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first.row"))
+    classes = written(classes.withColumn("band", F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("int")), "signed-classes")
+    tiles = classes.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    own = classes.join(tiles, "band").select("node", *key[:4], "band", "tiles")
+    least = int(256 * (1 - similar))
+    reach = [F.lit(k) for k in range(3)]
+
+    def side(rows: DataFrame, other: str, mine: str) -> DataFrame:
+        """Each row in a tile of its own, once for every tile of the other side."""
+        return rows.withColumn(mine, F.pmod(F.xxhash64("node"), F.col("own_tiles")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
+
+    # A text meets those of its own band and of the two below it.
+    asked = own.withColumnRenamed("tiles", "own_tiles").withColumn("meets", F.explode(F.array(*[F.col("band") - r for r in reach])))
+    pairs = tiles.select(F.col("band").alias("meets"), F.col("tiles").alias("other_tiles"))
+    asked = side(asked.join(pairs, "meets"), "tile", "ask").select("node", *key[:4], "band", "meets", "tile", "ask")
+    upper = tiles.select(F.col("band").alias("asker"), F.col("tiles").alias("other_tiles"))
+    there = own.select(*[F.col(c).alias(c) for c in own.columns]).withColumnRenamed("tiles", "own_tiles").withColumn("asker", F.explode(F.array(*[F.col("band") + r for r in reach])))
+    there = side(there.join(upper, "asker"), "ask", "tile").select("node", *key[:4], F.col("asker").alias("band"), F.col("band").alias("meets"), "tile", "ask")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (np.stack([t.column(c).to_numpy() for c in key[:4]], 1).view(np.uint64) if t.num_rows else np.zeros((0, 4), np.uint64) for t in (left, right))
+        nodes = np.concatenate([left.column("node").to_numpy(), right.column("node").to_numpy()])
+        names, place = np.unique(nodes, return_inverse=True)
+        parent = np.arange(len(names))
+        for at in range(0, len(a), 128):
+            apart = np.zeros((len(a[at : at + 128]), len(b)), np.uint16)
+            for w in range(4):
+                apart += np.bitwise_count(a[at : at + 128, w, None] ^ b[None, :, w])
+            i, j = np.nonzero(apart <= least)
+            unite(parent, place[i + at], place[len(a) + j])
+        tied = np.flatnonzero(parent != np.arange(len(names)))
+        return pa.table([pa.array(names[tied]), pa.array(names[parent[tied]])], names=["node", "other"])
+
+    grid = ["band", "meets", "tile", "ask"]
+    edges = asked.groupBy(*grid).cogroup(there.groupBy(*grid)).applyInArrow(compare, "node long, other long").distinct()
+    joined = components(edges)
+    named = classes.select(*key, "first", "n", "node").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    sizes = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members"))
+    labels = written(lookup(named.select("root", "node", "n", F.sha2(F.concat_ws(",", *key), 256).alias("key")), sizes, "root", "members").select("key", F.col("least.row").alias("representative"), "n"), "representatives")
+    return lookup(signed.select("doc_id", "row", F.sha2(F.concat_ws(",", *key), 256).alias("key")), labels, "key", "n").select("doc_id", "row", "representative")
+
+
 def near_duplicates(docs: DataFrame, width: int, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id that links reach."""
     found = written(fingerprints(docs, width, id_column, text_column), "fingerprints")
