@@ -33,29 +33,33 @@ def nearest_segment(px: Column, pz: Column, line: Sequence[tuple[float, float, f
 
 def nearest_features(cx: Column, cy: Column, px: Column, py: Column, salt: int, period: int) -> Column:
     """Ascending squared distances (in cells) to the hashed feature points of the 3 x 3 cells around, periodic."""
-    found = []
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            h = pcg2d(F.pmod(cx + dx, F.lit(period)), F.pmod(cy + dy, F.lit(period)), salt)
-            ex, ey = cx + dx + h["u"] / 16777216.0 - px, cy + dy + h["v"] / 16777216.0 - py
-            found.append(ex * ex + ey * ey)
-    return F.array_sort(F.array(*found))
+    start = F.struct(cx.alias("cx"), cy.alias("cy"), px.alias("px"), py.alias("py"))
+
+    def squared(s: Column, k: Column) -> Column:
+        nx, ny = s["cx"] + k % 3 - 1, s["cy"] + F.floor(k / 3) - 1
+        hashed = pcg2d(F.pmod(nx, F.lit(period)), F.pmod(ny, F.lit(period)), salt)
+        return F.element_at(F.transform(F.array(hashed), lambda h: F.pow(nx + h["u"] / 16777216.0 - s["px"], 2) + F.pow(ny + h["v"] / 16777216.0 - s["py"], 2)), 1)
+
+    return F.element_at(F.transform(F.array(start), lambda s: F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: squared(s, k)))), 1)
 
 
 def clump(px: Column, py: Column, salt: int) -> Column:
     """Greatest kernel of the hashed parents in the 3 x 3 parent cells around."""
-    bx, by = F.floor(px / PARENT_CELL), F.floor(py / PARENT_CELL)
-    kernels = []
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            cx, cy = bx + dx + PARENT_BIAS, by + dy + PARENT_BIAS
-            h = pcg2d(cx, cy, salt)
+    start = F.struct(px.alias("px"), py.alias("py"), F.floor(px / PARENT_CELL).alias("bx"), F.floor(py / PARENT_CELL).alias("by"))
+
+    def kernel(s: Column, k: Column) -> Column:
+        cx, cy = s["bx"] + k % 3 - 1 + PARENT_BIAS, s["by"] + F.floor(k / 3) - 1 + PARENT_BIAS
+
+        def near(h: Column) -> Column:
             u, v = h["u"] / 16777216.0, h["v"] / 16777216.0
-            ex, ey = px - (cx - PARENT_BIAS + 0.15 + u * 0.7) * PARENT_CELL, py - (cy - PARENT_BIAS + 0.15 + v * 0.7) * PARENT_CELL
+            ex, ey = s["px"] - (cx - PARENT_BIAS + 0.15 + u * 0.7) * PARENT_CELL, s["py"] - (cy - PARENT_BIAS + 0.15 + v * 0.7) * PARENT_CELL
             r = PARENT_CELL * (u * 0.55 + 0.5)
-            kernel = 1.0 - smoothstep(r * 0.22, r, F.sqrt(ex * ex + ey * ey))
-            kernels.append(F.when(cell_hash(cx, cy, salt ^ 0x9E3779) < PARENT_PROB, kernel).otherwise(0.0))
-    return F.greatest(*kernels, F.lit(0.0))
+            return 1.0 - smoothstep(r * 0.22, r, F.sqrt(ex * ex + ey * ey))
+
+        there = cell_hash(cx, cy, salt ^ 0x9E3779) < PARENT_PROB
+        return F.when(there, F.element_at(F.transform(F.array(pcg2d(cx, cy, salt)), near), 1)).otherwise(0.0)
+
+    return F.element_at(F.transform(F.array(start), lambda s: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: kernel(s, k)))), 1)
 
 
 def halfspaces(coordinates: Sequence[Column], planes: Sequence[Sequence[float]], radius: Column) -> Column:

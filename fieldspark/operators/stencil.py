@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = Window.partitionBy("y").orderBy("x")
-COLUMNS = Window.partitionBy("x").orderBy("y")
+
+def along(axis: str):
+    """The window of a cell's row (x) or column (y)."""
+    return Window.partitionBy("y").orderBy("x") if axis == "x" else Window.partitionBy("x").orderBy("y")
 
 
 def shift(value: str | Column, by: int, axis: str) -> Column:
     """The value `by` cells on; beyond an edge the edge's own value."""
     value = F.col(value) if isinstance(value, str) else value
-    window = ROWS if axis == "x" else COLUMNS
+    window = along(axis)
     if not by:
         return value
     moved = F.lead(value, by).over(window) if by > 0 else F.lag(value, -by).over(window)

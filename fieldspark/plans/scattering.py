@@ -112,9 +112,10 @@ def noise_value_fbm(spark, sf_dir):
 def noise_ridged_warp(spark, sf_dir):
     """N-3, N-4: ridged noise and a warped place, on a lattice."""
     i = F.col("id")
-    p = spark.range(400).select(i.alias("i"), ((i % 20) * 0.31).alias("x"), (F.floor(i / 20) * 0.27).alias("y"))
+    p = spark.range(400).select(i.alias("i"), ((i % 20) * 0.31).alias("x"), (F.floor(i / 20) * 0.27).alias("y"), F.lit(0.5).alias("z"))
     base = lambda x, y, z: noise.value_noise3(x, y, z, F.lit(9))
-    return p.select("i", F.round(noise.ridged3(F.col("x"), F.col("y"), F.lit(0.5), 3, octaves=2), 5).alias("ridged"), F.round(noise.warped(base, F.col("x"), F.col("y"), F.lit(0.25), 0.4), 5).alias("warped"))
+    found = noise.warped(p, base, "x", "y", "z", 0.4, "warped")
+    return found.select("i", F.round(noise.ridged3(F.col("x"), F.col("y"), F.col("z"), 3, octaves=1), 5).alias("ridged"), F.round("warped", 5).alias("warped"))
 
 
 @query(
@@ -134,7 +135,7 @@ def parse_pose_rows(spark, sf_dir):
 @query(
     "q_case_biome",
     f"""WITH b AS (SELECT p_partkey, CASE WHEN p_retailprice > 1800 THEN 0 WHEN p_retailprice > 1650 THEN 1 WHEN p_size > 36 AND p_retailprice < 1300 THEN 5 WHEN p_partkey % 7 > 3 THEN 3 WHEN p_size < 20 THEN 4 ELSE 2 END AS biome FROM part)
-SELECT p_partkey, biome, {_case('biome', (0.0, 0.22, 0.8, 0.85, 0.06, 0.26))} AS density FROM b""",
+SELECT p_partkey, biome, ({_case('biome', (0.0, 0.22, 0.8, 0.85, 0.06, 0.26))})::DOUBLE AS density FROM b""",
 )
 def case_biome(spark, sf_dir):
     """P-6, P-7: a decision tree in priority order, then a lookup by a small id."""
