@@ -1 +1,78 @@
-"""."""
+"""Recursive subdivision, growth, greedy picks and iterative solvers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import recursive, solvers, spatial
+from ..session import table
+from .grids import hills
+from .registry import query
+
+_TILES = """WITH RECURSIVE cam AS (SELECT s_suppkey AS camera, (s_suppkey * 37 % 4096 - 2048)::DOUBLE AS cx, (s_nationkey * 160 - 2048)::DOUBLE AS cz FROM supplier WHERE s_suppkey <= 20),
+t AS (SELECT camera, cx, cz, 0::DOUBLE AS ox, 0::DOUBLE AS oz, 4096::DOUBLE AS size, 0 AS lod FROM cam
+UNION ALL SELECT camera, cx, cz, ox + sx * size / 4, oz + sz * size / 4, size / 2, lod + 1 FROM t, (VALUES (-1, -1), (1, -1), (-1, 1), (1, 1)) v(sx, sz)
+WHERE size > 128 AND sqrt(power(greatest(abs(cx - ox) - size / 2, 0), 2) + power(greatest(abs(cz - oz) - size / 2, 0), 2)) < size * 2.1)
+SELECT camera, ox, oz, size, lod FROM t WHERE NOT (size > 128 AND sqrt(power(greatest(abs(cx - ox) - size / 2, 0), 2) + power(greatest(abs(cz - oz) - size / 2, 0), 2)) < size * 2.1)"""
+
+
+@query("q_quadtree", _TILES)
+def quadtree(spark, sf_dir):
+    """G-13, O-7: a table function per camera, under a cap."""
+    s = F.col("s_suppkey")
+    cameras = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(s.alias("camera"), (s * 37 % 4096 - 2048).cast("double").alias("cx"), (F.col("s_nationkey") * 160 - 2048).cast("double").alias("cz"))
+    return recursive.quadtree(cameras)
+
+
+@query("q_icosphere_counts", "SELECT d AS level, (10 * power(4, d) + 2)::BIGINT AS vertices, (30 * power(4, d))::BIGINT AS edges, (20 * power(4, d))::BIGINT AS faces FROM range(4) t(d)")
+def icosphere_counts(spark, sf_dir):
+    """G-14: subdivision with merged midpoints."""
+    return recursive.icosphere_counts(spark, 3).withColumn("level", F.col("level").cast("long"))
+
+
+@query("q_growth")
+def growth(spark, sf_dir):
+    """G-12: a seeded grammar for every nation; each plant has 1 + 3 + 9 + 27 branches."""
+    seeds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("plant"), (F.col("n_nationkey") * 7919 + 1).alias("seed"))
+    found = recursive.growth(seeds)
+    return found.groupBy("plant", "level").agg(F.count("*").alias("branches"), F.round(F.max("y"), 6).alias("top"), F.round(F.sum("length"), 6).alias("length"))
+
+
+@query("q_greedy_thin")
+def greedy_thin(spark, sf_dir):
+    """O-4: six customers far apart, taken greedily by balance."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 101 * 10).cast("double").alias("x"), (F.col("c_nationkey") * 40).cast("double").alias("z"))
+    return spatial.greedy_thin(rows, "x", "z", [F.desc("c_acctbal"), "c_custkey"], 400.0, 6)
+
+
+def _field(spark):
+    return hills(spark).withColumn("hardness", (F.col("x") * 3 + F.col("y")) % 10 / 12.0)
+
+
+@query("q_fill")
+def fill(spark, sf_dir):
+    """G-2: the filled surface is nowhere under the bed and equals it at the border."""
+    return solvers.fill(_field(spark), 64, rounds=3, steps=32, tile=32).select("x", "y", "h", F.round("filled", 6).alias("filled"))
+
+
+@query("q_talus")
+def talus(spark, sf_dir):
+    """G-7."""
+    return solvers.talus(_field(spark), 64, 2.0, half_steps=26, tile=32).select("x", "y", F.round("h", 6).alias("h"))
+
+
+@query("q_erosion")
+def erosion(spark, sf_dir):
+    """G-1: six iterations on halo tiles."""
+    found = solvers.erosion(_field(spark), 64, 2.0, iterations=6, tile=32)
+    return found.select("x", "y", *[F.round(c, 6).alias(c) for c in ("h", "water", "sediment", "deposit")])
+
+
+@query("q_flow_trace")
+def flow_trace(spark, sf_dir):
+    """G-3..G-5, A-4: paths on the filled surface, visits and flow strength."""
+    field = solvers.fill(_field(spark), 64, rounds=3, steps=32, tile=32)
+    particles = spark.range(4096).select("id", (F.col("id") % 64 + 0.5).cast("double").alias("px"), (F.floor(F.col("id") / 64) + 0.25).cast("double").alias("py"))
+    visits = solvers.trace(particles, field, 64)
+    strength = solvers.flow_strength(F.col("visits"), 4096, 64 * 64, 14, 0.18)
+    return visits.select("x", "y", "visits", F.round(strength, 6).alias("strength"))

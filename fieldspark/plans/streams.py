@@ -1 +1,67 @@
-"""."""
+"""Streams over the events table, run to the end of what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import stateful
+from ..streaming.run import settled, source
+from .registry import query
+
+
+def events(spark, sf_dir):
+    """The columns that the state functions need."""
+    return source(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+
+
+@query("q_stream_ema", "SELECT user_id, ema, n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) JOIN (SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: CASE WHEN a = 0 THEN x ELSE a * 0.95 + x * 0.05 END, 0.0::DOUBLE), 5) AS ema FROM events GROUP BY user_id) USING (user_id)")
+def stream_ema(spark, sf_dir):
+    """ST-3."""
+    return settled(stateful.ema(events(spark, sf_dir)), ["user_id"]).withColumn("ema", F.round("ema", 5))
+
+
+@query(
+    "q_stream_ttl",
+    "WITH d AS (SELECT user_id, epoch(ts) AS t, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), b AS (SELECT user_id, max(t) FILTER (gap IS NULL OR gap > 36000) AS born, max(t) AS seen, count(*) AS rows, count(*) FILTER (gap IS NULL OR gap > 36000) AS lives FROM d GROUP BY user_id) SELECT user_id, lives, round(seen - born, 3) AS age, rows FROM b",
+)
+def stream_ttl(spark, sf_dir):
+    """ST-5, ST-15: entities with a time to live of ten hours."""
+    return settled(stateful.ttl(events(spark, sf_dir), 36000.0), ["user_id"]).withColumn("age", F.round("age", 3))
+
+
+@query("q_stream_cached")
+def stream_cached(spark, sf_dir):
+    """ST-6."""
+    return settled(stateful.cached(events(spark, sf_dir)), ["user_id"])
+
+
+@query("q_stream_moved")
+def stream_moved(spark, sf_dir):
+    """ST-7."""
+    return settled(stateful.moved(events(spark, sf_dir)), ["user_id"])
+
+
+@query("q_stream_damped")
+def stream_damped(spark, sf_dir):
+    """ST-2, ST-12."""
+    return settled(stateful.damped(events(spark, sf_dir)), ["user_id"]).select("user_id", F.round("x", 6).alias("x"), F.round("v", 6).alias("v"))
+
+
+@query("q_stream_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    """ST-1, ST-8: hourly windows under a watermark."""
+    timed = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
+    counts = timed.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    flat = counts.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+    return settled(flat, ["event_type", "start"]).withColumn("total", F.round("total", 4))
+
+
+@query(
+    "q_stream_session",
+    "WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
+)
+def stream_session(spark, sf_dir):
+    """ST-13: sessions that end after six quiet hours."""
+    timed = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    counts = timed.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return settled(counts.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), ["user_id", "start"], "complete")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -28,3 +30,12 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path goes to Spark's reader untouched, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = tempfile.mkdtemp(prefix="fieldspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
