@@ -35,8 +35,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 1000
 SAMPLE_BYTES = 16_384
 RANDOM_STRINGS = 3000
+#: Weight of a character's own share beside the counts after another.
+BACKOFF = 4.0
 #: Mean thousandths of a nat for each pair of a run, from which it is a secret.
-LEAST_MEAN = 1500
+LEAST_MEAN = 2500
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -75,11 +77,14 @@ def _pairs(runs: DataFrame, column: str) -> dict[tuple[str, str], int]:
 
 
 def _chain(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
-    """Smoothed log probabilities of the second character after the first."""
-    after: dict[str, int] = {}
-    for (a, _), n in counts.items():
-        after[a] = after.get(a, 0) + n
-    return {(a, b): math.log((counts.get((a, b), 0) + 0.5) / (after.get(a, 0) + 0.5 * len(ALPHABET))) for a in ALPHABET for b in ALPHABET}
+    """Log probabilities of the second character after the first, smoothed by those of characters alone."""
+    after, alone = dict.fromkeys(ALPHABET, 0), dict.fromkeys(ALPHABET, 0)
+    for (a, b), n in counts.items():
+        after[a] += n
+        alone[b] += n
+    total = sum(alone.values())
+    share = {b: (n + 0.5) / (total + 0.5 * len(ALPHABET)) for b, n in alone.items()}
+    return {(a, b): math.log((counts.get((a, b), 0) + BACKOFF * share[b]) / (after[a] + BACKOFF)) for a in ALPHABET for b in ALPHABET}
 
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> list[int]:
