@@ -140,8 +140,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     # Twice as many ids as are needed, for those without a text; their number is bounded.
     picked = marked.select(F.col(id_column).alias("_id"), F.col(label_column).cast("double").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(2 * SAMPLE)
     text = F.col(text_column)
-    rows = docs.where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).join(F.broadcast(picked), F.col(id_column) == F.col("_id"))
-    chosen = rows.select("_label", text.alias("_text"), F.xxhash64("_id", text).alias("_o")).orderBy("_o", "_label").limit(SAMPLE)
+    short = docs.where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(id_column).alias("_id"), text.alias("_text"))
+    chosen = short.join(F.broadcast(picked), "_id").select("_label", "_text", F.xxhash64("_id", "_text").alias("_o")).orderBy("_o", "_label").limit(SAMPLE)
 
     def count(batches):
         for batch in batches:
