@@ -99,6 +99,15 @@ def hash3(x: Column, y: Column, z: Column, seed: Column) -> Column:
     return h / F.lit(4294967296.0)
 
 
+def slot_hash(slot: Column, salt: int) -> Column:
+    """24 bits of an instance slot; one shift depends on the value itself."""
+    return _steps(
+        u32(mul32(u32(slot.cast("bigint") + salt), 747796405) + 2891336453),
+        lambda a: mul32(F.call_function("shiftright", a, (F.shiftright(a, 28) + 4).cast("int")).bitwiseXOR(a), 277803737),
+        lambda b: F.shiftright(b, 22).bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFF)),
+    )
+
+
 def lcg(seed: Column, count: int, mul: int = PCG_MUL, add: int = PCG_ADD) -> Column:
     """The first `count` states of a linear congruential generator."""
     start = F.struct(u32(seed.cast("bigint")).alias("s"), F.array().cast("array<bigint>").alias("out"))

@@ -43,3 +43,13 @@ def compose(fine: DataFrame, fine_res: int, before: DataFrame, after: DataFrame,
     a = upsampled(fine, fine_res, after, coarse_res, "h", "up_after")
     b = upsampled(fine, fine_res, before, coarse_res, "h", "up_before")
     return fine.join(a, ["x", "y"]).join(b, ["x", "y"]).withColumn("composed", F.col("up_after") + F.col("h") - F.col("up_before"))
+
+
+def trilinear(points: DataFrame, key: list[str], gx: Column, gy: Column, layer: Column, raster: DataFrame, res: int, layers: int, value: str, out: str) -> DataFrame:
+    """(key, out) in a stack of rasters (x, y, layer); points are unique by `key`."""
+    depth = clamp(layer, 0.0, float(layers - 1))
+    low = F.floor(depth).cast("int")
+    between = F.array(F.struct(low.alias("cl"), (1 - (depth - low)).alias("wl")), F.struct(F.least(low + 1, F.lit(layers - 1)).alias("cl"), (depth - low).alias("wl")))
+    spread = points.select(*key, F.explode(corners(gx, gy, res)).alias("c"), between.alias("l")).select(*key, "c", F.explode("l").alias("l")).select(*key, "c.cx", "c.cy", "l.cl", (F.col("c.w") * F.col("l.wl")).alias("w"))
+    cells = raster.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("layer").alias("cl"), F.col(value).alias("_v"))
+    return spread.join(cells, ["cx", "cy", "cl"]).groupBy(*key).agg(F.sum(F.col("w") * F.col("_v")).alias(out))

@@ -20,4 +20,11 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from . import grids, relational, scattering, solving, streams, timelines  # noqa: E402, F401
+def find(name: str) -> Callable:
+    """The query of that name; a miss lists the known ones."""
+    if name not in QUERIES:
+        raise KeyError(f"no query {name!r}; known: {', '.join(sorted(QUERIES))}")
+    return QUERIES[name]
+
+
+from . import grids, relational, scattering, solving, streams, timelines, worlds  # noqa: E402, F401

@@ -17,7 +17,7 @@ def pcg(source: str, x: str, y: str, salt: int, u: str = "u", v: str = "v") -> s
 
 
 def mul(a: str, k: int) -> str:
-    return f"((({a}) & 65535) * {k} + ((((({a}) >> 16) * {k}) & 65535) << 16)) & {MASK}"
+    return f"(((({a}) & 65535) * {k} + ((((({a}) >> 16) * {k}) & 65535) << 16)) & {MASK})"
 
 
 def fmix(source: str, column: str) -> str:
