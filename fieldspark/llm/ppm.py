@@ -35,6 +35,8 @@ SAMPLE_BYTES = 16_384
 #: What stands before a text, so that its first bytes have contexts, too.
 START = b"\n" * ORDER
 LETTER = re.compile(r"[^\W\d_]")
+#: A text of so many bytes whose best code length is over so many bits a byte is in no learned language.
+FOREIGN_BYTES, FOREIGN_BITS = 32, 9.0
 #: Bits by which a doubling of the odds is softened in the score.
 SOFT_BITS = 8.0
 
@@ -143,19 +145,21 @@ def learn(docs: DataFrame, usable: Column, text_column: str = "text", lang_colum
     return ContextTrees(samples)
 
 
-def judge(trees: ContextTrees, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def judge(trees: ContextTrees, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of each text."""
     lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
-    names, scores = ["und"] * len(texts), np.zeros(len(texts))
+    names, scores, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if trees.languages and lettered.any():
         rows = np.flatnonzero(lettered)
-        bits = trees.code_lengths([fold(texts[i]) for i in rows])
+        data = [fold(texts[i]) for i in rows]
+        bits = trees.code_lengths(data)
+        rate[rows] = bits.min(1) / [len(d) for d in data]
         best = bits.argmin(1)
         odds = np.exp2((bits.min(1, keepdims=True) - bits) / SOFT_BITS)
         scores[rows] = 1.0 / odds.sum(1)
         for i, k in zip(rows, best):
             names[i] = trees.languages[k]
-    return names, scores
+    return names, scores, rate
 
 
 def predict(docs: DataFrame, trees: ContextTrees, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -164,17 +168,22 @@ def predict(docs: DataFrame, trees: ContextTrees, id_column: str = "doc_id", tex
     kind = docs.schema[id_column].dataType.simpleString()
 
     def block(batch: pa.RecordBatch) -> list:
-        return [batch.column(0), *judge(model.value, batch.column(1).to_pylist())]
+        return [batch.column(0), *judge(model.value, batch.column(1).to_pylist())[:2]]
 
     return map_blocks(docs.select(id_column, text_column), 1, f"doc_id {kind}, lang_pred string, score double", block)
 
 
-def accepted(docs: DataFrame, trees: ContextTrees, least: float = 0.5, text_column: str = "text") -> DataFrame:
-    """The rows of docs in a learned language, with a score of `least` or more, with all their columns."""
+def accepted(docs: DataFrame, trees: ContextTrees, text_column: str = "text") -> DataFrame:
+    """The rows of docs in a learned language, with all their columns.
+
+    Texts without letters go, and texts of FOREIGN_BYTES bytes or more that even
+    the best language needs over FOREIGN_BITS bits a byte for. A text too short
+    to tell related languages apart stays.
+    """
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def keep(texts: list) -> list[bool]:
-        names, scores = judge(model.value, [t.decode() if t else None for t in texts])
-        return [name != "und" and score >= least for name, score in zip(names, scores)]
+        names, _, rate = judge(model.value, [t.decode() if t else None for t in texts])
+        return [name != "und" and (len(t) < FOREIGN_BYTES or r <= FOREIGN_BITS) for name, t, r in zip(names, (t or b"" for t in texts), rate)]
 
     return filter_blocks(docs, text_column, keep)

@@ -149,6 +149,8 @@ def test_ppm_rows(spark, odd, none):
     assert rows[70].lang_pred == "en" and rows[71].lang_pred == "de" and rows[0].lang_pred == rows[8].lang_pred == rows[7].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in rows.values()) and rows[8].score == 0
     assert ppm.predict(none, trees).collect() == []
+    foreign = spark.createDataFrame([(1, "а это совсем другой язык, которого никто не учил"), (2, "A."), (3, "1234 5678"), (4, None), (5, "the dog and the man 99")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ppm.accepted(foreign, trees).collect()) == [2, 5]
     empty = ppm.learn(docs.where("doc_id < 0"), F.lit(True))
     assert {r.lang_pred for r in ppm.predict(odd, empty).collect()} == {"und"}
 
