@@ -233,18 +233,18 @@ def links(classes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataF
     return dealt.repartition(wanted, "seg", "val", "sub", "subval").select("fp", "seg").mapInArrow(find, "fp long, other long").distinct()
 
 
-#: A long signature: this many fingerprints of the same shingles, hashed on with these odd numbers.
-MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+#: A long signature: the fingerprint and three more of the same shingles, hashed on with these odd numbers.
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SIMILAR = 0.8
 #: Shingle counts are banded by this factor; twice it passes 1 / SIMILAR.
 BAND = 1.12
-TILE = 8_192
+TILE = 32_768
 
 
 def signature(data: bytes, width: int) -> tuple[list[int], int]:
-    """Four fingerprints with independent bits, and the number of shingles."""
+    """Four fingerprints with independent bits, the plain one first, and the number of shingles."""
     hashes = shingle_hashes(data, width)
-    out = []
+    out = [majority(hashes)]
     for m in MIXERS:
         mixed = (hashes ^ (hashes >> np.uint64(29))) * m
         out.append(majority(np.ascontiguousarray(mixed ^ (mixed >> np.uint64(32)))))
@@ -252,12 +252,14 @@ def signature(data: bytes, width: int) -> tuple[list[int], int]:
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, row, representative): groups of texts whose 256 signature bits agree in a share of `similar`.
+    """(doc_id, row, representative): groups of texts with near fingerprints or with like signatures.
 
+    The Gray-order index links fingerprints at RADIUS or fewer differing bits.
     Fingerprints of 64 bits can't tell a similarity of 0.8 from chance among
-    many texts, and at that distance no segment of theirs need agree; so the
-    signatures are four times as long and are compared block by block, with
-    those texts whose shingle counts allow the similarity. `row` numbers the
+    many texts, and at that distance no segment of theirs need agree; so
+    signatures four times as long, which link where a share of `similar` of
+    their bits agrees, are compared block by block besides, with those texts
+    whose shingle counts allow the similarity. `row` numbers the
     rows of docs, `representative` is the row that stays: the smallest of its
     group by id, then row.
     """
@@ -306,7 +308,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id
 
     grid = ["band", "meets", "tile", "ask"]
     edges = asked.groupBy(*grid).cogroup(there.groupBy(*grid)).applyInArrow(compare, "node long, other long").distinct()
-    joined = components(edges)
+    first = written(classes.groupBy("s0").agg(F.min("node").alias("other"), F.count("*").alias("n")), "by-fingerprint")
+    equal = lookup(classes.select("node", "s0"), first, "s0", "n").where("node != other").select("node", "other")
+    tied = links(first.select(F.col("s0").alias("fp"))).select(F.col("fp").alias("s0"), F.col("other").alias("s1"))
+    ends = tied.join(first.select("s0", F.col("other").alias("a")), "s0").join(first.select(F.col("s0").alias("s1"), F.col("other").alias("b")), "s1")
+    joined = components(edges.unionByName(equal).unionByName(ends.select(F.col("a").alias("node"), F.col("b").alias("other"))))
     named = classes.select(*key, "first", "n", "node").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     sizes = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members"))
     labels = written(lookup(named.select("root", "node", "n", F.sha2(F.concat_ws(",", *key), 256).alias("key")), sizes, "root", "members").select("key", F.col("least.row").alias("representative"), "n"), "representatives")
