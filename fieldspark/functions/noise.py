@@ -30,6 +30,20 @@ def value_noise3(x: Column, y: Column, z: Column, seed: Column) -> Column:
     return F.element_at(F.transform(F.array(start), at_point), 1)
 
 
+def periodic_noise2(x: Column, y: Column, period: int, seed: int) -> Column:
+    """Bilinear value noise in [0, 1] that repeats after `period` cells on both axes."""
+    start = F.struct(F.floor(x).alias("ix"), F.floor(y).alias("iy"), (x - F.floor(x)).alias("fx"), (y - F.floor(y)).alias("fy"))
+
+    def corner(p: Column, k: Column) -> Column:
+        right, up = k % 2, F.shiftright(k, 1)
+        tx, ty = (p[n] * p[n] * (3.0 - 2.0 * p[n]) for n in ("fx", "fy"))
+        weight = F.when(right == 1, tx).otherwise(1.0 - tx) * F.when(up == 1, ty).otherwise(1.0 - ty)
+        return weight * hash3(F.pmod(p["ix"] + right, F.lit(period)), F.pmod(p["iy"] + up, F.lit(period)), F.lit(0), F.lit(seed))
+
+    each = F.transform(F.array(start), lambda p: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: corner(p, k)), F.lit(0.0), lambda a, b: a + b))
+    return F.element_at(each, 1)
+
+
 def _octaves(shape, x, y, z, seed: int, octaves: int, lacunarity: float, gain: float, salt: int) -> Column:
     """Sum over octaves, whose seeds, frequencies and amplitudes are literals, as one lambda."""
     steps = [(0.5 * gain**i, lacunarity**i, seed + i * salt) for i in range(octaves)]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import recursive, solvers, spatial
+from ..functions import hashing, noise
+from ..operators import curves, recursive, solvers, spatial
+from ..operators.grid import grid
 from ..session import table
 from .grids import hills
 from .registry import query
@@ -76,3 +78,65 @@ def flow_trace(spark, sf_dir):
     visits = solvers.trace(particles, field, 64)
     strength = solvers.flow_strength(F.col("visits"), 4096, 64 * 64, 14, 0.18)
     return visits.select("x", "y", "visits", F.round(strength, 6).alias("strength"))
+
+
+@query("q_magic_square", "SELECT ((4 + k // 9 - k % 9) % 9 + 9)::INTEGER % 9 AS i, ((8 - 2 * (k // 9) + k % 9) % 9 + 9)::INTEGER % 9 AS j, k + 1 AS value FROM range(81) t(k)")
+def magic_square(spark, sf_dir):
+    """G-17."""
+    return curves.magic_square(spark, 8)
+
+
+PLANES = ((1.0, 0.0, 0.0, 0.7), (0.0, 0.8, 0.6, 0.8), (-0.6, 0.0, 0.8, 0.55))
+_DIRECTIONS = "SELECT k, sqrt(1 - y * y) * cos(k * pi() * (3 - sqrt(5::DOUBLE))) AS x, y, sqrt(1 - y * y) * sin(k * pi() * (3 - sqrt(5::DOUBLE))) AS z, 1.0::DOUBLE AS r FROM (SELECT k, 1 - (2 * k + 1) / 500.0::DOUBLE AS y FROM range(500) t(k))"
+
+
+def _cut_sql() -> str:
+    out = _DIRECTIONS
+    for a, b, c, o in PLANES:
+        toward = f"(x * {a} + y * {b} + z * {c})"
+        out = f"SELECT * REPLACE (CASE WHEN {toward} > 0.001 AND {o} / {toward} < r THEN {o} / {toward} + (r - {o} / {toward}) * 0.035 ELSE r END AS r) FROM ({out})"
+    return f"SELECT k, round(r, 6) AS r FROM ({out})"
+
+
+@query("q_plane_cuts", _cut_sql())
+def plane_cuts(spark, sf_dir):
+    """G-15: a ball cut by planes in order."""
+    d = spark.range(500).select(F.col("id").alias("k"), hashing.sphere_direction(F.col("id"), 500).alias("d"))
+    return d.select("k", F.round(curves.plane_cuts(F.lit(1.0), [F.col("d.x"), F.col("d.y"), F.col("d.z")], PLANES), 6).alias("r"))
+
+
+def lines(spark, sf_dir):
+    """A short line of twelve points for every nation."""
+    k, n = F.col("seq"), F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("seq"))
+    return rows.select(n.alias("line"), "seq", (F.cos(k * 0.5 + n) * (2 + n * 0.1)).alias("x"), (k * 0.7).alias("y"), (F.sin(k * 0.5 + n) * (2 + n * 0.1)).alias("z"))
+
+
+@query("q_path_points")
+def path_points(spark, sf_dir):
+    """G-18: points at equal arc lengths along a centripetal curve."""
+    found = curves.path_points(lines(spark, sf_dir), 24)
+    return found.select("line", "k", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query("q_line_frames")
+def line_frames(spark, sf_dir):
+    """G-16: normals carried along lines without twisting."""
+    found = curves.frames(lines(spark, sf_dir))
+    return found.select("line", "seq", *[F.round(c, 6).alias(c) for c in ("along", "nx", "ny", "nz")])
+
+
+@query("q_ring_flood")
+def ring_flood(spark, sf_dir):
+    """G-10: empty cells of each tile filled from their covered neighbours, ring by ring."""
+    cells = grid(spark, 64).withColumn("h", ((F.col("x") * F.col("x") * 7 + F.col("y") * 13) % 101).cast("double"))
+    tiles = cells.select((F.floor(F.col("x") / 32) * 2 + F.floor(F.col("y") / 32)).cast("int").alias("tile"), (F.col("x") % 32).alias("x"), (F.col("y") % 32).alias("y"), F.when(F.col("h") < 12, F.col("h")).alias("v"))
+    return curves.ring_flood(tiles).withColumn("v", F.round("v", 6))
+
+
+@query("q_periodic_noise")
+def periodic_noise(spark, sf_dir):
+    """N-6, N-7: a tile of periodic noise, and the same a period further."""
+    x, y = F.col("x") / 8.0, F.col("y") / 8.0
+    here, there = noise.periodic_noise2(x, y, 4, 11), noise.periodic_noise2(x + 4, y - 8, 4, 11)
+    return grid(spark, 32).select("x", "y", F.round(here, 6).alias("noise"), F.round(there, 6).alias("wrapped"))
