@@ -238,7 +238,7 @@ MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
 SIMILAR = 0.8
 #: Shingle counts are banded by this factor; twice it passes 1 / SIMILAR.
 BAND = 1.12
-TILE = 32_768
+TILE = 4_096
 
 
 def signature(data: bytes, width: int) -> tuple[list[int], int]:
