@@ -77,7 +77,9 @@ def test_simhash_rows(spark, crowd, monkeypatch):
     assert simhash.near_duplicates(docs.where("doc_id < 0"), 3).collect() == []
 
 
-def test_similar_groups(spark):
+@pytest.mark.parametrize("tile", [simhash.TILE, 30])
+def test_similar_groups(spark, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", tile)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{k}" for k in range(3000)]
     texts, group = [], []
