@@ -185,6 +185,19 @@ def test_lsa_votes_are_exact_cosines():
         assert score == pytest.approx((w @ labels[top] + lsa.PRIOR * voters.base) / (w.sum() + lsa.PRIOR), abs=1e-3)
 
 
+def test_subwords_of_many_words():
+    own = attention.subwords(MULTI, public_tokenizers.PATTERN)
+    words = [b"the", b"", "İstanbul\u3000x".encode(), "\u3000".encode(), b"don't!!", b"\x1c", "日本語🙂".encode(), b"", b"12,5", "a\xa0".encode()]
+    ids, size = own.many(words)
+    assert [own.ids(w) for w in words] == [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+
+
+def test_averaged_weights_are_weighted_means():
+    rows = [(1, np.array([1.0, 2.0], np.float32).tobytes()), (3, np.array([5.0, 2.0], np.float32).tobytes())]
+    n, data = attention.averaged(rows)
+    assert n == 4 and np.frombuffer(data, np.float32).tolist() == [4.0, 2.0]
+
+
 def test_attention_windows_score_each_position_once():
     lengths = np.array([0, 1, 5, 32, 33, 56, 57, 200])
     text, first, scored = attention.windows(lengths)
