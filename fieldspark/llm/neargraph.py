@@ -1,16 +1,22 @@
 """Near-duplicate vectors over a robust-pruned flat graph.
 
 Equal vectors of a label are one class from the start. A label's classes are
-split into cells of bounded size (one, for most labels), and the classes of a
-cell into cluster shards, each class going to its two nearest centres, in both
-cases. In a shard, every class gets a pool of near and some random others and
+split into cells of bounded size (one, for most labels) around the nearest
+centres, and the classes of a cell into cluster shards, each class going to its
+two nearest ones. In a shard, every class gets a pool of near and some random others and
 keeps those that robust pruning leaves: a neighbour drops out when a nearer one
 is closer to it by ALPHA. Adjacency lists of the shards are united, links added
 backwards, and each class is searched in its home cell: greedily from the shards'
 medoids and its own list, then, without a cap, on through all classes within the
 range and a margin around it. Every pair found is verified in double precision.
-A sample of each cell is audited against brute force; a cell whose recall falls
-short of AUDIT is compared in full, block by block.
+A sample of each cell is audited against brute force, a class's link with itself
+left out; a cell whose recall falls short of AUDIT, or whose sample has no link,
+is compared in full, block by block.
+
+No link across a border is lost: a class visits every cell whose side of the
+bisector with its own cell lies within the range, and the visitors of two cells
+to each other are compared in full. A cell over the bound is cut at random, and
+its pieces visit each other.
 
 Vectors that are null, zero, hold null or non-finite components or have no
 label link with nothing: no links, a component of their own, kept. Vectors of
@@ -170,8 +176,8 @@ def _full(points: np.ndarray, some: np.ndarray, least: float) -> tuple[np.ndarra
     return np.nonzero(points[some] @ points.T >= least)
 
 
-def cell_links(vectors: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float = THRESHOLD, seed: int = 5, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, float]:
-    """For each home point the other rows it links with, each point's root in the cell, and the audited recall."""
+def cell_links(vectors: np.ndarray, copies: np.ndarray, threshold: float = THRESHOLD, seed: int = 5, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, float]:
+    """For each point the other rows of the cell it links with, its root in the cell, and the audited recall."""
     points = unit(vectors)
     rng = np.random.default_rng(seed)
     parent, links = np.arange(len(points)), copies - 1
@@ -184,12 +190,12 @@ def cell_links(vectors: np.ndarray, copies: np.ndarray, home: np.ndarray, thresh
     true[_full(points, checked, least)] = True
     got = np.zeros_like(true)
     got[range_search(points, *graph, checked, least)] = True
+    true[np.arange(len(checked)), checked] = False
     recall = (true & got).sum() / max(1, true.sum())
     links = links.copy()
-    queries = np.flatnonzero(home)
     at, step = 0, 64
-    while at < len(queries):
-        some = queries[at : at + step]
+    while at < len(points):
+        some = np.arange(at, min(len(points), at + step))
         query, node = range_search(points, *graph, some, least) if recall >= AUDIT else _full(points, some, least)
         query = some[query]
         other = query != node
@@ -202,6 +208,35 @@ def cell_links(vectors: np.ndarray, copies: np.ndarray, home: np.ndarray, thresh
     return links, parent, float(recall)
 
 
+def border_links(vectors: np.ndarray, copies: np.ndarray, lower: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the rows of the other side (`lower` or not) it links with, and its root; all pairs are compared."""
+    points = unit(vectors)
+    parent, links = np.arange(len(points)), np.zeros(len(points), np.int64)
+    left, right = np.flatnonzero(lower), np.flatnonzero(~lower)
+    for at in range(0, len(left) if len(right) else 0, 128):
+        some = left[at : at + 128]
+        near = points[some] @ points[right].T
+        hit = near >= threshold
+        a, b = np.nonzero(np.abs(near - threshold) <= 1e-9)
+        hit[a, b] = (points[some[a]] * points[right[b]]).sum(1) >= threshold
+        links[some] += hit @ copies[right]
+        links[right] += copies[some] @ hit
+        a, b = np.nonzero(hit)
+        unite(parent, some[a], right[b])
+    return links, parent
+
+
+def visited(points: np.ndarray, own: int, centres: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cells (row by row) may hold links of points that lie in the cell `own`.
+
+    A partner in another cell lies beyond the bisector of the two centres, so
+    that no point farther from it than the range has one.
+    """
+    far = np.sqrt(((centres - centres[own]) ** 2).sum(1))
+    to = (centres**2).sum(1) - 2 * points @ centres.T
+    return to - to[:, own, None] <= 2 * far * (np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6) + 1e-9
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
@@ -226,31 +261,65 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
         def assign(batches):
             for batch in batches:
                 ds, labels = batch.column("d").to_numpy(), batch.column("label").to_pylist()
-                first, second = np.zeros(len(ds), np.int32), np.full(len(ds), -1, np.int32)
+                first = np.zeros(len(ds), np.int32)
                 for (label, d), own_centres in known.value.items():
                     here = np.flatnonzero([a == label and b == d for a, b in zip(labels, ds)])
                     if len(here):
                         points = unit(matrix(batch.column("v").take(pa.array(here))))
-                        near = np.argsort((own_centres**2).sum(1) - 2 * points @ own_centres.T, axis=1)[:, :2]
-                        first[here], second[here] = near[:, 0], near[:, 1]
-                yield batch.append_column("first", pa.array(first)).append_column("second", pa.array(second))
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", first int, second int"
-        placed = cells.mapInArrow(assign, schema)
-        both = F.filter(F.array(F.struct(F.col("first").alias("cell"), F.lit(True).alias("home")), F.struct(F.col("second").alias("cell"), F.lit(False).alias("home"))), lambda c: c["cell"] >= 0)
-        cells = placed.select("node", "n", "label", "d", "v", F.explode(both).alias("c")).select("node", "n", "label", "d", "v", "c.cell", "c.home")
+                        first[here] = ((own_centres**2).sum(1) - 2 * points @ own_centres.T).argmin(1)
+                yield batch.append_column("cell", pa.array(first))
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
+        placed = written(cells.mapInArrow(assign, schema + ", cell int"), "cells")
+        sizes = {(r.label, r.d, r.cell): r["count"] for r in placed.groupBy("label", "d", "cell").count().collect() if (r.label, r.d) in centres}
+        #: Pieces of every cell, and where they start among those of their label.
+        pieces = {k: np.array([-(-sizes.get((*k, c), 0) // cell) for c in range(len(own))]) for k, own in centres.items()}
+        layout = spark.sparkContext.broadcast({k: (n, np.cumsum(n) - n) for k, n in pieces.items()})
+
+        def deal(batches):
+            for batch in batches:
+                ds, labels, cell_of = batch.column("d").to_numpy(), batch.column("label").to_pylist(), batch.column("cell").to_numpy()
+                node = batch.column("node").to_numpy()
+                home, visits = np.zeros(len(ds), np.int32), [[]] * len(ds)
+                for (label, d), own_centres in known.value.items():
+                    count, start = layout.value[label, d]
+                    of_label = np.array([a == label and b == d for a, b in zip(labels, ds)], bool)
+                    for c in np.unique(cell_of[of_label]):
+                        here = np.flatnonzero(of_label & (cell_of == c))
+                        home[here] = start[c] + (node[here].view(np.uint64) >> np.uint64(20)) % np.uint64(count[c])
+                        near = visited(unit(matrix(batch.column("v").take(pa.array(here)))), c, own_centres, threshold)
+                        for row, cells_near in zip(here, np.repeat(near, count, axis=1)):
+                            units = np.flatnonzero(cells_near)
+                            visits[row] = units[units != home[row]].tolist()
+                columns = [*(batch.column(k) for k in ("node", "n", "label", "d", "v")), pa.array(home), pa.array(visits, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "label", "d", "v", "cell", "visits"])
+
+        kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in ("node", "n", "label", "d", "v"))
+        cells = written(placed.mapInArrow(deal, kinds + ", cell int, visits array<int>"), "dealt")
+        meeting = cells.select("node", "n", "label", "d", "v", "cell", F.explode("visits").alias("other"))
+        meeting = meeting.select("node", "n", "label", "d", "v", (F.col("cell") < F.col("other")).alias("lower"), F.least("cell", "other").alias("a"), F.greatest("cell", "other").alias("b"))
     else:
-        cells = cells.select("node", "n", "label", "d", "v", F.lit(0).alias("cell"), F.lit(True).alias("home"))
+        cells = cells.select("node", "n", "label", "d", "v", F.lit(0).alias("cell"))
 
     def find(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        node, home = table.column("node").to_numpy(), table.column("home").to_numpy()
-        links, root, recall = cell_links(matrix(table.column("v")), table.column("n").to_numpy(), home, threshold)
-        return pa.table([pa.array(node), pa.array(node[root]), pa.array(np.where(home, links, 0)), pa.array(home), pa.array(np.full(len(node), recall))], names=["node", "root", "links", "home", "recall"])
+        node = table.column("node").to_numpy()
+        links, root, _ = cell_links(matrix(table.column("v")), table.column("n").to_numpy(), threshold)
+        return pa.table([pa.array(node), pa.array(node[root]), pa.array(links)], names=["node", "root", "links"])
 
-    found = written(cells.groupBy("label", "d", "cell").applyInArrow(find, "node long, root long, links long, home boolean, recall double"), "found")
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node = table.column("node").to_numpy()
+        links, root = border_links(matrix(table.column("v")), table.column("n").to_numpy(), table.column("lower").to_numpy(), threshold)
+        some = np.flatnonzero(links)
+        return pa.table([pa.array(node[some]), pa.array(node[root[some]]), pa.array(links[some])], names=["node", "root", "links"])
+
+    found = written(cells.select("node", "n", "label", "d", "v", "cell").groupBy("label", "d", "cell").applyInArrow(find, "node long, root long, links long"), "found")
+    if large:
+        across = written(meeting.groupBy("label", "d", "a", "b").applyInArrow(meet, "node long, root long, links long"), "across")
+        found = found.unionByName(across)
     joined = components(found.where("node != root").select("node", "root"))
-    named = classes.select("node", "key", "least", "n").join(found.where("home").select("node", "links"), "node").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    named = classes.select("node", "key", "least", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     labels = written(lookup(named.select("root", "key", "links", "n"), least, "root", "members").select("key", "links", "component_id", "n"), "labels")
     result = lookup(rows.select("vec_id", "key"), labels, "key", "n")

@@ -140,6 +140,19 @@ def test_neargraph_rows(spark, cell):
     assert neargraph.near_duplicates(frame.where("vec_id < 0")).collect() == []
 
 
+@pytest.mark.parametrize("cell", [40, 150])
+def test_neargraph_loses_no_link_across_borders(spark, cell):
+    rng = np.random.default_rng(13)
+    base = rng.standard_normal((250, 24))
+    good = np.concatenate([base, base + 0.25 * rng.standard_normal((250, 24)), base[:30]]).astype(np.float32)
+    near = brute_links(good, np.zeros(len(good), int))
+    parent = np.arange(len(good))
+    unite(parent, *np.nonzero(near))
+    rows = {r.vec_id: (r.n_links, r.component_id) for r in neargraph.near_duplicates(vectors_frame(spark, good, [0] * len(good)), cell=cell).collect()}
+    assert near.sum() > 400
+    assert rows == {k: (int(near[k].sum()), int(parent[k])) for k in range(len(good))}
+
+
 def test_neargraph_recall_without_fallback():
     rng = np.random.default_rng(8)
     base = rng.standard_normal((3000, 32))
