@@ -249,6 +249,19 @@ def test_attention_rows(spark, odd, none):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in attention.score(odd, empty, few).collect())
 
 
+def test_attention_scores_by_exact_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"the red fox sees word{k % 20} and qzx{k % 7}vb " * 3) for k in range(60)], "doc_id long, text string")
+    rows = {}
+    for heavy in (attention.HEAVY, 1):  # nothing is broadcast, or all words and pairs are
+        monkeypatch.setattr(attention, "HEAVY", heavy)
+        monkeypatch.setattr(attention, "PAIRS", heavy)
+        model, counts = attention.fit(docs, F.col("doc_id") % 3 > 0, MULTI, public_tokenizers.PATTERN)
+        rows[heavy] = {r.doc_id: (r.n_known, r.base_score, r.score) for r in attention.score(docs, model, counts).collect()}
+        assert (len(model.heavy), len(model.keys)) == (0, 0) or heavy > 1
+    for k in range(60):
+        assert rows[1][k] == pytest.approx(rows[150_000][k], rel=1e-4)
+
+
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
