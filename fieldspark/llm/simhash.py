@@ -236,30 +236,52 @@ def links(classes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataF
 #: A long signature: the fingerprint and three more of the same shingles, hashed on with these odd numbers.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SIMILAR = 0.8
+#: Bits of 256 by which the signatures of a candidate pair differ at most; at a similarity of 0.8 they differ in about 39.
+LOOSE = 60
+#: Classes of one candidate group that are verified in one block.
+SETS = 2_000
 #: Shingle counts are banded by this factor; twice it passes 1 / SIMILAR.
 BAND = 1.12
 TILE = 4_096
 
 
-def signature(data: bytes, width: int) -> tuple[list[int], int]:
-    """Four fingerprints with independent bits, the plain one first, and the number of shingles."""
-    hashes = shingle_hashes(data, width)
+def signature(data: bytes, width: int) -> tuple[list[int], np.ndarray]:
+    """Four fingerprints of the distinct shingles with independent bits, the plain one first, and these shingles' hashes."""
+    hashes = np.unique(shingle_hashes(data, width))
     out = [majority(hashes)]
     for m in MIXERS:
         mixed = (hashes ^ (hashes >> np.uint64(29))) * m
         out.append(majority(np.ascontiguousarray(mixed ^ (mixed >> np.uint64(32)))))
-    return out, len(hashes)
+    return out, hashes
+
+
+def verified(sets: list[np.ndarray], signs: np.ndarray, first: np.ndarray, second: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """Roots after uniting the pairs of `first` and `second` whose Jaccard similarity is `similar` or more; united ones are not compared again."""
+    size = np.array([len(x) for x in sets], np.int64)
+    parent = np.arange(len(sets))
+    for i in first:
+        near = np.bitwise_count(signs[second] ^ signs[i]).sum(1, dtype=np.int64) <= LOOSE
+        near &= np.minimum(size[second], size[i]) >= similar * np.maximum(size[second], size[i])
+        for j in second[near & (parent[second] != parent[i])]:
+            if parent[i] != parent[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= similar * (size[i] + size[j] - common):
+                    unite(parent, np.array([i]), np.array([j]))
+    return parent
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, row, representative): groups of texts with near fingerprints or with like signatures.
+    """(doc_id, row, representative): groups of texts linked by a Jaccard similarity of `similar` or more of their distinct shingles.
 
-    The Gray-order index links fingerprints at RADIUS or fewer differing bits.
+    The Gray-order index proposes fingerprints at RADIUS or fewer differing bits.
     Fingerprints of 64 bits can't tell a similarity of 0.8 from chance among
     many texts, and at that distance no segment of theirs need agree; so
-    signatures four times as long, which link where a share of `similar` of
-    their bits agrees, are compared block by block besides, with those texts
-    whose shingle counts allow the similarity. `row` numbers the
+    signatures four times as long, which propose where LOOSE bits differ at
+    most, are compared block by block besides, with those texts
+    whose shingle counts allow the similarity. Proposals make candidate groups;
+    in these, block by block, the shingles themselves are compared, and only
+    texts with the similarity are linked. Texts with equal shingles are one
+    class from the start. `row` numbers the
     rows of docs, `representative` is the row that stays: the smallest of its
     group by id, then row.
     """
@@ -268,16 +290,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id
     def block(batch: pa.RecordBatch) -> list:
         found = [signature(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         bits = np.array([f[0] for f in found], np.uint64).reshape(-1, 4).view(np.int64)
-        return [batch.column(0), batch.column(2), *bits.T, np.array([f[1] for f in found], np.int64)]
+        return [batch.column(0), batch.column(2), *bits.T, np.array([len(f[1]) for f in found], np.int64), [xxhash.xxh3_128_digest(f[1].tobytes()) for f in found]]
 
     spark = docs.sparkSession
-    signed = written(map_blocks(docs.select(id_column, text_column, "row"), 1, f"doc_id {kind}, row long, s0 long, s1 long, s2 long, s3 long, shingles long", block), "signatures")
+    signed = written(map_blocks(docs.select(id_column, text_column, "row"), 1, f"doc_id {kind}, row long, s0 long, s1 long, s2 long, s3 long, shingles long, key binary", block), "signatures")
     key = ["s0", "s1", "s2", "s3", "shingles"]
-    classes = signed.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first.row"))
+    classes = signed.groupBy("key", *key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first.row"))
     classes = written(classes.withColumn("band", F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("int")), "signed-classes")
     tiles = classes.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     own = classes.join(tiles, "band").select("node", *key[:4], "band", "tiles")
-    least = int(256 * (1 - similar))
     reach = [F.lit(k) for k in range(3)]
 
     def side(rows: DataFrame, other: str, mine: str) -> DataFrame:
@@ -301,7 +322,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id
             apart = np.zeros((len(a[at : at + 128]), len(b)), np.uint16)
             for w in range(4):
                 apart += np.bitwise_count(a[at : at + 128, w, None] ^ b[None, :, w])
-            i, j = np.nonzero(apart <= least)
+            i, j = np.nonzero(apart <= LOOSE)
             unite(parent, place[i + at], place[len(a) + j])
         tied = np.flatnonzero(parent != np.arange(len(names)))
         return pa.table([pa.array(names[tied]), pa.array(names[parent[tied]])], names=["node", "other"])
@@ -312,11 +333,38 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id
     equal = lookup(classes.select("node", "s0"), first, "s0", "n").where("node != other").select("node", "other")
     tied = links(first.select(F.col("s0").alias("fp"))).select(F.col("fp").alias("s0"), F.col("other").alias("s1"))
     ends = tied.join(first.select("s0", F.col("other").alias("a")), "s0").join(first.select(F.col("s0").alias("s1"), F.col("other").alias("b")), "s1")
-    joined = components(edges.unionByName(equal).unionByName(ends.select(F.col("a").alias("node"), F.col("b").alias("other"))))
-    named = classes.select(*key, "first", "n", "node").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    loose = components(edges.unionByName(equal).unionByName(ends.select(F.col("a").alias("node"), F.col("b").alias("other"))))
+    loose = written(loose.withColumnRenamed("component", "loose"), "candidates")
+    wide = written(loose.groupBy("loose").agg(F.count("*").alias("members")), "candidate-groups")
+    members = lookup(loose, wide.withColumn("pieces", F.ceil(F.col("members") / SETS).cast("int")), "loose", "members")
+    texts = docs.select(F.col("row").alias("node"), F.col(text_column).cast("binary").alias("text")).join(members.select("node", "loose", "pieces"), "node")
+
+    def shingled(batch: pa.RecordBatch) -> list:
+        found = [signature(t or b"", width) for t in batch.column(1).to_pylist()]
+        signs = [np.array(f[0], np.uint64).view(np.int64) for f in found]
+        return [batch.column(0), signs, [f[1].view(np.int64) for f in found], batch.column(2), batch.column(3)]
+
+    sets = map_blocks(texts.select("node", "text", "loose", "pieces"), 1, "node long, signs array<long>, hashes array<long>, loose long, pieces int", shingled)
+    sets = sets.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    met = met.select("node", "signs", "hashes", "loose", "piece", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes, piece = table.column("node").to_numpy(), table.column("piece").to_numpy()
+        hashes = [x.values.to_numpy().view(np.uint64) for x in table.column("hashes")]
+        signs = np.array(table.column("signs").to_pylist(), np.int64).view(np.uint64)
+        parent = verified(hashes, signs, np.flatnonzero(piece == piece.min()), np.flatnonzero(piece == piece.max()), similar)
+        tied = np.flatnonzero(parent != np.arange(len(nodes)))
+        return pa.table([pa.array(nodes[tied]), pa.array(nodes[parent[tied]])], names=["node", "other"])
+
+    joined = written(met.groupBy("loose", "a", "b").applyInArrow(verify, "node long, other long"), "verified")
+    # Where every group is one block, its roots are final.
+    joined = joined.withColumnRenamed("other", "component") if wide.where(F.col("members") > SETS).isEmpty() else components(joined)
+    named = classes.select("key", "first", "n", "node").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     sizes = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members"))
-    labels = written(lookup(named.select("root", "node", "n", F.sha2(F.concat_ws(",", *key), 256).alias("key")), sizes, "root", "members").select("key", F.col("least.row").alias("representative"), "n"), "representatives")
-    return lookup(signed.select("doc_id", "row", F.sha2(F.concat_ws(",", *key), 256).alias("key")), labels, "key", "n").select("doc_id", "row", "representative")
+    labels = written(lookup(named.select("root", "node", "n", "key"), sizes, "root", "members").select("key", F.col("least.row").alias("representative"), "n"), "representatives")
+    return lookup(signed.select("doc_id", "row", "key"), labels, "key", "n").select("doc_id", "row", "representative")
 
 
 def near_duplicates(docs: DataFrame, width: int, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -96,6 +96,26 @@ def test_similar_groups(spark, tile, monkeypatch):
     assert rows == {k: group.index(g) for k, g in enumerate(group)}
 
 
+@pytest.mark.parametrize("sets", [simhash.SETS, 3])
+def test_similar_groups_verify_the_similarity(spark, sets, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", sets)
+    rng = np.random.default_rng(14)
+    texts, group = [], []
+    for g in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 300)]
+        own = words.copy()
+        # 48 new words in a row leave a similarity of 0.70, and 27 leave 0.81.
+        wide = 48 if g < 30 else 27
+        own[100 : 100 + wide] = [f"v{k}" for k in rng.integers(0, 10**6, wide)]
+        texts += [" ".join(words), " ".join(own)]
+        group += [2 * g, 2 * g + 1 if g < 30 else 2 * g]
+    line = " ".join(f"x{k}" for k in range(20))
+    texts += [" ".join([line] * 3), " ".join([line] * 40)]
+    group += [120, 120]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, row long")
+    assert {r.doc_id: r.representative for r in simhash.similar_groups(docs).collect()} == dict(enumerate(group))
+
+
 def vectors_frame(spark, vectors, labels):
     rows = [(k, None if v is None else [None if x is None else float(x) for x in v], l, 7, "x") for k, (v, l) in enumerate(zip(vectors, labels))]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n int, node string")
