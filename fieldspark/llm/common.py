@@ -32,6 +32,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(rows: DataFrame, n: int, total: int, order: str, *then: str) -> DataFrame:
+    """The n rows with the smallest values of `order`, a 64-bit hash; a stored table.
+
+    `total` is about the number of rows. Only rows under a share of all hashes
+    are sorted, about 2n of them for any number of rows and tasks; the share is
+    raised where too few are left.
+    """
+    share = 2 * n / max(1, total)
+    while True:
+        part = rows if share >= 1 else rows.where(F.col(order) < F.lit(int(share * 2.0**64) - (1 << 63)))
+        found = written(part.orderBy(order, *then).limit(n), "sample")
+        if share >= 1 or found.count() >= n:
+            return found
+        share *= 4
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
@@ -78,6 +94,38 @@ def filter_blocks(df: DataFrame, text_column: str, keep: Callable[[list], object
     return df.mapInArrow(run, df.schema)
 
 
+class Generations:
+    """What a worker knows of short strings, in two generations of `bound` bytes each.
+
+    When the younger one is over its bound at a turn it becomes the older one,
+    and what the older one knew is forgotten but for what was asked for since.
+    """
+
+    #: Bytes that an entry takes besides its key's and value's own.
+    ENTRY = 200
+
+    def __init__(self, bound: int):
+        self.bound, self.used = bound, 0
+        self.current: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if self.used > self.bound:
+            self.before, self.current, self.used = self.current, {}, 0
+
+    def put(self, keys: list[str], values: list[bytes]) -> None:
+        self.current.update(zip(keys, values, strict=True))
+        self.used += sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(keys)
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that neither generation knows; those of the older one are moved to the younger."""
+        asked = keys.difference(self.current)
+        held = [k for k in asked if k in self.before]
+        self.put(held, list(map(self.before.__getitem__, held)))
+        asked.difference_update(held)
+        return asked
+
+
 class Memo(dict):
     """A bounded cache: filled by `make`, emptied when full."""
 

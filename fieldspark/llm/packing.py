@@ -9,6 +9,9 @@ part-empty at most, whatever the number of rows.
 
 Nulls: a null text is an empty one, which is the end id alone. Null or
 repeated document ids are packed like any other. An empty table gives no rows.
+A text longer than a block is a block of its own, so a task holds one such text
+at a time. Equal lengths are packed in the order of the rows. A literal special
+token in a text is that token's id, as the library has it.
 Columns other than the id and the text are ignored.
 """
 
@@ -19,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_blocks, written
+from .common import Generations, map_blocks, written
 
 SEQUENCE = 2048
 END_ID = 0
@@ -33,61 +37,105 @@ TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, by a tokenizer that drops white space.
+    """Ids of whole texts by a tokenizer that drops white space.
 
     Such a tokenizer never joins what a space parts, so spaces cut a text into
-    chunks. Chunks and the words in them are kept in bounded caches, and new
-    words of plain letters, which are one unit each, are encoded many at a time.
+    chunks. Arrow finds the distinct chunks of a block and cuts each into a
+    lowered word and the punctuation after it, where a plain letter stands
+    between. Only words that are not known yet are encoded: those of plain
+    letters, which are one unit each, together, the others with a special token
+    between them. Chunks that hold a special token's first signs are encoded
+    alone. What is known is kept within a bound of bytes; a block's ids are
+    gathered from its words' ids at once.
     """
 
-    def __init__(self, path: str, chunks: int = 150_000, words: int = 500_000):
+    def __init__(self, path: str, bound: int = 80 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = Memo(self._word, words)
-        self.chunks = Memo(self._chunk, chunks)
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.separator = max(special)
+        self.between, self.marks = special[self.separator], tuple({t[:2] for t in special.values()})
+        self.words = Generations(bound)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _word(self, word: str) -> bytes:
-        return self._ids(word).tobytes()
-
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
-        """A word and the punctuation after it."""
-        core = chunk.rstrip(TAIL)
-        if core and core[-1].isalpha():
-            return core.lower() if core.isascii() else core, chunk[len(core) :]
-        return chunk, ""
-
-    def _chunk(self, chunk: str) -> bytes:
-        core, tail = self._parts(chunk)
-        return self.words[core] + (self.words[tail] if tail else b"")
-
-    def _learn(self, new: set[str]) -> None:
-        """Encodes the new chunks' words of plain Latin letters together."""
-        words = [w for w in {self._parts(c)[0] for c in new} if w.isalpha() and max(w) <= "\xff" and w not in self.words]
-        if len(self.words) + len(words) > self.words.bound:
-            self.words.clear()
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            ids = self._ids(" ".join(some))
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+    def _cut(self, units: list[str], plain: bool) -> None:
+        """Encodes units together; plain ones end where a word's end is, the others at the separator."""
+        for at in range(0, len(units), 1000):
+            some = units[at : at + 1000]
+            ids = self._ids((" " if plain else self.between).join(some))
             data = ids.tobytes()
-            self.words.update(zip(some, (data[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self._learn({c for chunks in cut for c in chunks if c not in self.chunks})
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in cut]
+            if plain:
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                starts = [0, *stops]
+            else:
+                stops = [*(4 * np.flatnonzero(ids == self.separator)).tolist(), len(data)]
+                starts = [0, *(k + 4 for k in stops)]
+            self.words.put(some, [data[i:j] for i, j in zip(starts, stops)])
+
+    def _known(self, words: list[str], special: bool) -> list[bytes]:
+        """The ids of each word; new ones are encoded."""
+        wanted = self.words.missing(set(words))
+        alone = [w for w in wanted if any(m in w for m in self.marks)] if special else []
+        wanted.difference_update(alone)
+        self.words.put(alone, [self._ids(w).tobytes() for w in alone])
+        plain = [w for w in wanted if w.isalpha() and max(w) <= "\xff"]
+        self._cut(plain, True)
+        self._cut(list(wanted.difference(plain)), False)
+        return list(map(self.words.current.__getitem__, words))
+
+    def _parts(self, chunks: pa.StringArray, special: bool) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """Of each chunk its lowered word and the place of its punctuation among the distinct ones."""
+        cores = pc.utf8_rtrim(chunks, characters=TAIL)
+        size, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (cores, chunks))
+        data = np.r_[np.zeros(2, np.uint8), np.frombuffer(cores.buffers()[2] or b"", np.uint8)]
+        end = np.frombuffer(cores.buffers()[1], np.int32)[cores.offset + 1 : cores.offset + len(cores) + 1] + 1
+        last, before = data[end], data[end - 1]
+        # A to Z in either case, or a letter of U+00C0 to U+00FF: lowered, none of them joins what follows.
+        letter = (last & 0xDF) - np.uint8(65) < 26
+        letter |= (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        letter &= size > 0
+        for m in self.marks if special else ():
+            letter &= ~pc.match_substring(chunks, m).to_numpy(zero_copy_only=False)
+        tails, place = [""], np.zeros(len(chunks), np.int32)
+        rows = np.flatnonzero(letter & (size < whole))
+        if len(rows):
+            found = pa.array([c[-n:] for c, n in zip(chunks.take(pa.array(rows)).to_pylist(), (whole - size)[rows].tolist())], pa.string()).dictionary_encode()
+            tails += found.dictionary.to_pylist()
+            place[rows] = found.indices.to_numpy() + 1
+        return pc.if_else(pa.array(letter), pc.ascii_lower(cores), chunks), place, tails
+
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end."""
+        self.words.turn()
+        texts = pc.fill_null(texts, "")
+        special = any(pc.any(pc.match_substring(texts, m)).as_py() for m in self.marks)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = lists.flatten().dictionary_encode()
+        cores, tail, tails = self._parts(found.dictionary, special)
+        cores = cores.dictionary_encode()
+        known = self._known([*cores.dictionary.to_pylist(), *tails], special)
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        start, pool = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(known), "<u4")
+        chunk = found.indices.to_numpy()
+        units = np.empty(2 * len(chunk), np.int32)
+        units[::2] = cores.indices.to_numpy().take(chunk)
+        units[1::2] = (np.int32(len(cores.dictionary)) + tail).take(chunk)
+        count = size.take(units)
+        stop = np.cumsum(count, dtype=np.int32)
+        place = np.repeat(start.take(units) - stop + count, count)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = pool.take(place)
+        stops = np.r_[0, stop][2 * (lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py())]
+        return ids, stops
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all(pa.array([text], pa.string()))[0].tolist()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -105,16 +153,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, id_co
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def block(batch: pa.RecordBatch) -> list:
-        encoder, end = word_encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        found, stops = word_encoder(tokenizer_path).encode_all(batch.column(1))
+        found = np.insert(found, stops, END_ID)
         owner, number, start, length, crc, ids = [], [], [], [], [], []
-        for i, data in enumerate(encoder.encode_all(batch.column(1).to_pylist())):
-            data += end
-            for k, at in enumerate(range(0, len(data), 4 * sequence)):
-                cut = data[at : at + 4 * sequence]
-                owner.append(i), number.append(k), start.append(at // 4), length.append(len(cut) // 4)
+        first = 0
+        for i, stop in enumerate((stops + np.arange(1, len(stops) + 1)).tolist()):
+            for k, at in enumerate(range(first, stop, sequence)):
+                cut = found[at : min(at + sequence, stop)]
+                owner.append(i), number.append(k), start.append(at - first), length.append(len(cut))
                 crc.append(zlib.crc32(cut))
                 if with_ids:
-                    ids.append(np.frombuffer(cut, "<u4").astype("i4"))
+                    ids.append(cut.astype("i4"))
+            first = stop
         return [batch.column(0).take(pa.array(owner, pa.int32())), number, start, length, crc, *([ids] if with_ids else [])]
 
     return map_blocks(docs.select(F.col(id_column), F.col(text_column)), 1, schema, block)
