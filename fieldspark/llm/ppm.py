@@ -9,9 +9,10 @@ last ORDER + 1 bytes alone: the trees of all languages are merged into tables
 that give every language's code length for a byte string at once, and a text's
 code length is a sum of table entries.
 
-The trees are learned from a bounded sample: SAMPLE_DOCS documents of each
-language at most, those with the smallest hashes among documents of up to
-SAMPLE_BYTES bytes. Every whole text is scored.
+The trees are learned from a bounded sample: SAMPLE_DOCS documents of each of
+the LANGUAGES most frequent languages at most, those with the smallest hashes
+among documents of up to SAMPLE_BYTES bytes. Every whole text is scored; a text
+longer than a block is a block of its own, cut where its tables are looked up.
 
 A null text or one without letters gets `und` and score 0; so does every text
 when no row has a language to learn from. Equal code lengths go to the
@@ -31,9 +32,13 @@ from .common import filter_blocks, map_blocks
 
 ORDER = 4
 SAMPLE_DOCS = 400
+#: Languages that are learned, at most: the most frequent ones.
+LANGUAGES = 200
 SAMPLE_BYTES = 16_384
 #: What stands before a text, so that its first bytes have contexts, too.
 START = b"\n" * ORDER
+#: Bytes whose code lengths are held at once.
+PIECE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 #: A text of so many bytes whose best code length is over so many bits a byte is in no learned language.
 FOREIGN_BYTES, FOREIGN_BITS = 32, 9.0
@@ -123,25 +128,44 @@ class ContextTrees:
         total = np.zeros((len(texts), len(self.languages)))
         if not len(texts) or not len(self.languages):
             return total
-        bits = self.bits(data)
         full = np.flatnonzero(sizes)
         # The start bytes of a text cost nothing: a cut after them begins each sum.
         cuts = np.stack([ends[full] - sizes[full], ends[full]], 1).ravel()
-        sums = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), np.float32)]), cuts, axis=0, dtype=np.float64)[::2] if len(full) else None
-        if sums is not None:
-            total[full] = sums
+        for at in range(0, len(data), PIECE):
+            # A code length depends on ORDER bytes before a byte, so pieces overlap by them.
+            first, last = max(0, at - ORDER), min(len(data), at + PIECE)
+            bits = self.bits(data[first:last])[at - first :]
+            inner = np.clip(cuts, at, last) - at
+            here = np.flatnonzero(inner[1::2] > inner[::2])
+            pair = np.stack([inner[2 * here], inner[2 * here + 1]], 1).ravel()
+            if len(here):
+                total[full[here]] += np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), np.float32)]), pair, axis=0, dtype=np.float64)[::2]
         return total
 
 
 def learn(docs: DataFrame, usable: Column, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> ContextTrees:
-    """Trees from the bounded sample of the rows where `usable` holds."""
+    """Trees from the bounded sample of the rows where `usable` holds.
+
+    Only texts whose hash lies under their language's share are read together:
+    about 2 * SAMPLE_DOCS of each language, for any number of rows and tasks.
+    """
+    spark = docs.sparkSession
     text, lang = F.col(text_column), F.col(lang_column)
-    order = F.xxhash64(F.col(id_column), text)
-    pool = docs.where(usable & lang.isNotNull() & (F.octet_length(text) > 0) & (F.octet_length(text) <= SAMPLE_BYTES)).select(lang.alias("l"), text.alias("t"), order.alias("o"))
+    known = docs.where(usable & lang.isNotNull())
+    most = known.groupBy(lang.alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    shares = {r.l: 2 * SAMPLE_DOCS / r["count"] for r in most}
+    pool = known.where((F.octet_length(text) > 0) & (F.octet_length(text) <= SAMPLE_BYTES)).select(lang.alias("l"), text.alias("t"), F.xxhash64(F.col(id_column), text).alias("o"))
     first = Window.partitionBy("l").orderBy("o", "t")
     samples: dict[str, list[bytes]] = {}
-    for row in pool.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("l", "t").toLocalIterator():
-        samples.setdefault(row.l, []).append(fold(row.t))
+    while shares:
+        limits = spark.createDataFrame([(k, (1 << 63) - 1 if v >= 1 else int(v * 2.0**64) - (1 << 63)) for k, v in shares.items()], "l string, most long")
+        some = pool.join(F.broadcast(limits), "l").where(F.col("o") <= F.col("most")).drop("most")
+        found: dict[str, list[bytes]] = {}
+        for row in some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).orderBy("l", "n").select("l", "t").toLocalIterator():
+            found.setdefault(row.l, []).append(fold(row.t))
+        done = [k for k, v in shares.items() if v >= 1 or len(found.get(k, ())) >= SAMPLE_DOCS]
+        samples |= {k: found[k] for k in done if k in found}
+        shares = {k: 4 * v for k, v in shares.items() if k not in done}
     return ContextTrees(samples)
 
 
