@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sampled, written
 from .vectors import kmeans, main_size, matrix, usable
 
 BOOKS = 32
@@ -135,7 +135,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_
     rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), is_query.alias("query"))
     size = main_size(rows, "v")
     rows = rows.where(F.size("v") == (size or 0))
-    sample = rows.select("v", F.xxhash64("vec_id", "v").alias("o")).orderBy("o").limit(SAMPLE).select("v").toArrow()
+    sample = sampled(rows.select("v", F.xxhash64("vec_id", "v").alias("o")), SAMPLE, vectors.count(), "o", "v").orderBy("o", "v").select("v").toArrow()
     books = Codebooks(matrix(sample.column("v")) if sample.num_rows else np.zeros((0, 1)))
     stored = written(index(rows, books), "codes")
     queries = written(rows.where("query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")

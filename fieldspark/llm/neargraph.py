@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import lookup, sampled, written
 from .graph import components, unite
 from .vectors import kmeans, matrix, usable
 
@@ -254,7 +254,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
         share = SAMPLE / sum(large.values())
         centres = {}
         for (label, d), n in large.items():
-            part = classes.where((F.col("label") == F.lit(label)) & (F.size("v") == d)).select("v", F.xxhash64("node").alias("o")).orderBy("o").limit(max(64, int(n * share))).select("v").toArrow()
+            own = classes.where((F.col("label") == F.lit(label)) & (F.size("v") == d)).select("v", F.xxhash64("node").alias("o"))
+            part = sampled(own, max(64, int(n * share)), n, "o").orderBy("o").select("v").toArrow()
             centres[label, d] = kmeans(unit(matrix(part.column("v"))), -(-2 * n // cell), 6, rng)
         known = spark.sparkContext.broadcast(centres)
 
