@@ -8,23 +8,24 @@ whole encoding by walking back, appends without re-encoding, and edits that
 re-encode only until the stored tokens agree again.
 
 Nulls: a null text is an empty one: no ids and no bytes. Columns other than
-the id and the text are ignored; null or repeated ids give rows of their own.
+the id and the text are ignored; null or repeated ids give rows of their own. A
+text longer than a block is a block of its own; the time for a text grows with its length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterable
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_blocks
+from .common import Generations, Memo, map_blocks
 
 
 class Merges:
@@ -37,6 +38,11 @@ class Merges:
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.known = Memo(lambda pair: self.stable(pair >> 20, pair & 0xFFFFF), 400_000)
+        by_end: dict[bytes, set[int]] = {}
+        for token in ranks:
+            by_end.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths of the tokens that end like three bytes (fewer at a string's start), longest first.
+        self.lengths = Memo(lambda end: tuple(sorted(set().union(*(by_end.get(end[k:], ()) for k in range(len(end)))), reverse=True)), 400_000)
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 continue
@@ -86,12 +92,17 @@ class PrefixEncoder:
         self._extend()
 
     def _extend(self, stop: int | None = None) -> None:
-        data, find, stable, last, longest = self.data, self.merges.ranks.get, self.merges.known, self.last, self.merges.longest
+        data, find, stable, last, lengths = self.data, self.merges.ranks.get, self.merges.known, self.last, self.merges.lengths
         for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            for cut in range(end - longest if end > longest else 0, end):
-                token = find(data[cut:end])
-                if token is not None and (not cut or stable[last[cut - 1] << 20 | token]):
-                    break
+            for n in lengths[data[end - 3 if end > 3 else 0 : end]]:
+                if n < end:
+                    token = find(data[end - n : end])
+                    if token is not None and stable[last[end - n - 1] << 20 | token]:
+                        break
+                elif n == end:
+                    token = find(data[:end])
+                    if token is not None:
+                        break
             else:
                 raise ValueError("the ranks lack a byte")
             last.append(token)
@@ -128,49 +139,81 @@ class PrefixEncoder:
 class Codec:
     """Texts to ids and back, each match of the pattern on its own.
 
-    The outer pattern cuts a text at white space just as the inner one would,
-    so a chunk's ids don't depend on its neighbours and are kept in a bounded
-    cache. Where no two white-space characters meet, plain splitting does the same.
+    Cutting a text before each space and around each line end gives units that
+    the pattern would never join, if no two white-space characters meet and all
+    are of these two kinds; a pattern of units does the same for other texts. A
+    unit's ids don't depend on its neighbours: Arrow finds the distinct units of
+    a block, new ones are encoded, the others are known within a bound of bytes,
+    and the block's ids are gathered from its units' ids at once.
     """
 
-    def __init__(self, rank_path: str, pattern: str, bound: int = 400_000):
+    UNEVEN = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+    def __init__(self, rank_path: str, pattern: str, bound: int = 64 << 20):
         self.merges = Merges.read(rank_path)
         self.words = regex.compile(pattern)
-        self.chunks = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
-        self.rare = re.compile("[\\t\\v\\f\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-        self.known = Memo(self._word, bound)
-        self.cache = Memo(self._chunk, bound)
-        self.after_space = Memo(lambda word: self._chunk(" " + word), bound)
-        self.decimal = {i: str(i) for i in self.merges.tokens}
-
-    def _word(self, word: str) -> tuple[int, ...]:
+        self.units = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
+        self.known, self.parts = Generations(bound), Generations(bound)
+        size = max(self.merges.tokens) + 1
+        self.bytes = pa.array([self.merges.tokens.get(i, b"") for i in range(size)], pa.large_binary())
+        self.decimal = pa.array([b"%d " % i for i in range(size)], pa.large_binary())
+
+    def _word(self, word: str) -> bytes:
         data = word.encode()
         whole = self.merges.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixEncoder(self.merges, data).ids())
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.known.__getitem__, self.words.findall(chunk))))
+        return np.array([whole] if whole is not None else PrefixEncoder(self.merges, data).ids(), "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        cut = list(map(self.words.findall, new))
+        parts = list(self.parts.missing({p for own in cut for p in own}))
+        self.parts.put(parts, list(map(self._word, parts)))
+        known = self.parts.current
+        self.known.put(new, [known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own)) for own in cut])
+
+    def _gathered(self, units: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts whose units lie between offsets, and where each text's ids end."""
+        self.parts.turn(), self.known.turn()
+        found = units.dictionary_encode()
+        names = found.dictionary.to_pylist()
+        self._learn(list(self.known.missing(set(names))))
+        known = list(map(self.known.current.__getitem__, names))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        place = found.indices.to_numpy()
+        count = size.take(place)
+        stop = np.cumsum(count)
+        rows = np.repeat(start.take(place) - stop + count, count)
+        rows += np.arange(len(rows))
+        return pool.take(rows), np.r_[0, stop][offsets[1:]]
+
+    def groups(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, ids, stops) of the texts that are cut alike; null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        uneven = pc.match_substring_regex(texts, self.UNEVEN)
+        full = pc.greater(pc.binary_length(texts), 0)
+        rows = np.flatnonzero(pc.and_not(full, uneven).to_numpy(zero_copy_only=False))
+        if len(rows):
+            marked = pc.replace_substring(pc.replace_substring(texts.take(pa.array(rows)), " ", "\x1f "), "\n", "\x1f\n\x1f")
+            lists = pc.split_pattern(marked, "\x1f")
+            yield rows, *self._gathered(lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py())
+        rows = np.flatnonzero(pc.or_(pc.invert(full), uneven).to_numpy(zero_copy_only=False))
+        if len(rows):
+            cut = [self.units.findall(t) for t in texts.take(pa.array(rows)).to_pylist()]
+            yield rows, *self._gathered(pa.array([u for own in cut for u in own], pa.string()), np.cumsum([0, *map(len, cut)]))
 
     def encode(self, text: str) -> list[int]:
-        if self._uneven(text):
-            return list(chain.from_iterable(map(self.cache.__getitem__, self.chunks.findall(text))))
-        found: list[int] = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k:
-                found += self.cache["\n"]
-            found += self.cache[words[0]]
-            found += chain.from_iterable(map(self.after_space.__getitem__, words[1:]))
-        return found
-
-    def _uneven(self, text: str) -> bool:
-        """Whether white space meets white space or an end, or is of a rare kind."""
-        return not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or self.rare.search(text) is not None
+        return next(self.groups(pa.array([text], pa.string())))[1].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.merges.tokens.__getitem__, ids))
 
 
+def _joined(table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The table's entries of all ids, one after another, and where each begins; the last offset is the end."""
+    found = table.take(pa.array(ids))
+    return memoryview(found.buffers()[2] or b""), np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1]
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -187,8 +230,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_
     kind = docs.schema[id_column].dataType.simpleString()
 
     def block(batch: pa.RecordBatch) -> list:
-        own = codec(rank_path, pattern)
-        return [batch.column(0), [own.encode(t or "") for t in batch.column(1).to_pylist()]]
+        out: list = [None] * batch.num_rows
+        for rows, ids, stops in codec(rank_path, pattern).groups(batch.column(1)):
+            for row, own in zip(rows.tolist(), np.split(ids.astype(np.int32), stops[:-1])):
+                out[row] = own
+        return [batch.column(0), out]
 
     return map_blocks(docs.select(id_column, text_column), 1, f"doc_id {kind}, ids array<int>", block)
 
@@ -211,12 +257,15 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc
 
     def block(batch: pa.RecordBatch) -> list:
         own = codec(rank_path, pattern)
-        counts, ids_hex, data_hex = [], [], []
-        for text in batch.column(1).to_pylist():
-            ids = own.encode(text or "")
-            counts.append(len(ids))
-            ids_hex.append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
-            data_hex.append(hashlib.sha256(own.decode(ids)).hexdigest())
+        counts, ids_hex, data_hex = ([None] * batch.num_rows for _ in range(3))
+        for rows, ids, stops in own.groups(batch.column(1)):
+            starts = np.r_[0, stops[:-1]]
+            decimal, data = _joined(own.decimal, ids), _joined(own.bytes, ids)
+            for row, a, b in zip(rows.tolist(), starts.tolist(), stops.tolist()):
+                counts[row] = b - a
+                # The last id's space is left out.
+                ids_hex[row] = hashlib.sha256(decimal[0][decimal[1][a] : max(decimal[1][a], decimal[1][b] - 1)]).hexdigest()
+                data_hex[row] = hashlib.sha256(data[0][data[1][a] : data[1][b]]).hexdigest()
         return [batch.column(0), counts, ids_hex, data_hex]
 
     return map_blocks(docs.select(F.col(id_column), F.col(text_column)), 1, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", block)
