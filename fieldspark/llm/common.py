@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,25 +10,28 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Bytes of text that one block holds, so that numpy temporaries stay small.
 BLOCK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="fieldspark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing will read again."""
+    for table in tables:
+        jvm, context = table.sparkSession._jvm, table.sparkSession._jsc
+        path = jvm.org.apache.hadoop.fs.Path(table._stored)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def sampled(rows: DataFrame, n: int, total: int, order: str, *then: str) -> DataFrame:
@@ -154,7 +156,9 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame
     total = small.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) > total / HOT_KEYS
     heavy = small.where(hot).drop(weight)
-    marked = big.join(F.broadcast(heavy.select(key, F.lit(True).alias("_hot"))), key, "left")
+    marked = big.where(F.col(key).isNotNull()).join(F.broadcast(heavy.select(key, F.lit(True).alias("_hot"))), key, "left")
     left = marked.where(F.col("_hot").isNull()).drop("_hot").join(small.where(~hot).drop(weight), key, "left")
     right = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(heavy), key)
-    return left.unionByName(right.select(*left.columns))
+    # Rows without a key find nothing and are not shuffled, as they would all meet in one task.
+    alone = big.where(F.col(key).isNull()).select(*[F.col(f"`{c}`") for c in big.columns], *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in small.columns if c not in (key, weight)])
+    return left.unionByName(right.select(*left.columns)).unionByName(alone.select(*left.columns))

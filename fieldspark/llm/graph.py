@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import discard, lookup, written
 
 
 def _least(edges: DataFrame, key: str, other: str) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "small")
+        discard(links, large)
         # Only stars remain when no parent has a parent.
         chained = after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         links = after

@@ -40,10 +40,12 @@ START = b"\n" * ORDER
 #: Bytes whose code lengths are held at once.
 PIECE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
-#: A text of so many bytes whose best code length is over so many bits a byte is in no learned language.
-FOREIGN_BYTES, FOREIGN_BITS = 32, 9.0
+#: A text is in no learned language if its best code length is over so many times what that language's texts take, and so many bits.
+FOREIGN_TIMES, FOREIGN_BITS = 2.0, 512.0
 #: Bits by which a doubling of the odds is softened in the score.
 SOFT_BITS = 8.0
+#: Texts of a language by which its own code lengths are measured.
+TYPICAL = 50
 
 
 def fold(text: str | None) -> bytes:
@@ -93,6 +95,11 @@ class ContextTrees:
             self.costs.append(cost.astype(np.float32))
             suffix_of, shorter, nodes = below, cost, unknown
             at = [np.r_[np.zeros(1, np.int64), table[k[:-1]]] if len(k) else k for k in keys]
+        #: Bits a byte that some of each language's texts take.
+        self.typical = np.zeros(many)
+        for i, k in enumerate(self.languages):
+            texts = [t for t in samples[k][:TYPICAL] if t]
+            self.typical[i] = self.code_lengths(texts)[:, i].sum() / max(1, sum(map(len, texts)))
 
     def bits(self, data: np.ndarray) -> np.ndarray:
         """Every language's code length of every byte of `data`, each with its ORDER bytes before it."""
@@ -197,17 +204,20 @@ def predict(docs: DataFrame, trees: ContextTrees, id_column: str = "doc_id", tex
     return map_blocks(docs.select(id_column, text_column), 1, f"doc_id {kind}, lang_pred string, score double", block)
 
 
-def accepted(docs: DataFrame, trees: ContextTrees, text_column: str = "text") -> DataFrame:
-    """The rows of docs in a learned language, with all their columns.
+def accepted(docs: DataFrame, trees: ContextTrees, text_column: str = "text", languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs in one of `languages` (all learned ones, if None), with all their columns.
 
-    Texts without letters go, and texts of FOREIGN_BYTES bytes or more that even
-    the best language needs over FOREIGN_BITS bits a byte for. A text too short
-    to tell related languages apart stays.
+    Texts without letters go, and texts that even the best language needs more
+    than FOREIGN_TIMES its own texts' bits a byte for, and FOREIGN_BITS besides:
+    so a few foreign bytes, as of a key or an address, don't condemn a text, and
+    a short one needs to be far off. Without anything to learn from, all go.
     """
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def keep(texts: list) -> list[bool]:
-        names, _, rate = judge(model.value, [t.decode() if t else None for t in texts])
-        return [name != "und" and (len(t) < FOREIGN_BYTES or r <= FOREIGN_BITS) for name, t, r in zip(names, (t or b"" for t in texts), rate)]
+        own = model.value
+        names, _, rate = judge(own, [t.decode() if t else None for t in texts])
+        most = {k: FOREIGN_TIMES * own.typical[i] for i, k in enumerate(own.languages) if languages is None or k in languages}
+        return [name in most and r * len(t) <= most[name] * len(t) + FOREIGN_BITS for name, r, t in zip(names, rate, (t or b"" for t in texts))]
 
     return filter_blocks(docs, text_column, keep)

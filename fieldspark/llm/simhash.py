@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup, map_blocks, written
@@ -235,14 +235,18 @@ def links(classes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataF
 
 #: A long signature: the fingerprint and three more of the same shingles, hashed on with these odd numbers.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+SIGNS = 4
 SIMILAR = 0.8
 #: Bits of 256 by which the signatures of a candidate pair differ at most; at a similarity of 0.8 they differ in about 39.
 LOOSE = 60
-#: Classes of one candidate group that are verified in one block.
-SETS = 2_000
-#: Shingle counts are banded by this factor; twice it passes 1 / SIMILAR.
-BAND = 1.12
-TILE = 4_096
+#: Share of a signature's bits that agree at that similarity, and the e-folds by which a pair's chance to share no band falls.
+AGREE, FOLDS = 0.848, 4.0
+#: Classes in a band's bucket, on average, and at most: a fuller one is parted by more bits of its band.
+BUCKET, FULL = 128, 20_000
+#: Rows of bands that a partition holds on average, at most.
+PARTITION_ROWS = 1_000_000
+#: Texts, and shingles, of one candidate group that are verified in one block.
+SETS, SHINGLES = 2_000, 2_000_000
 
 
 def signature(data: bytes, width: int) -> tuple[list[int], np.ndarray]:
@@ -255,11 +259,107 @@ def signature(data: bytes, width: int) -> tuple[list[int], np.ndarray]:
     return out, hashes
 
 
-def verified(sets: list[np.ndarray], signs: np.ndarray, first: np.ndarray, second: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+class Bands:
+    """Which bits of a signature each band reads: `bits` at first, twice as many at every further level.
+
+    With few bits a bucket holds many classes, and with many a pair needs more
+    bands to share one; the number of bits follows from that of classes.
+    """
+
+    def __init__(self, classes: int, seed: int = 31):
+        self.bits = min(32, max(4, int(np.ceil(np.log2(max(2, classes) / BUCKET)))))
+        self.count = int(np.ceil(FOLDS / AGREE**self.bits))
+        rng = np.random.default_rng(seed)
+        self.orders = [rng.permutation(64 * SIGNS) for _ in range(self.count)]
+        self.levels = int(np.ceil(np.log2(64 * SIGNS / self.bits))) + 1
+
+    def keys(self, signs: np.ndarray, band: int, level: int) -> np.ndarray:
+        """A hash of the bits that the band reads of each signature at this level."""
+        order = self.orders[band][: self.bits << level]
+        out = np.full(len(signs), (band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64) + np.uint64(level)
+        for at in range(0, len(order), 64):
+            some = order[at : at + 64]
+            word = np.zeros(len(signs), np.uint64)
+            for k, bit in enumerate(some.tolist()):
+                word |= ((signs[:, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)) << np.uint64(k)
+            out = (out ^ word) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+
+def bucket_pairs(key: np.ndarray, signs: np.ndarray, size: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in equal buckets (key is sorted) whose signatures and sizes allow the similarity."""
+    last = np.searchsorted(key, key, side="right") - 1
+    for shift in range(1, int((last - np.arange(len(key))).max(initial=0)) + 1):
+        left = np.flatnonzero(last - np.arange(len(key)) >= shift)
+        for at in range(0, len(left), 1 << 18):
+            a = left[at : at + (1 << 18)]
+            b = a + shift
+            a = a[np.minimum(size[a], size[b]) >= similar * np.maximum(size[a], size[b])]
+            apart = np.zeros(len(a), np.uint16)
+            for w in range(SIGNS):
+                apart += np.bitwise_count(signs[a, w] ^ signs[a + shift, w])
+            a = a[apart <= LOOSE]
+            if len(a):
+                yield a, a + shift
+
+
+def proposals(classes: DataFrame, similar: float) -> DataFrame:
+    """(node, other): a forest whose trees are the candidates found in each partition; classes has `node`, s0 to s3 and `shingles`."""
+    spark = classes.sparkSession
+    n = classes.count()
+    bands = Bands(n)
+    names = [f"s{w}" for w in range(SIGNS)]
+
+    def dealt(full: list[np.ndarray], bare: bool = False) -> DataFrame:
+        """Every class in a bucket of each band; those in a full one in one of the next level. Bare: the keys alone."""
+
+        def run(batches):
+            for batch in batches:
+                signs = np.stack([batch.column(c).to_numpy() for c in names], 1).view(np.uint64)
+                for band in range(bands.count):
+                    key = bands.keys(signs, band, 0)
+                    for level, crowded in enumerate(full):
+                        again = np.flatnonzero(np.isin(key, crowded))
+                        key[again] = bands.keys(signs[again], band, level + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(() if bare else batch.columns)], names=["key", *(() if bare else ("node", *names, "shingles"))])
+
+        return classes.select("node", *names, "shingles").mapInArrow(run, "key long" + ", node long, s0 long, s1 long, s2 long, s3 long, shingles long" * (not bare))
+
+    full: list[np.ndarray] = []
+    while n > FULL and len(full) < bands.levels - 1:
+        # There are n * bands / FULL full buckets at most.
+        crowded = dealt(full, True).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("key").toArrow().column("key").to_numpy()
+        if not len(crowded):
+            break
+        full.append(np.sort(crowded))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        key, node, size = (table.column(c).to_numpy() for c in ("key", "node", "shingles"))
+        signs = np.stack([table.column(c).to_numpy() for c in names], 1).view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        nodes, place = np.unique(node[order], return_inverse=True)
+        parent = np.arange(len(nodes))
+        for a, b in bucket_pairs(key[order], signs[order], size[order], similar):
+            unite(parent, place[a], place[b])
+        tied = np.flatnonzero(parent != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[parent[tied]])], names=["node", "other"])
+
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * bands.count // PARTITION_ROWS))
+    return dealt(full).repartition(wanted, "key").mapInArrow(find, "node long, other long").distinct()
+
+
+def verified(sets: list[np.ndarray], signs: np.ndarray, parent: np.ndarray, first: np.ndarray, second: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
     """Roots after uniting the pairs of `first` and `second` whose Jaccard similarity is `similar` or more; united ones are not compared again."""
     size = np.array([len(x) for x in sets], np.int64)
-    parent = np.arange(len(sets))
-    for i in first:
+    same, whole = np.array_equal(first, second), second
+    for k, i in enumerate(first):
+        second = whole[k + 1 :] if same else whole
         near = np.bitwise_count(signs[second] ^ signs[i]).sum(1, dtype=np.int64) <= LOOSE
         near &= np.minimum(size[second], size[i]) >= similar * np.maximum(size[second], size[i])
         for j in second[near & (parent[second] != parent[i])]:
@@ -270,97 +370,102 @@ def verified(sets: list[np.ndarray], signs: np.ndarray, first: np.ndarray, secon
     return parent
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _grouped(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): every node with the name of its component."""
+    return nodes.join(components(edges).select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _checked(members: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """(node, other): forests of the links that the shingles themselves confirm within each block.
+
+    members has `node`, the text's place among `a` and `b`, the block's two
+    sides, `side`, and `root`, what it is already united with.
+    """
+
+    def shingled(batch: pa.RecordBatch) -> list:
+        found = [signature(t or b"", width) for t in batch.column(1).to_pylist()]
+        return [batch.column(0), [np.array(f[0], np.uint64).view(np.int64) for f in found], [f[1].view(np.int64) for f in found]]
+
+    # A text's shingles are made once, however many blocks it is in.
+    asked = texts.join(members.select("node").distinct(), "node")
+    sets = map_blocks(asked.select("node", "text"), 1, "node long, signs array<long>, hashes array<long>", shingled)
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        hashes = [x.values.to_numpy().view(np.uint64) for x in table.column("hashes")]
+        signs = np.array(table.column("signs").to_pylist(), np.int64).view(np.uint64)
+        _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        first = np.full(len(nodes), len(nodes))
+        np.minimum.at(first, root, np.arange(len(nodes)))
+        parent = verified(hashes, signs, first[root], *(np.flatnonzero(side == x) for x in (side.min(), side.max())), similar)
+        tied = np.flatnonzero(parent != np.arange(len(nodes)))
+        return pa.table([pa.array(nodes[tied]), pa.array(nodes[parent[tied]])], names=["node", "other"])
+
+    met = members.join(sets, "node").select("node", "signs", "hashes", "loose", "a", "b", "side", "root")
+    return written(met.groupBy("loose", "a", "b").applyInArrow(verify, "node long, other long"), "verified")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id_column: str = "doc_id", text_column: str = "text", row_column: str = "row") -> DataFrame:
     """(doc_id, row, representative): groups of texts linked by a Jaccard similarity of `similar` or more of their distinct shingles.
 
-    The Gray-order index proposes fingerprints at RADIUS or fewer differing bits.
-    Fingerprints of 64 bits can't tell a similarity of 0.8 from chance among
-    many texts, and at that distance no segment of theirs need agree; so
-    signatures four times as long, which propose where LOOSE bits differ at
-    most, are compared block by block besides, with those texts
-    whose shingle counts allow the similarity. Proposals make candidate groups;
-    in these, block by block, the shingles themselves are compared, and only
-    texts with the similarity are linked. Texts with equal shingles are one
-    class from the start. `row` numbers the
-    rows of docs, `representative` is the row that stays: the smallest of its
-    group by id, then row.
+    The Gray-order index proposes fingerprints at RADIUS or fewer differing
+    bits. At the similarity no segment of 64 bits need agree, so signatures four
+    times as long are indexed, too: each of many bands reads some of the 256
+    bits, and texts that agree on a band's bits are proposed if LOOSE bits differ
+    at most. Proposals make candidate groups; in these the shingles themselves
+    are compared, and only texts with the similarity are linked. Groups larger
+    than a block are cut: the blocks are compared within, then a text of each
+    united part with those of the others, and only what then is still apart is
+    compared block by block. Texts with equal shingles are one class from the
+    start; null, empty and wordless texts have equal (no) shingles, so one row of
+    them all stays. `row` names the rows of docs, `representative` is the row
+    that stays: the smallest of its group by id, then row.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def block(batch: pa.RecordBatch) -> list:
         found = [signature(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        bits = np.array([f[0] for f in found], np.uint64).reshape(-1, 4).view(np.int64)
+        bits = np.array([f[0] for f in found], np.uint64).reshape(-1, SIGNS).view(np.int64)
         return [batch.column(0), batch.column(2), *bits.T, np.array([len(f[1]) for f in found], np.int64), [xxhash.xxh3_128_digest(f[1].tobytes()) for f in found]]
 
-    spark = docs.sparkSession
-    signed = written(map_blocks(docs.select(id_column, text_column, "row"), 1, f"doc_id {kind}, row long, s0 long, s1 long, s2 long, s3 long, shingles long, key binary", block), "signatures")
+    signed = written(map_blocks(docs.select(id_column, text_column, F.col(row_column).alias("row")), 1, f"doc_id {kind}, row long, s0 long, s1 long, s2 long, s3 long, shingles long, key binary", block), "signatures")
     key = ["s0", "s1", "s2", "s3", "shingles"]
     classes = signed.groupBy("key", *key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first.row"))
-    classes = written(classes.withColumn("band", F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("int")), "signed-classes")
-    tiles = classes.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    own = classes.join(tiles, "band").select("node", *key[:4], "band", "tiles")
-    reach = [F.lit(k) for k in range(3)]
-
-    def side(rows: DataFrame, other: str, mine: str) -> DataFrame:
-        """Each row in a tile of its own, once for every tile of the other side."""
-        return rows.withColumn(mine, F.pmod(F.xxhash64("node"), F.col("own_tiles")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
-
-    # A text meets those of its own band and of the two below it.
-    asked = own.withColumnRenamed("tiles", "own_tiles").withColumn("meets", F.explode(F.array(*[F.col("band") - r for r in reach])))
-    pairs = tiles.select(F.col("band").alias("meets"), F.col("tiles").alias("other_tiles"))
-    asked = side(asked.join(pairs, "meets"), "tile", "ask").select("node", *key[:4], "band", "meets", "tile", "ask")
-    upper = tiles.select(F.col("band").alias("asker"), F.col("tiles").alias("other_tiles"))
-    there = own.select(*[F.col(c).alias(c) for c in own.columns]).withColumnRenamed("tiles", "own_tiles").withColumn("asker", F.explode(F.array(*[F.col("band") + r for r in reach])))
-    there = side(there.join(upper, "asker"), "ask", "tile").select("node", *key[:4], F.col("asker").alias("band"), F.col("band").alias("meets"), "tile", "ask")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (np.stack([t.column(c).to_numpy() for c in key[:4]], 1).view(np.uint64) if t.num_rows else np.zeros((0, 4), np.uint64) for t in (left, right))
-        nodes = np.concatenate([left.column("node").to_numpy(), right.column("node").to_numpy()])
-        names, place = np.unique(nodes, return_inverse=True)
-        parent = np.arange(len(names))
-        for at in range(0, len(a), 128):
-            apart = np.zeros((len(a[at : at + 128]), len(b)), np.uint16)
-            for w in range(4):
-                apart += np.bitwise_count(a[at : at + 128, w, None] ^ b[None, :, w])
-            i, j = np.nonzero(apart <= LOOSE)
-            unite(parent, place[i + at], place[len(a) + j])
-        tied = np.flatnonzero(parent != np.arange(len(names)))
-        return pa.table([pa.array(names[tied]), pa.array(names[parent[tied]])], names=["node", "other"])
-
-    grid = ["band", "meets", "tile", "ask"]
-    edges = asked.groupBy(*grid).cogroup(there.groupBy(*grid)).applyInArrow(compare, "node long, other long").distinct()
+    classes = written(classes, "signed-classes")
+    edges = written(proposals(classes, similar), "proposals")
     first = written(classes.groupBy("s0").agg(F.min("node").alias("other"), F.count("*").alias("n")), "by-fingerprint")
     equal = lookup(classes.select("node", "s0"), first, "s0", "n").where("node != other").select("node", "other")
     tied = links(first.select(F.col("s0").alias("fp"))).select(F.col("fp").alias("s0"), F.col("other").alias("s1"))
     ends = tied.join(first.select("s0", F.col("other").alias("a")), "s0").join(first.select(F.col("s0").alias("s1"), F.col("other").alias("b")), "s1")
     loose = components(edges.unionByName(equal).unionByName(ends.select(F.col("a").alias("node"), F.col("b").alias("other"))))
-    loose = written(loose.withColumnRenamed("component", "loose"), "candidates")
-    wide = written(loose.groupBy("loose").agg(F.count("*").alias("members")), "candidate-groups")
-    members = lookup(loose, wide.withColumn("pieces", F.ceil(F.col("members") / SETS).cast("int")), "loose", "members")
-    texts = docs.select(F.col("row").alias("node"), F.col(text_column).cast("binary").alias("text")).join(members.select("node", "loose", "pieces"), "node")
-
-    def shingled(batch: pa.RecordBatch) -> list:
-        found = [signature(t or b"", width) for t in batch.column(1).to_pylist()]
-        signs = [np.array(f[0], np.uint64).view(np.int64) for f in found]
-        return [batch.column(0), signs, [f[1].view(np.int64) for f in found], batch.column(2), batch.column(3)]
-
-    sets = map_blocks(texts.select("node", "text", "loose", "pieces"), 1, "node long, signs array<long>, hashes array<long>, loose long, pieces int", shingled)
-    sets = sets.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    met = met.select("node", "signs", "hashes", "loose", "piece", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        nodes, piece = table.column("node").to_numpy(), table.column("piece").to_numpy()
-        hashes = [x.values.to_numpy().view(np.uint64) for x in table.column("hashes")]
-        signs = np.array(table.column("signs").to_pylist(), np.int64).view(np.uint64)
-        parent = verified(hashes, signs, np.flatnonzero(piece == piece.min()), np.flatnonzero(piece == piece.max()), similar)
-        tied = np.flatnonzero(parent != np.arange(len(nodes)))
-        return pa.table([pa.array(nodes[tied]), pa.array(nodes[parent[tied]])], names=["node", "other"])
-
-    joined = written(met.groupBy("loose", "a", "b").applyInArrow(verify, "node long, other long"), "verified")
-    # Where every group is one block, its roots are final.
-    joined = joined.withColumnRenamed("other", "component") if wide.where(F.col("members") > SETS).isEmpty() else components(joined)
+    loose = written(loose.withColumnRenamed("component", "loose").join(classes.select("node", "shingles"), "node"), "candidates")
+    wide = loose.groupBy("loose").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / SETS, F.sum("shingles") / SHINGLES)).cast("int").alias("pieces"))
+    wide = written(wide, "candidate-groups")
+    members = written(lookup(loose.select("node", "loose"), wide, "loose", "members").withColumn("piece", F.pmod(F.xxhash64("node"), F.greatest("pieces", F.lit(1))).cast("int")), "members")
+    texts = docs.select(F.col(row_column).alias("node"), F.col(text_column).cast("binary").alias("text"))
+    once = members.select("node", "loose", F.col("piece").alias("a"), F.col("piece").alias("b"), F.col("piece").alias("side"), F.col("node").alias("root"))
+    joined = _checked(once, texts, width, similar)
+    named = members.select("node", "loose", "piece", "pieces")
+    if not wide.where("pieces > 1").isEmpty():
+        # One text of every united part meets those of the other parts.
+        named = written(_grouped(joined, named), "parts")
+        parts = named.where("pieces > 1 AND node = root").withColumn("side", F.lit(0))
+        few = parts.withColumn("n", F.count("*").over(Window.partitionBy("loose"))).where(F.col("n") <= SETS)
+        again = _checked(few.select("node", "loose", F.lit(0).alias("a"), F.lit(0).alias("b"), "side", "root"), texts, width, similar)
+        joined = joined.unionByName(again)
+        named = written(_grouped(joined, named.drop("root")), "united")
+        # What is still apart is compared block by block.
+        apart = named.where("pieces > 1").groupBy("loose").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("loose")
+        apart = named.join(apart, "loose", "left_semi")
+        if not apart.isEmpty():
+            met = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("other != piece")
+            met = met.select("node", "loose", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), F.col("piece").alias("side"), "root")
+            joined = joined.unionByName(_checked(met, texts, width, similar))
+        joined = components(joined)
+    else:
+        # Where every group is one block, its roots are final.
+        joined = joined.withColumnRenamed("other", "component")
     named = classes.select("key", "first", "n", "node").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     sizes = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members"))
     labels = written(lookup(named.select("root", "node", "n", "key"), sizes, "root", "members").select("key", F.col("least.row").alias("representative"), "n"), "representatives")

@@ -77,9 +77,9 @@ def test_simhash_rows(spark, crowd, monkeypatch):
     assert simhash.near_duplicates(docs.where("doc_id < 0"), 3).collect() == []
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 30])
-def test_similar_groups(spark, tile, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", tile)
+@pytest.mark.parametrize("full", [simhash.FULL, 20])
+def test_similar_groups(spark, full, monkeypatch):
+    monkeypatch.setattr(simhash, "FULL", full)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{k}" for k in range(3000)]
     texts, group = [], []

@@ -206,6 +206,20 @@ def test_ppm_sample_is_whole_where_texts_are_few(spark):
     assert trees.languages == ["aa"] and np.allclose(trees.code_lengths([b"text number 7"]), brute_bits([ppm.fold(f"text number {k}") for k in range(0, 5000, 50)], b"text number 7"), rtol=1e-5)
 
 
+def test_language_stage_rejects_foreign_and_mixed_texts(spark):
+    """Texts of another script, of letters in no order, and half of each go; a text with a key or an address in it stays."""
+    rng = np.random.default_rng(4)
+    words = [w.lower() for w in "the of and to in that was his with had her which this from they but have not were been one all their there when said would more some into them then its out time could now than like other very after our made before great little must through long where much your good first such being over might still down make own way men any day most old how under never only two people life well here upon while world".split()]
+    say = lambda n: " ".join(rng.choice(words, n))
+    noise = lambda n: "".join(rng.choice(list("qxzjkvwpbyghfmu"), n))
+    docs = spark.createDataFrame([(k, say(80), "en") for k in range(200)], "doc_id long, text string, lang string")
+    trees = ppm.learn(docs, F.lit(True))
+    texts = {0: (say(60), True), 1: ("другой язык которого никто не учил " * 8, False), 2: (noise(400), False), 3: (say(40) + " " + noise(250), False), 4: (say(40) + " " + "слово " * 30, False)}
+    texts |= {5: (say(40) + " token=9f8e7d6c5b4a39281706f5e4d3c2b1a0", True), 6: ("and " + noise(20), True), 7: (say(3), True), 8: ("12345 67890", False)}
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in ppm.accepted(frame, trees).collect()} == {k for k, (_, stays) in texts.items() if stays}
+
+
 def test_ppm_rows(spark, odd, none):
     docs = spark.createDataFrame([(k, f"the man and the dog {k}", "en") for k in range(20)] + [(50 + k, f"der hund und die katze {k}", "de") for k in range(20)] + [(99, "no language", None)], "doc_id long, text string, lang string")
     trees = ppm.learn(docs, F.lit(True))
@@ -216,7 +230,10 @@ def test_ppm_rows(spark, odd, none):
     assert ppm.predict(none, trees).collect() == []
     foreign = spark.createDataFrame([(1, "а это совсем другой язык, которого никто не учил"), (2, "A."), (3, "1234 5678"), (4, None), (5, "the dog and the man 99")], "doc_id long, text string")
     assert sorted(r.doc_id for r in ppm.accepted(foreign, trees).collect()) == [2, 5]
+    assert sorted(r.doc_id for r in ppm.accepted(foreign, trees, languages=("en",)).collect()) == [2, 5]
+    assert ppm.accepted(foreign, trees, languages=("de",)).collect() == []
     empty = ppm.learn(docs.where("doc_id < 0"), F.lit(True))
+    assert ppm.accepted(docs, empty).collect() == []
     assert {r.lang_pred for r in ppm.predict(odd, empty).collect()} == {"und"}
 
 
