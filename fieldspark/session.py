@@ -33,9 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only on a local master where that is unset.
+
+    On a cluster a temporary folder would be the driver's own, so there the
+    setting has to be made.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="fieldspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
