@@ -9,9 +9,11 @@ is closer to it by ALPHA. Adjacency lists of the shards are united, links added
 backwards, and each class is searched in its home cell: greedily from the shards'
 medoids and its own list, then, without a cap, on through all classes within the
 range and a margin around it. Every pair found is verified in double precision.
-A sample of each cell is audited against brute force, a class's link with itself
-left out; a cell whose recall falls short of AUDIT, or whose sample has no link,
-is compared in full, block by block.
+A sample of each cell, of any classes and of linked ones, is audited against
+brute force, a class's link with itself left out; where recall falls short of
+AUDIT the graph is built and searched again with more neighbours, a larger pool
+and a wider beam. Should the widest step of LADDER fall short, too, the cell is
+compared in full, block by block.
 
 No link across a border is lost: a class visits every cell whose side of the
 bisector with its own cell lies within the range, and the visitors of two cells
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, sampled, written
+from .common import lookup, written
 from .graph import components, unite
 from .vectors import kmeans, matrix, usable
 
@@ -39,10 +41,9 @@ THRESHOLD = 0.93
 #: Cosine below the range through which the search still goes on.
 MARGIN = 0.05
 ALPHA = 1.2
-DEGREE = 16
-POOL = 40
 RANDOM = 8
-BEAM = 12
+#: Neighbours kept, pool that they are pruned from, and beam of the search, from narrow to wide.
+LADDER = ((16, 40, 12), (32, 80, 32), (64, 200, 96))
 SHARD = 2_000
 CELL = 20_000
 #: Vectors that cell centres are fitted on, for all labels together.
@@ -70,13 +71,13 @@ def shards(points: np.ndarray, rng: np.random.Generator, size: int = SHARD) -> l
     return out
 
 
-def pruned(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def pruned(points: np.ndarray, rng: np.random.Generator, degree: int = LADDER[0][0], pool: int = LADDER[0][1]) -> np.ndarray:
     """Robust-pruned out-neighbours of each point, -1 where there are fewer."""
     n = len(points)
-    out = np.full((n, DEGREE), -1, np.int64)
+    out = np.full((n, degree), -1, np.int64)
     if n < 2:
         return out
-    pool = min(POOL, n - 1)
+    pool = min(pool, n - 1)
     for at in range(0, n, 256):
         some = np.arange(at, min(n, at + 256))
         near = points[some] @ points.T
@@ -88,7 +89,7 @@ def pruned(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         members = points[ids]
         between = 2 - 2 * members @ members.transpose(0, 2, 1)
         row = np.arange(len(some))
-        for r in range(DEGREE):
+        for r in range(degree):
             left = np.where(alive, far, np.inf)
             pick = left.argmin(1)
             real = np.isfinite(left[row, pick])
@@ -99,11 +100,11 @@ def pruned(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def united(points: np.ndarray, rng: np.random.Generator, size: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+def united(points: np.ndarray, rng: np.random.Generator, size: int = SHARD, degree: int = LADDER[0][0], pool: int = LADDER[0][1]) -> tuple[np.ndarray, np.ndarray]:
     """The united adjacency of all shards as (starts, ends by start), and the shards' medoids."""
     tails, heads, medoids = [], [], []
     for own in shards(points, rng, size):
-        links = pruned(points[own], rng)
+        links = pruned(points[own], rng, degree, pool)
         a, r = np.nonzero(links >= 0)
         b = links[a, r]
         tails += [own[a], own[b]]
@@ -123,7 +124,7 @@ def _neighbours(starts: np.ndarray, ends: np.ndarray, query: np.ndarray, node: n
     return np.repeat(query, count), ends[place]
 
 
-def range_search(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, medoids: np.ndarray, some: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def range_search(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, medoids: np.ndarray, some: np.ndarray, least: float, beam: int = LADDER[0][2]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in some, node) with a cosine of `least` or more that the graph leads to."""
     n, q = len(points), len(some)
     seen = np.zeros((q, n), bool)
@@ -142,22 +143,22 @@ def range_search(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, medoi
     query = np.concatenate([everyone, np.repeat(everyone, len(medoids))])
     node = np.concatenate([some, np.tile(medoids, q)])
     found_q, found_n, found_s = [], [], []
-    beam_n, beam_s = np.full((q, BEAM), -1, np.int64), np.full((q, BEAM), -np.inf)
-    done = np.ones((q, BEAM), bool)
+    beam_n, beam_s = np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf)
+    done = np.ones((q, beam), bool)
     while len(query):
         query, node, near = fresh(query, node)
         hit = near >= reach
         found_q.append(query[hit]), found_n.append(node[hit]), found_s.append(near[hit])
-        # The best BEAM of what each query has had and has got.
+        # The best of what each query has had and has got.
         order = np.lexsort((-near, query))
         query, node, near = query[order], node[order], near[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
-        cut = place < BEAM
-        more_n, more_s = np.full((q, BEAM), -1, np.int64), np.full((q, BEAM), -np.inf)
+        cut = place < beam
+        more_n, more_s = np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf)
         more_n[query[cut], place[cut]], more_s[query[cut], place[cut]] = node[cut], near[cut]
         all_n, all_s = np.concatenate([beam_n, more_n], 1), np.concatenate([beam_s, more_s], 1)
         all_d = np.concatenate([done, more_n < 0], 1)
-        top = np.argsort(-all_s, axis=1, kind="stable")[:, :BEAM]
+        top = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
         beam_n, beam_s, done = (np.take_along_axis(x, top, 1) for x in (all_n, all_s, all_d))
         nxt = np.where(done, np.inf, -beam_s).argmin(1)
         open_ = ~done[everyone, nxt]
@@ -180,32 +181,45 @@ def cell_links(vectors: np.ndarray, copies: np.ndarray, threshold: float = THRES
     """For each point the other rows of the cell it links with, its root in the cell, and the audited recall."""
     points = unit(vectors)
     rng = np.random.default_rng(seed)
-    parent, links = np.arange(len(points)), copies - 1
-    if len(points) < 2:
-        return links, parent, 1.0
-    graph = united(points, rng, shard)
     least = threshold - 1e-9
-    checked = np.sort(rng.choice(len(points), min(AUDITED, len(points)), replace=False))
-    true = np.zeros((len(checked), len(points)), bool)
-    true[_full(points, checked, least)] = True
-    got = np.zeros_like(true)
-    got[range_search(points, *graph, checked, least)] = True
-    true[np.arange(len(checked)), checked] = False
-    recall = (true & got).sum() / max(1, true.sum())
-    links = links.copy()
-    at, step = 0, 64
-    while at < len(points):
-        some = np.arange(at, min(len(points), at + step))
-        query, node = range_search(points, *graph, some, least) if recall >= AUDIT else _full(points, some, least)
-        query = some[query]
-        other = query != node
-        query, node = query[other], node[other]
-        exact = (points[query] * points[node]).sum(1) >= threshold
-        query, node = query[exact], node[exact]
-        np.add.at(links, query, copies[node])
-        unite(parent, query, node)
-        at, step = at + len(some), 256 if len(query) < 500_000 else 64
-    return links, parent, float(recall)
+    if len(points) < 2:
+        return copies - 1, np.arange(len(points)), 1.0
+
+    def sweep(find) -> tuple[np.ndarray, np.ndarray]:
+        """Links and roots of all points, block by block."""
+        parent, links = np.arange(len(points)), copies - 1
+        at, step = 0, 64
+        while at < len(points):
+            some = np.arange(at, min(len(points), at + step))
+            query, node = find(some)
+            query = some[query]
+            other = query != node
+            query, node = query[other], node[other]
+            exact = (points[query] * points[node]).sum(1) >= threshold
+            query, node = query[exact], node[exact]
+            np.add.at(links, query, copies[node])
+            unite(parent, query, node)
+            at, step = at + len(some), 256 if len(query) < 500_000 else 64
+        return links, parent
+
+    def hits(found: tuple[np.ndarray, np.ndarray], some: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(some), len(points)), bool)
+        out[found] = True
+        out[np.arange(len(some)), some] = False
+        return out
+
+    recall = 0.0
+    for degree, pool, beam in LADDER:
+        graph = united(points, rng, shard, degree, pool)
+        search = lambda some: range_search(points, *graph, some, least, beam)  # noqa: B023, E731
+        links, parent = sweep(search)
+        linked = np.flatnonzero(links >= copies)
+        checked = np.unique(np.r_[rng.choice(len(points), min(AUDITED, len(points)), replace=False), rng.choice(linked, min(AUDITED, len(linked)), replace=False)])
+        true, got = hits(_full(points, checked, least), checked), hits(search(checked), checked)
+        recall = float((true & got).sum() / max(1, true.sum())) if true.any() else 1.0
+        if recall >= AUDIT:
+            return links, parent, recall
+    return *sweep(lambda some: _full(points, some, least)), recall
 
 
 def border_links(vectors: np.ndarray, copies: np.ndarray, lower: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -251,12 +265,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
     cells = classes.select("*", F.size("v").alias("d"))
     if large:
         rng = np.random.default_rng(11)
-        share = SAMPLE / sum(large.values())
+        share = min(1.0, SAMPLE / sum(large.values()))
+        # The vectors under a share of all hashes, SAMPLE or so for all labels together, and 64 of each at least.
+        limits = [(label, d, (1 << 63) - 1 if max(share, 64 / n) >= 1 else int(max(share, 64 / n) * 2.0**64) - (1 << 63)) for (label, d), n in large.items()]
+        limits = spark.createDataFrame(limits, f"label {classes.schema['label'].dataType.simpleString()}, d int, most long")
+        part = cells.join(F.broadcast(limits), ["label", "d"]).withColumn("o", F.xxhash64("node")).where("o <= most").orderBy("o").select("label", "d", "v").toArrow()
+        labels, ds = part.column("label").to_pylist(), part.column("d").to_numpy()
         centres = {}
         for (label, d), n in large.items():
-            own = classes.where((F.col("label") == F.lit(label)) & (F.size("v") == d)).select("v", F.xxhash64("node").alias("o"))
-            part = sampled(own, max(64, int(n * share)), n, "o").orderBy("o").select("v").toArrow()
-            centres[label, d] = kmeans(unit(matrix(part.column("v"))), -(-2 * n // cell), 6, rng)
+            own = unit(matrix(part.column("v").take(pa.array(np.flatnonzero([a == label and b == d for a, b in zip(labels, ds)])))))
+            # No more centres than the sample can place; larger cells are cut at random.
+            centres[label, d] = kmeans(own, max(1, min(-(-2 * n // cell), len(own) // 4)), 6, rng)
         known = spark.sparkContext.broadcast(centres)
 
         def assign(batches):
