@@ -5,11 +5,18 @@ whose path starts with the rule's, and the longest fitting rule decides. The
 other urls are judged by their host: hosts whose pages the rules allow are
 trusted seeds, hosts whose pages they block are distrusted ones, each by the
 share of its pages. Trust follows links (personalised PageRank) and distrust
-follows them backwards, from a bad host to those that link to it. A host whose
-distrust outweighs its trust by THRESHOLD is blocked.
+follows them backwards, from a bad host to those that link to it. Only the
+shares of both at a host are compared, so a host that gets little of either is
+judged like one that gets much: it is blocked where distrust is THRESHOLD or
+more of all there is. A host that rules judge in part counts its other pages as
+neutral beside both. All seeds weigh alike, whatever the number of either kind;
+the rank of hosts without links goes nowhere, as giving it back to the seeds
+would raise all ranks of a kind by one factor.
 
 Links are the absolute and protocol-relative addresses in href and src
-attributes, counted once a page; links within a host are left out.
+attributes, those of `base` and canonical links among them, counted once a page;
+links within a host are left out. Relative addresses lead to the page's own host,
+or to that of its `base`, which is counted as such.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and is
 allowed, as is every host without evidence. Null html has no links. Repeated
@@ -25,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import discard, lookup, written
 
 DAMPING = 0.85
 ROUNDS = 10
@@ -84,19 +91,25 @@ def _spread(links: DataFrame, rank: DataFrame, start: DataFrame, seed: str, rank
 
 
 def host_ranks(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trusted, blocked) over links (src, dst, n).
-
-    A seed without links keeps its whole weight.
-    """
+    """(host, trust, distrust) from seeds (host, trusted, blocked) over links (src, dst, n)."""
     links = written(links, "host-links")
-    good, bad = hosts.select("host", F.col("trusted").alias("trust")), hosts.select("host", F.col("blocked").alias("distrust"))
+    first = lambda seed, name: hosts.select("host", ((1 - DAMPING) * F.col(seed)).alias(name)).where(F.col(name) > 0)
+    good, bad = first("trusted", "trust"), first("blocked", "distrust")
     if not links.isEmpty():
-        for _ in range(rounds):
+        for k in range(rounds):
+            before = good, bad
             good = written(_spread(links, good, hosts, "trusted", "trust", "src", "dst"), "trust")
             bad = written(_spread(links, bad, hosts, "blocked", "distrust", "dst", "src"), "distrust")
-    keep = lambda rank, seed: F.greatest(F.coalesce(rank, F.lit(0.0)), F.coalesce(seed, F.lit(0.0)))
+            if k:
+                discard(*before)
     joined = hosts.join(good, "host", "full").join(bad, "host", "full")
-    return joined.select("host", keep(F.col("trust"), F.col("trusted")).alias("trust"), keep(F.col("distrust"), F.col("blocked")).alias("distrust"))
+    return joined.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+
+
+def outweighed(trust: Column, distrust: Column, trusted: Column, blocked: Column) -> Column:
+    """Whether distrust is THRESHOLD or more of a host's trust, distrust and neutral pages."""
+    neutral = F.when(trusted + blocked > 0, (1 - DAMPING) * (1 - trusted - blocked)).otherwise(0.0)
+    return (distrust > 0) & (distrust >= THRESHOLD * (trust + distrust + neutral) - 1e-12)
 
 
 def verdicts(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -105,16 +118,17 @@ def verdicts(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url
     share = lambda kind: F.count(F.when(F.col("ruling") == kind, 1)) / F.count("*")
     hosts = written(found.groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"), F.count("*").alias("pages")), "hosts")
     ranks = host_ranks(hosts.select("host", "trusted", "blocked"), edges(pages, url_column, html_column))
-    known = written(hosts.select("host", "pages").join(ranks, "host"), "host-ranks")
+    bad = outweighed(*(F.col(c) for c in ("trust", "distrust", "trusted", "blocked")))
+    known = written(hosts.join(ranks, "host").select("host", "pages", "trust", "distrust", bad.alias("bad")), "host-ranks")
     judged = lookup(found, known, "host", "pages")
-    method = F.when(F.col("distrust") - F.col("trust") >= THRESHOLD, "block").otherwise("allow")
+    method = F.when(F.col("bad"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruling", method).alias("verdict"), "trust", "distrust")
 
 
 def oracle(rules: Sequence[tuple[str, str, str]], rounds: int = ROUNDS) -> str:
     """DuckDB SQL for the verdicts on `pages`, with the rounds written out."""
     rows = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
-    steps, good, bad = [], "SELECT host, trusted AS x FROM seeds", "SELECT host, blocked AS x FROM seeds"
+    steps, good, bad = [], *(f"SELECT host, {1 - DAMPING} * {seed} AS x FROM seeds" for seed in ("trusted", "blocked"))
     for k in range(rounds):
         for name, before, seed, src, dst in (("g", good, "trusted", "src", "dst"), ("b", bad, "blocked", "dst", "src")):
             steps.append(
@@ -126,13 +140,13 @@ def oracle(rules: Sequence[tuple[str, str, str]], rounds: int = ROUNDS) -> str:
     attribute = LINK.replace("'", "''")
     return f"""
 WITH rules(ruling, rhost, rpath) AS (VALUES {rows}),
-parsed AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-split AS (SELECT page_id, html, {lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parsed),
-ranked AS (SELECT split.*, rhost || rpath AS rule, ruling, row_number() OVER (PARTITION BY page_id, html, host, path ORDER BY length(rhost || rpath) DESC, rhost || rpath DESC) AS k
+parsed AS (SELECT row_number() OVER () AS r, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT r, page_id, html, {lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parsed),
+ranked AS (SELECT split.*, rhost || rpath AS rule, ruling, row_number() OVER (PARTITION BY r ORDER BY length(rhost || rpath) DESC, rhost || rpath DESC) AS k
   FROM split LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
 ruled AS (SELECT * FROM ranked WHERE k = 1),
 seeds AS (SELECT host, count(*) FILTER (ruling = 'allow') / count(*) AS trusted, count(*) FILTER (ruling = 'block') / count(*) AS blocked FROM ruled GROUP BY 1),
 links AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{attribute}', 1), lambda h: {lower.format("h")}))) AS dst FROM split) WHERE src <> '' AND dst <> src GROUP BY 1, 2),
 {", ".join(steps)}
-SELECT page_id, ruled.host, path, rule, coalesce(ruling, CASE WHEN (SELECT count(*) FROM links) >= 0 AND greatest(coalesce(b.x, 0), blocked) - greatest(coalesce(g.x, 0), trusted) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, ruled.host, path, rule, coalesce(ruling, CASE WHEN coalesce(b.x, 0) > 0 AND coalesce(b.x, 0) >= {THRESHOLD} * (coalesce(g.x, 0) + coalesce(b.x, 0) + CASE WHEN trusted + blocked > 0 THEN {1 - DAMPING} * (1 - trusted - blocked) ELSE 0 END) - 1e-12 THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled JOIN seeds USING (host) LEFT JOIN ({good}) g ON g.host = ruled.host LEFT JOIN ({bad}) b ON b.host = ruled.host"""
