@@ -8,7 +8,10 @@ with their labels, weighted by a power of their similarity.
 
 The labelled sample is bounded: SAMPLE rows at most, those with the smallest
 hashes of id and text, of up to SAMPLE_BYTES bytes each. With TERMS terms it is
-the only thing that is sent to the driver. Every whole text is scored.
+the only thing that is sent to the driver. Every whole text is scored; of
+equally near labelled texts, those that come first in the sample vote. The arrays
+of a block take some 40 bytes for each byte of its texts, so a text far longer
+than a block needs as much.
 
 Nulls: a null text is an empty one, which has no terms and gets the sample's
 base rate, as does every text when there are no labels (then 0.5). Rows whose
@@ -34,6 +37,8 @@ SAMPLE = 3000
 SAMPLE_BYTES = 65_536
 RANK = 48
 NEIGHBOURS = 15
+#: Steps to which a cosine is rounded, as its last bits depend on what it is computed with.
+STEPS = 1 << 16
 #: Votes count as the similarity to this power.
 SHARPNESS = 6
 #: Weight of the base rate beside the votes.
@@ -126,10 +131,13 @@ class Voters:
             return out
         for at in range(0, len(texts), rows):
             own = self.unit(self.weigh(term_counts(texts[at : at + rows])) @ self.axes)
-            near = own @ self.vectors.T
-            k = min(NEIGHBOURS, near.shape[1])
-            top = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** SHARPNESS
+            # Whole steps of the cosine, then the place in the sample: equal ones are told apart alike in any batch.
+            steps = np.rint((own @ self.vectors.T) * np.float32(STEPS)).astype(np.int64)
+            key = steps * self.vectors.shape[0] - np.arange(self.vectors.shape[0])
+            k = min(NEIGHBOURS, key.shape[1])
+            top = np.argpartition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k :]
+            top.sort(axis=1)
+            weight = np.maximum(np.take_along_axis(steps, top, 1) / STEPS, 0) ** SHARPNESS
             out[at : at + rows] = ((weight * self.labels[top]).sum(1) + PRIOR * self.base) / (weight.sum(1) + PRIOR)
         return np.clip(out, 0.0, 1.0)
 

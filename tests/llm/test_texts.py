@@ -267,6 +267,17 @@ def test_lsa_votes_are_exact_cosines():
         assert score == pytest.approx((w @ labels[top] + lsa.PRIOR * voters.base) / (w.sum() + lsa.PRIOR), abs=1e-3)
 
 
+def test_lsa_ties_go_to_the_first_of_the_sample():
+    texts = [b"red and blue"] * 40 + [b"old !!! new ???"] * 10
+    labels = np.array([1] * lsa.NEIGHBOURS + [0] * (50 - lsa.NEIGHBOURS))
+    voters = lsa.Voters(lsa.term_counts(texts), labels)
+    asked = [b"red and blue", b"old !!! new ???", b"red red", b""] * 30
+    found = voters.scores(asked)
+    assert found[0] > 0.99 and found[1] < 0.01
+    for rows in (1, 7, 64):
+        assert np.array_equal(voters.scores(asked, rows=rows), found)
+
+
 def test_subwords_of_many_words():
     own = attention.subwords(MULTI, public_tokenizers.PATTERN)
     words = [b"the", b"", "İstanbul\u3000x".encode(), "\u3000".encode(), b"don't!!", b"\x1c", "日本語🙂".encode(), b"", b"12,5", "a\xa0".encode()]
