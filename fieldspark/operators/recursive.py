@@ -1,4 +1,4 @@
-"""Recursive subdivision and growth as table functions."""
+"""Recursive subdivision level by level, and growth as a table function."""
 
 from __future__ import annotations
 
@@ -9,34 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from .grid import WORLD_SIZE
+from .scatter import capped
 
 #: Fixed split rule of the reference's tiles.
 SPLIT, MAX_TILES = 2.1, 2048
 
 
-@udtf(returnType="ox double, oz double, size double, lod int")
-class Quadtree:
-    """Tiles around a camera: a tile splits while it is large for its distance; depth first, capped."""
-
-    def eval(self, cx: float, cz: float, min_size: float, world: float):
-        stack, count = [(0.0, 0.0, world, 0)], 0
-        while stack and count < MAX_TILES:
-            ox, oz, size, lod = stack.pop()
-            dx, dz = max(abs(cx - ox) - size / 2, 0), max(abs(cz - oz) - size / 2, 0)
-            if size > min_size and math.sqrt(dx * dx + dz * dz) < size * SPLIT:
-                q, h = size / 4, size / 2
-                stack += [(ox + q, oz + q, h, lod + 1), (ox - q, oz + q, h, lod + 1), (ox + q, oz - q, h, lod + 1), (ox - q, oz - q, h, lod + 1)]
-            else:
-                count += 1
-                yield ox, oz, size, lod
-
-
 def quadtree(cameras: DataFrame, min_size: float = 128.0, world: float = WORLD_SIZE) -> DataFrame:
-    """(camera, ox, oz, size, lod) for cameras (camera, cx, cz)."""
-    spark = cameras.sparkSession
-    spark.udtf.register("fieldspark_quadtree", Quadtree)
-    cameras.createOrReplaceTempView("fieldspark_cameras")
-    return spark.sql(f"SELECT camera, t.* FROM fieldspark_cameras, LATERAL fieldspark_quadtree(cx, cz, {float(min_size)}D, {float(world)}D) t")
+    """(camera, ox, oz, size, lod) for cameras (camera, cx, cz): a tile splits while it is large for its distance.
+
+    Tiles are split level by level; their number of levels is known beforehand.
+    Where a camera could have more than MAX_TILES, the first ones depth first stay.
+    """
+    corners = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(sx).alias("sx"), F.lit(sz).alias("sz")) for k, (sx, sz) in enumerate(((-1, -1), (1, -1), (-1, 1), (1, 1)))])
+    now = cameras.select("camera", "cx", "cz", F.lit(0.0).alias("ox"), F.lit(0.0).alias("oz"), F.lit(float(world)).alias("size"), F.lit("").alias("path"))
+    levels = max(0, math.ceil(math.log2(world / min_size)))
+    done = None
+    for lod in range(levels + 1):
+        dx, dz = (F.greatest(F.abs(F.col(c) - F.col(o)) - F.col("size") / 2, F.lit(0.0)) for c, o in (("cx", "ox"), ("cz", "oz")))
+        split = (F.col("size") > min_size) & (F.sqrt(dx * dx + dz * dz) < F.col("size") * SPLIT)
+        marked = now.withColumn("split", split)
+        own = marked.where(~F.col("split")).select("camera", "ox", "oz", "size", F.lit(lod).alias("lod"), "path")
+        done = own if done is None else done.unionByName(own)
+        cut = marked.where("split").withColumn("c", F.explode(corners))
+        quarter = F.col("size") / 4
+        now = cut.select("camera", "cx", "cz", (F.col("ox") + F.col("c.sx") * quarter).alias("ox"), (F.col("oz") + F.col("c.sz") * quarter).alias("oz"), (F.col("size") / 2).alias("size"), F.concat("path", F.col("c.k").cast("string")).alias("path"))
+    if 4**levels > MAX_TILES:
+        done = capped(done, ["camera"], ["path"], MAX_TILES)
+    return done.drop("path")
 
 
 @udtf(returnType="branch int, parent int, level int, x double, y double, z double, length double")

@@ -3,7 +3,8 @@
 Few steps are done with window functions (see stencil); many steps are done on
 tiles: a tile is read with a halo as wide as the steps' reach, runs them in
 numpy and returns its inner cells. A round of rounds re-cuts the tiles, so that
-no step ever needs the whole grid in one place. Tiles are bounded by TILE.
+no step ever needs the whole grid in one place. Tiles are bounded by TILE. A cell
+is sent to the tiles whose halo it lies in, which for most cells is one.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 TILE = 64
 #: Fixed values of the fill, the talus and the erosion.
 FILL_EPSILON = 0.0045
+LEVELS = (8, 4, 2, 1)
 TALUS_BASE, TALUS_HARD, TALUS_RATE = 0.62, 2.8, 0.12
 ERODE = {"dt": 0.03, "rain": 0.01, "evap": 0.02, "kc": 0.55, "ks": 0.28, "kd": 0.5, "g": 9.81, "thermal": 0.14, "max_vel": 6.0, "max_erode": 0.06, "max_deposit": 0.1}
 EIGHT = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, 1), (-1, 1), (1, -1))
@@ -31,13 +35,14 @@ def at(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
 
 def on_tiles(frame: DataFrame, res: int, values: list[str], out: list[str], halo: int, step: Callable[[dict, np.ndarray, np.ndarray], dict], tile: int = TILE) -> DataFrame:
     """Runs `step` on every tile with its halo; it gets the arrays and the cells' coordinates."""
-    tiles = -(-res // tile)
-    spread = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    if halo > tile:
-        raise ValueError("a halo must not be wider than a tile")
-    keyed = frame.select("x", "y", *values, F.explode(spread).alias("o")).withColumns({"tx": F.floor(F.col("x") / tile) + F.col("o.dx"), "ty": F.floor(F.col("y") / tile) + F.col("o.dy")})
-    inside = (F.col("x") >= F.col("tx") * tile - halo) & (F.col("x") < (F.col("tx") + 1) * tile + halo) & (F.col("y") >= F.col("ty") * tile - halo) & (F.col("y") < (F.col("ty") + 1) * tile + halo)
-    keyed = keyed.where(inside & F.col("tx").between(0, tiles - 1) & F.col("ty").between(0, tiles - 1)).drop("o")
+    last = -(-res // tile) - 1
+
+    def touched(axis: str):
+        """The tiles whose halo a cell lies in: one for most cells."""
+        place = F.col(axis)
+        return F.explode(F.sequence(F.greatest(F.floor((place - halo) / tile), F.lit(0)), F.least(F.floor((place + halo) / tile), F.lit(last))))
+
+    keyed = frame.select("x", "y", *values, touched("x").alias("tx")).withColumn("ty", touched("y"))
 
     def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         tx, ty = map(int, key)
@@ -53,17 +58,14 @@ def on_tiles(frame: DataFrame, res: int, values: list[str], out: list[str], halo
     return keyed.groupBy("tx", "ty").applyInPandas(run, schema)
 
 
-def fill_step(h: np.ndarray, w: np.ndarray, border: np.ndarray) -> np.ndarray:
+def fill_step(h: np.ndarray, w: np.ndarray, border: np.ndarray, spacing: float = 1.0) -> np.ndarray:
     """One relaxation of the filled surface: down to the lowest neighbour plus a tilt, never under the bed."""
-    lowest = np.min([at(w, dx, dy) + FILL_EPSILON * np.hypot(dx, dy) for dx, dy in EIGHT], axis=0)
+    lowest = np.min([at(w, dx, dy) + FILL_EPSILON * spacing * np.hypot(dx, dy) for dx, dy in EIGHT], axis=0)
     return np.where(border, h, np.maximum(h, np.minimum(w, lowest)))
 
 
-def fill(frame: DataFrame, res: int, rounds: int = 4, steps: int = 48, tile: int = TILE) -> DataFrame:
-    """Adds `filled`: depressions raised until they drain; the world's border stays at the bed."""
-    peak = frame.agg(F.max("h")).first()[0]
-    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == res - 1) | (F.col("y") == res - 1)
-    now = frame.select("x", "y", F.col("h").cast("double").alias("h"), F.when(border, F.col("h")).otherwise(F.lit(peak + 4000.0)).cast("double").alias("filled"))
+def _settled(now: DataFrame, res: int, spacing: float, steps: int, tile: int) -> DataFrame:
+    """Relaxes `filled` over `h` round by round until no cell moves."""
 
     def step(a: dict, xs: np.ndarray, ys: np.ndarray) -> dict:
         edge = np.zeros(a["h"].shape, bool)
@@ -71,12 +73,44 @@ def fill(frame: DataFrame, res: int, rounds: int = 4, steps: int = 48, tile: int
         edge[(ys == 0) | (ys == res - 1)] = True
         w = a["filled"]
         for _ in range(steps):
-            w = fill_step(a["h"], w, edge)
-        return {"h": a["h"], "filled": w}
-
-    for _ in range(rounds):
-        now = on_tiles(now, res, ["h", "filled"], ["h", "filled"], min(steps, tile), step, tile)
-    return now
+            after = fill_step(a["h"], w, edge, spacing)
+            if (after == w).all():
+                break
+            w = after
+        return {"h": a["h"], "filled": w, "moved": a["filled"] - w}
+
+    while True:
+        found = stored(on_tiles(now, res, ["h", "filled"], ["h", "filled", "moved"], min(steps, 2 * tile), step, tile), "fill")
+        now = found.drop("moved")
+        if found.where("moved > 0").isEmpty():
+            return now
+
+
+def fill(frame: DataFrame, res: int, steps: int = 48, tile: int = TILE, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(x, y, h, filled): depressions raised until they drain; the world's border stays at the bed.
+
+    Coarse levels first: a block's bed is its highest cell, so its filled surface
+    is nowhere under the true one, and a level's surface, with the tilt that the
+    way inside blocks can add, is where the next finer one starts. Each level
+    runs until nothing moves, so the result is exact for any field and any start.
+    """
+    bed = frame.select("x", "y", F.col("h").cast("double").alias("h"))
+    peak = bed.agg(F.max("h")).first()[0]
+    coarse, before = None, 0
+    for f in [k for k in levels if k == 1 or -(-res // k) >= 4]:
+        own = -(-res // f)
+        cells = bed if f == 1 else bed.groupBy(F.floor(F.col("x") / f).cast("int").alias("x"), F.floor(F.col("y") / f).cast("int").alias("y")).agg(F.max("h").alias("h"))
+        if coarse is None:
+            start = cells.withColumn("up", F.lit((peak or 0.0) + 4000.0))
+        else:
+            ratio = before // f
+            keyed = cells.withColumns({"cx": F.floor(F.col("x") / ratio).cast("int"), "cy": F.floor(F.col("y") / ratio).cast("int")})
+            above = coarse.select(F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("filled") + FILL_EPSILON * 3 * before).alias("up"))
+            start = keyed.join(above, ["cx", "cy"])
+        border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == own - 1) | (F.col("y") == own - 1)
+        now = start.select("x", "y", "h", F.when(border, F.col("h")).otherwise(F.greatest("h", "up")).alias("filled"))
+        coarse, before = _settled(now, own, float(f), steps, tile), f
+    return coarse
 
 
 def talus_step(h: np.ndarray, hard: np.ndarray, texel: float) -> np.ndarray:
@@ -153,48 +187,77 @@ def erosion(frame: DataFrame, res: int, texel: float, iterations: int = 8, tile:
 
 
 def _between(field: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    res = field.shape[0]
-    x, y = np.clip(x, 0, res - 1), np.clip(y, 0, res - 1)
+    x, y = np.clip(x, 0, field.shape[1] - 1), np.clip(y, 0, field.shape[0] - 1)
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    x1, y1, fx, fy = np.minimum(x0 + 1, res - 1), np.minimum(y0 + 1, res - 1), x - x0, y - y0
+    x1, y1, fx, fy = np.minimum(x0 + 1, field.shape[1] - 1), np.minimum(y0 + 1, field.shape[0] - 1), x - x0, y - y0
     return (field[y0, x0] * (1 - fx) + field[y0, x1] * fx) * (1 - fy) + (field[y1, x0] * (1 - fx) + field[y1, x1] * fx) * fy
 
 
-def trace(particles: DataFrame, field: DataFrame, res: int, steps: int = 260, lake: float = 2.2, flat: float = 0.012, most_cells: int = 1 << 22) -> DataFrame:
+#: Cells that a tile of the tracing sees beyond its own, so that a particle in it can look around.
+LOOK = 2
+
+
+def trace(particles: DataFrame, field: DataFrame, res: int, steps: int = 260, lake: float = 2.2, flat: float = 0.012, tile: int = 4 * TILE) -> DataFrame:
     """(x, y, visits): paths of particles (id, px, py) down a filled surface, with inertia.
 
-    The field is broadcast, and its size is checked: a larger world is traced
-    region by region.
+    A tile moves the particles in it until they leave it, end or have made all
+    their steps, and hands those that left over to the tiles that they are in
+    now, round by round; neither field nor particles are ever in one place.
     """
-    if res * res > most_cells:
-        raise ValueError("trace larger fields region by region")
-    rows = field.select("x", "y", "h", "filled").toPandas().sort_values(["y", "x"])
-    shared = particles.sparkSession.sparkContext.broadcast((rows.filled.to_numpy().reshape(res, res), rows.h.to_numpy().reshape(res, res)))
-
-    def run(batches):
-        surface, bed = shared.value
-        for batch in batches:
-            px, py = batch.px.to_numpy(float).copy(), batch.py.to_numpy(float).copy()
-            dx, dy = np.zeros_like(px), np.zeros_like(py)
-            visits = np.zeros(res * res, np.int64)
-            for _ in range(steps):
-                if not len(px):
-                    break
-                xi, yi = np.clip(px, 1, res - 2).astype(int), np.clip(py, 1, res - 2).astype(int)
-                np.add.at(visits, yi * res + xi, 1)
-                gx, gy = _between(surface, px + 0.65, py) - _between(surface, px - 0.65, py), _between(surface, px, py + 0.65) - _between(surface, px, py - 0.65)
-                length = np.hypot(gx, gy)
-                go = (surface[yi, xi] - bed[yi, xi] <= lake) & (length >= flat)
-                px, py, dx, dy, gx, gy, length = (v[go] for v in (px, py, dx, dy, gx, gy, length))
-                dx, dy = 0.45 * dx - 0.55 * gx / length, 0.45 * dy - 0.55 * gy / length
-                size = np.maximum(np.hypot(dx, dy), 1e-6)
-                px, py = px + dx / size, py + dy / size
-                inside = (px >= 1) & (px <= res - 2) & (py >= 1) & (py <= res - 2)
-                px, py, dx, dy = (v[inside] for v in (px, py, dx, dy))
-            seen = np.flatnonzero(visits)
-            yield pd.DataFrame({"x": (seen % res).astype("int32"), "y": (seen // res).astype("int32"), "n": visits[seen]})
-
-    return particles.mapInPandas(run, "x int, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("visits"))
+    place = lambda c: F.floor(F.least(F.greatest(F.floor(F.col(c)), F.lit(1)), F.lit(res - 2)) / tile).cast("int")
+    last = -(-res // tile) - 1
+    near = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - LOOK) / tile), F.lit(0)), F.least(F.floor((F.col(c) + LOOK) / tile), F.lit(last))))
+    cells = field.select("x", "y", "h", "filled", near("x").alias("tx")).withColumn("ty", near("y")).select(F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), "x", "y", "h", "filled")
+    cells = stored(cells, "trace-cells")
+    zero = F.lit(0.0)
+    now = stored(particles.select(F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), zero.alias("dx"), zero.alias("dy"), F.lit(steps).alias("left")), "particles")
+
+    def run(key: tuple, moving: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+        names = ["x", "y", "n", "px", "py", "dx", "dy", "left"]
+        if not len(moving) or not len(ground):
+            return pd.DataFrame({n: [] for n in names})
+        ground = ground.sort_values(["y", "x"])
+        ox, oy = int(ground.x.min()), int(ground.y.min())
+        shape = int(ground.y.max()) - oy + 1, int(ground.x.max()) - ox + 1
+        surface, bed = ground.filled.to_numpy().reshape(shape), ground.h.to_numpy().reshape(shape)
+        px, py, dx, dy, left = (moving[n].to_numpy() for n in ("px", "py", "dx", "dy", "left"))
+        visits = np.zeros(shape, np.int64)
+        gone = []
+        while len(px):
+            xi, yi = np.clip(px, 1, res - 2).astype(int), np.clip(py, 1, res - 2).astype(int)
+            away = (xi // tile != key[0]) | (yi // tile != key[1])
+            if away.any():
+                gone.append(np.stack([v[away] for v in (px, py, dx, dy, left)]))
+                px, py, dx, dy, left, xi, yi = (v[~away] for v in (px, py, dx, dy, left, xi, yi))
+            np.add.at(visits, (yi - oy, xi - ox), 1)
+            at_x, at_y = px - ox, py - oy
+            gx, gy = _between(surface, at_x + 0.65, at_y) - _between(surface, at_x - 0.65, at_y), _between(surface, at_x, at_y + 0.65) - _between(surface, at_x, at_y - 0.65)
+            length = np.hypot(gx, gy)
+            go = (surface[yi - oy, xi - ox] - bed[yi - oy, xi - ox] <= lake) & (length >= flat)
+            px, py, dx, dy, left, gx, gy, length = (v[go] for v in (px, py, dx, dy, left, gx, gy, length))
+            dx, dy = 0.45 * dx - 0.55 * gx / length, 0.45 * dy - 0.55 * gy / length
+            size = np.maximum(np.hypot(dx, dy), 1e-6)
+            px, py, left = px + dx / size, py + dy / size, left - 1
+            inside = (px >= 1) & (px <= res - 2) & (py >= 1) & (py <= res - 2) & (left > 0)
+            px, py, dx, dy, left = (v[inside] for v in (px, py, dx, dy, left))
+        seen_y, seen_x = np.nonzero(visits)
+        out = np.concatenate(gone, 1) if gone else np.zeros((5, 0))
+        none = np.full(len(seen_x), np.nan)
+        here = pd.DataFrame({"x": seen_x + ox, "y": seen_y + oy, "n": visits[seen_y, seen_x], "px": none, "py": none, "dx": none, "dy": none, "left": 0})
+        there = pd.DataFrame({"x": -1, "y": -1, "n": 0, **dict(zip(names[3:], out))})
+        return pd.concat([here, there]).astype({"x": "int32", "y": "int32", "n": "int64", "left": "int32"})
+
+    schema = "x int, y int, n long, px double, py double, dx double, dy double, left int"
+    visits = None
+    while not now.isEmpty():
+        dealt = now.withColumns({"tx": place("px"), "ty": place("py")})
+        found = stored(dealt.groupBy("tx", "ty").cogroup(cells.groupBy("tx", "ty")).applyInPandas(run, schema), "traced")
+        own = found.where("n > 0").select("x", "y", "n")
+        visits = own if visits is None else stored(visits.unionByName(own).groupBy("x", "y").agg(F.sum("n").alias("n")), "visits")
+        now = found.where("n = 0").select("px", "py", "dx", "dy", "left")
+    if visits is None:
+        return particles.sparkSession.createDataFrame([], "x int, y int, visits long")
+    return visits.groupBy("x", "y").agg(F.sum("n").alias("visits"))
 
 
 def flow_strength(visits, particles: int, cells: int, extra: float, gain: float):

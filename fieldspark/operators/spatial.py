@@ -91,12 +91,12 @@ def asof_interpolated(rows: DataFrame, at: Column, frames: Sequence[tuple[float,
     return rows.drop("_t", "_i", "_k")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
-    """The newest row of `right` at or before each row of `left`, by key: one shuffle on the key, no range join."""
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, values: Sequence[str], strict: bool = False) -> DataFrame:
+    """The newest row of `right` at or before (strict: before) each row of `left`, by key: one shuffle on the key, no range join."""
     a = left.withColumns({"_side": F.lit(1), **{v: F.lit(None).cast(right.schema[v].dataType) for v in values}})
     b = right.select(*by, time, *values).withColumn("_side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
-    before = Window.partitionBy(*by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(time, F.desc("_side") if strict else F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
     held = F.last(F.when(F.col("_side") == 0, F.struct(*values)), ignorenulls=True).over(before)
     return both.withColumn("_held", held).where("_side = 1").select(*[c for c in left.columns], *[F.col(f"_held.{v}").alias(v) for v in values])
 
@@ -109,23 +109,18 @@ def lattice_dedup(rows: DataFrame, x: Column, z: Column, size: float, order: Seq
     return keyed.withColumn("_n", place).where("_n = 1").drop("_n", "_cx", "_cz")
 
 
-def greedy_thin(rows: DataFrame, x: str, z: str, order: Sequence, apart: float, picks: int, pool: int = 1000) -> DataFrame:
-    """The best rows at least `apart` from each other, taken greedily among the best `pool`."""
-    best = rows.orderBy(*order).limit(pool).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
-
-    def thin(batches):
-        import pandas as pd
-
-        table = pd.concat(list(batches)).sort_values("_place")
-        kept = []
-        for row in table.itertuples(index=False):
-            if len(kept) == picks:
-                break
-            if all((getattr(row, x) - getattr(k, x)) ** 2 + (getattr(row, z) - getattr(k, z)) ** 2 >= apart * apart for k in kept):
-                kept.append(row)
-        yield pd.DataFrame(kept, columns=table.columns)
-
-    return best.coalesce(1).mapInPandas(thin, best.schema).drop("_place")
+def greedy_thin(rows: DataFrame, x: str, z: str, order: Sequence, apart: float, picks: int) -> DataFrame:
+    """The best rows at least `apart` from each other, taken greedily among all; one pass over the rows for each pick."""
+    found = []
+    while len(found) < picks:
+        far = rows
+        for p in found:
+            far = far.where((F.col(x) - p[x]) * (F.col(x) - p[x]) + (F.col(z) - p[z]) * (F.col(z) - p[z]) >= apart * apart)
+        best = far.orderBy(*order).limit(1).collect()
+        if not best:
+            break
+        found += best
+    return rows.sparkSession.createDataFrame(found, rows.schema)
 
 
 def spiral(rings: int, step: float, first: int = 8) -> list[tuple[int, int, float, float]]:

@@ -40,14 +40,14 @@ def pixel_diff(spark, sf_dir):
 
 @query(
     "q_label_fallback",
-    "SELECT o_orderkey, coalesce(c_mktsegment, 'customer ' || regexp_replace(o_custkey::VARCHAR, '0+$', '')) AS label FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON c_custkey = o_custkey",
+    "SELECT event_id, coalesce(c_mktsegment, 'event ' || regexp_replace(event_id::VARCHAR, '0+$', '')) AS label FROM events LEFT JOIN customer ON c_custkey = event_id",
 )
 def label_fallback(spark, sf_dir):
-    """J-16: a left join with a label made from the key where none is found."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    labels = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_mktsegment")
-    other = F.concat(F.lit("customer "), F.regexp_replace(F.col("o_custkey").cast("string"), "0+$", ""))
-    return orders.join(labels, orders.o_custkey == labels.c_custkey, "left").select("o_orderkey", F.coalesce("c_mktsegment", other).alias("label"))
+    """J-16: a left join with a label made from the key where no customer has the event's number."""
+    events = table(spark, sf_dir, "events").select("event_id")
+    labels = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    other = F.concat(F.lit("event "), F.regexp_replace(F.col("event_id").cast("string"), "0+$", ""))
+    return events.join(labels, events.event_id == labels.c_custkey, "left").select("event_id", F.coalesce("c_mktsegment", other).alias("label"))
 
 
 @query("q_anti_keys", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
@@ -60,15 +60,18 @@ def anti_keys(spark, sf_dir):
 
 @query(
     "q_embedding_bilinear_blend",
-    """WITH e AS (SELECT vec_id, label, embedding, (vec_id % 10) / 10.0::DOUBLE AS fx, (label % 4) / 4.0::DOUBLE AS fy FROM embeddings)
-SELECT vec_id, round((1 - fx) * (1 - fy) * embedding[1] + fx * (1 - fy) * embedding[2] + (1 - fx) * fy * embedding[3] + fx * fy * embedding[4], 5) AS blended FROM e""",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, len(embedding) // 4 AS n, (vec_id % 10) / 10.0::DOUBLE AS fx, (label % 4) / 4.0::DOUBLE AS fy FROM embeddings),
+t AS (SELECT vec_id, k, (1 - fx) * (1 - fy) * e[4 * k + 1] + fx * (1 - fy) * e[4 * k + 2] + (1 - fx) * fy * e[4 * k + 3] + fx * fy * e[4 * k + 4] AS b FROM e, LATERAL (SELECT unnest(range(n)) AS k))
+SELECT vec_id, round(sum(b), 4) AS blended, round(max(b), 5) AS top FROM t GROUP BY vec_id""",
 )
 def embedding_blend(spark, sf_dir):
-    """J-20: a four-tile blend."""
+    """J-20: a four-tile blend of every four components of the whole vector."""
     fx, fy = (F.col("vec_id") % 10) / 10.0, (F.col("label") % 4) / 4.0
-    tile = lambda k: F.get("embedding", F.lit(k)).cast("double")
-    value = (1 - fx) * (1 - fy) * tile(0) + fx * (1 - fy) * tile(1) + (1 - fx) * fy * tile(2) + fx * fy * tile(3)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(value, 5).alias("blended"))
+    wide = F.col("embedding").cast("array<double>")
+    weights = (1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy
+    blend = lambda k: sum((w * F.get(wide, (4 * k + j).cast("int")) for j, w in enumerate(weights)), F.lit(0.0))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4) - 1), blend).alias("b"))
+    return rows.select("vec_id", F.round(F.aggregate("b", F.lit(0.0), lambda a, x: a + x), 4).alias("blended"), F.round(F.array_max("b"), 5).alias("top"))
 
 
 @query("q_log_average", "SELECT l_returnflag, round(exp(sum((8 - l_linenumber) * ln(greatest(l_extendedprice, 1e-4))) / sum(8 - l_linenumber)), 2) AS log_mean FROM lineitem GROUP BY l_returnflag")

@@ -78,7 +78,21 @@ def hash_streams(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(hashing.lcg(F.col("n_nationkey"), 8)).alias("k", "draw"))
 
 
-@query("q_rng_draws")
+def _sfc_sql() -> str:
+    """The generator's state step by step, for each nation's stream."""
+    fnv = _FNV.replace("p_name", "n_name")
+    seeded = sql.fmix(f"SELECT n_nationkey, xor({sql.mul('1', 0x9E3779B1)}, {sql.mul(fnv, 0x85EBCA77)}) AS seed FROM nation", "seed")
+    state = f"SELECT n_nationkey, {', '.join(f'(seed + {k * 0x9E3779B9 & sql.MASK}) & {sql.MASK} AS {c}' for k, c in enumerate('abcd', 1))} FROM ({seeded})"
+    for c in "abcd":
+        state = sql.fmix(state, c)
+    t = f"((a + b + d) & {sql.MASK})"
+    step = f"xor(b, b >> 9), (c + (c << 3)) & {sql.MASK}, ((((c & 2047) << 21) | (c >> 11)) + {t}) & {sql.MASK}, (d + 1) & {sql.MASK}, {t}, k + 1"
+    return f"""WITH RECURSIVE start AS ({state}), r AS (SELECT n_nationkey, a, b, c, d, 0::BIGINT AS t, 0 AS k FROM start UNION ALL SELECT n_nationkey, {step} FROM r WHERE k < 16),
+l AS (SELECT n_nationkey, list(t ORDER BY k) FILTER (k > 8) AS l FROM r GROUP BY n_nationkey)
+SELECT n_nationkey, array_to_string(l, ',') AS draws, round(sqrt(-2 * ln((l[1] + 0.5) / 4294967296.0)) * cos(2 * pi() * ((l[2] + 0.5) / 4294967296.0)), 6) AS normal FROM l"""
+
+
+@query("q_rng_draws", _sfc_sql())
 def rng_draws(spark, sf_dir):
     """H-4: eight draws of the seeded generator for every nation's named stream, and normal draws from pairs."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", hashing.sfc32(hashing.sub_seed(F.lit(1), F.col("n_name")), 8).alias("d"))
@@ -108,7 +122,13 @@ def noise_value_fbm(spark, sf_dir):
     return p.select("i", F.round(noise.fbm3(F.col("x"), F.col("y"), F.col("z"), 5, octaves=2), 5).alias("fbm"))
 
 
-@query("q_noise_ridged_warp")
+_PLACES = "SELECT i, (i % 20) * 0.31::DOUBLE AS x, (i // 20) * 0.27::DOUBLE AS y, 0.5::DOUBLE AS z FROM range(400) t(i)"
+_RIDGE = sql.value_noise("SELECT * FROM (" + sql.fmix(f"SELECT *, 3::BIGINT AS s FROM ({_PLACES})", "s") + ")", "i")
+_MOVES = sql.value_noise(f"SELECT i, k, x + k * 31 AS x, y, z + (1 - k) * 17 AS z, 9::BIGINT AS s FROM ({_PLACES}), range(2) t(k)", "i, k")
+_WARP = f"SELECT i, x + 0.4 * max(v) FILTER (k = 0) AS x, y + 0.4 * max(v) FILTER (k = 1) AS y, z, 9::BIGINT AS s FROM ({_PLACES}) JOIN ({_MOVES}) USING (i) GROUP BY i, x, y, z"
+
+
+@query("q_noise_ridged_warp", f"SELECT i, round((1 - abs(r.v)) * (1 - abs(r.v)), 5) AS ridged, round(w.v, 5) AS warped FROM ({_RIDGE}) r JOIN ({sql.value_noise(_WARP, 'i')}) w USING (i)")
 def noise_ridged_warp(spark, sf_dir):
     """N-3, N-4: ridged noise and a warped place, on a lattice."""
     i = F.col("id")

@@ -8,10 +8,11 @@ from ..functions import hashing, noise
 from ..operators import curves, recursive, solvers, spatial
 from ..operators.grid import grid
 from ..session import table
-from .grids import hills
+from . import sqltext as sql
+from .grids import RES, hills
 from .registry import query
 
-_TILES = """WITH RECURSIVE cam AS (SELECT s_suppkey AS camera, (s_suppkey * 37 % 4096 - 2048)::DOUBLE AS cx, (s_nationkey * 160 - 2048)::DOUBLE AS cz FROM supplier WHERE s_suppkey <= 20),
+_TILES = """WITH RECURSIVE cam AS (SELECT s_suppkey AS camera, (s_suppkey * 37 % 4096 - 2048)::DOUBLE AS cx, (s_nationkey * 160 - 2048)::DOUBLE AS cz FROM supplier),
 t AS (SELECT camera, cx, cz, 0::DOUBLE AS ox, 0::DOUBLE AS oz, 4096::DOUBLE AS size, 0 AS lod FROM cam
 UNION ALL SELECT camera, cx, cz, ox + sx * size / 4, oz + sz * size / 4, size / 2, lod + 1 FROM t, (VALUES (-1, -1), (1, -1), (-1, 1), (1, 1)) v(sx, sz)
 WHERE size > 128 AND sqrt(power(greatest(abs(cx - ox) - size / 2, 0), 2) + power(greatest(abs(cz - oz) - size / 2, 0), 2)) < size * 2.1)
@@ -20,9 +21,9 @@ SELECT camera, ox, oz, size, lod FROM t WHERE NOT (size > 128 AND sqrt(power(gre
 
 @query("q_quadtree", _TILES)
 def quadtree(spark, sf_dir):
-    """G-13, O-7: a table function per camera, under a cap."""
+    """G-13, O-7: the tiles around every supplier's camera, under a cap of tiles."""
     s = F.col("s_suppkey")
-    cameras = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(s.alias("camera"), (s * 37 % 4096 - 2048).cast("double").alias("cx"), (F.col("s_nationkey") * 160 - 2048).cast("double").alias("cz"))
+    cameras = table(spark, sf_dir, "supplier").select(s.alias("camera"), (s * 37 % 4096 - 2048).cast("double").alias("cx"), (F.col("s_nationkey") * 160 - 2048).cast("double").alias("cz"))
     return recursive.quadtree(cameras)
 
 
@@ -40,9 +41,18 @@ def growth(spark, sf_dir):
     return found.groupBy("plant", "level").agg(F.count("*").alias("branches"), F.round(F.max("y"), 6).alias("top"), F.round(F.sum("length"), 6).alias("length"))
 
 
-@query("q_greedy_thin")
+def _thin_sql(picks: int, apart: int) -> str:
+    """One step for each pick: the best row that is far from those before."""
+    ctes = ["r AS (SELECT c_custkey, c_acctbal, (c_custkey % 101 * 10)::DOUBLE AS x, (c_nationkey * 40)::DOUBLE AS z FROM customer)"]
+    for k in range(picks):
+        far = " AND ".join(f"NOT EXISTS (SELECT 1 FROM p{j} WHERE power(r.x - p{j}.x, 2) + power(r.z - p{j}.z, 2) < {apart * apart})" for j in range(k)) or "true"
+        ctes.append(f"p{k} AS MATERIALIZED (SELECT * FROM r WHERE {far} ORDER BY c_acctbal DESC, c_custkey LIMIT 1)")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(picks))
+
+
+@query("q_greedy_thin", _thin_sql(6, 400))
 def greedy_thin(spark, sf_dir):
-    """O-4: six customers far apart, taken greedily by balance."""
+    """O-4: six customers far apart, taken greedily by balance among all."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 101 * 10).cast("double").alias("x"), (F.col("c_nationkey") * 40).cast("double").alias("z"))
     return spatial.greedy_thin(rows, "x", "z", [F.desc("c_acctbal"), "c_custkey"], 400.0, 6)
 
@@ -51,16 +61,40 @@ def _field(spark):
     return hills(spark).withColumn("hardness", (F.col("x") * 3 + F.col("y")) % 10 / 12.0)
 
 
-@query("q_fill")
+_EIGHT = [("x", -1), ("x", 1), ("y", -1), ("y", 1)]
+
+
+def _fill_sql(passes: int) -> str:
+    """As many relaxations of the whole surface as it takes, each a step of its own."""
+    border = f"x IN (0, {RES - 1}) OR y IN (0, {RES - 1})"
+    ctes = [f"t0 AS MATERIALIZED (SELECT x, y, h, CASE WHEN {border} THEN h ELSE 9999.0::DOUBLE END AS w FROM ({sql.heights(RES)}))"]
+    for k in range(passes):
+        side = f"SELECT *, {sql.moved('w', -1, 'x')} AS a, {sql.moved('w', 1, 'x')} AS b FROM t{k}"
+        near = ", ".join(f"{sql.moved(c, by, 'y')} + {e!r}" for c, e in (("w", 0.0045), ("a", 0.0045 * 2**0.5), ("b", 0.0045 * 2**0.5)) for by in (-1, 1))
+        ctes.append(f"t{k + 1} AS MATERIALIZED (SELECT x, y, h, CASE WHEN {border} THEN h ELSE greatest(h, least(w, a + 0.0045, b + 0.0045, {near})) END AS w FROM ({side}))")
+    return f"WITH {', '.join(ctes)} SELECT x, y, h, round(w, 6) AS filled FROM t{passes}"
+
+
+@query("q_fill", _fill_sql(60))
 def fill(spark, sf_dir):
-    """G-2: the filled surface is nowhere under the bed and equals it at the border."""
-    return solvers.fill(_field(spark), 64, rounds=3, steps=32, tile=32).select("x", "y", "h", F.round("filled", 6).alias("filled"))
+    """G-2: depressions filled level by level until nothing moves."""
+    return solvers.fill(_field(spark), 64, steps=32, tile=32).select("x", "y", "h", F.round("filled", 6).alias("filled"))
+
+
+def _talus_sql(half_steps: int) -> str:
+    ctes = [f"t0 AS MATERIALIZED (SELECT x, y, h, (x * 3 + y) % 10 / 12.0::DOUBLE AS g FROM ({sql.heights(RES)}))"]
+    rest = "(2.0 * ({0} * {0} * 2.8::DOUBLE + 0.62::DOUBLE))"
+    for k in range(half_steps):
+        near = ", ".join(f"{sql.moved(c, by, axis)} AS {c}{j}" for j, (axis, by) in enumerate(_EIGHT) for c in "hg")
+        delta = " + ".join(f"greatest(h{j} - h - {rest.format(f'g{j}')}, 0) - greatest(h - h{j} - {rest.format('g')}, 0)" for j in range(4))
+        ctes.append(f"t{k + 1} AS MATERIALIZED (SELECT x, y, h + 0.12::DOUBLE * ({delta}) AS h, g FROM (SELECT *, {near} FROM t{k}))")
+    return f"WITH {', '.join(ctes)} SELECT x, y, round(h, 5) AS h FROM t{half_steps}"
 
 
-@query("q_talus")
+@query("q_talus", _talus_sql(26))
 def talus(spark, sf_dir):
     """G-7."""
-    return solvers.talus(_field(spark), 64, 2.0, half_steps=26, tile=32).select("x", "y", F.round("h", 6).alias("h"))
+    return solvers.talus(_field(spark), 64, 2.0, half_steps=26, tile=32).select("x", "y", F.round("h", 5).alias("h"))
 
 
 @query("q_erosion")
@@ -72,10 +106,10 @@ def erosion(spark, sf_dir):
 
 @query("q_flow_trace")
 def flow_trace(spark, sf_dir):
-    """G-3..G-5, A-4: paths on the filled surface, visits and flow strength."""
-    field = solvers.fill(_field(spark), 64, rounds=3, steps=32, tile=32)
+    """G-3, G-4, A-4: paths on the filled surface, tile by tile, visits and flow strength."""
+    field = solvers.fill(_field(spark), 64, steps=32, tile=32)
     particles = spark.range(4096).select("id", (F.col("id") % 64 + 0.5).cast("double").alias("px"), (F.floor(F.col("id") / 64) + 0.25).cast("double").alias("py"))
-    visits = solvers.trace(particles, field, 64)
+    visits = solvers.trace(particles, field, 64, tile=32)
     strength = solvers.flow_strength(F.col("visits"), 4096, 64 * 64, 14, 0.18)
     return visits.select("x", "y", "visits", F.round(strength, 6).alias("strength"))
 
@@ -134,9 +168,17 @@ def ring_flood(spark, sf_dir):
     return curves.ring_flood(tiles).withColumn("v", F.round("v", 6))
 
 
-@query("q_periodic_noise")
+_TILED = "SELECT x, y, k, x / 8.0 + k * 4 AS px, y / 8.0 - k * 8 AS py FROM (" + sql.cells(32) + "), range(2) t(k)"
+_LATTICE = f"SELECT x, y, k, px - floor(px) AS fx, py - floor(py) AS fy, ((floor(px) + r) % 4 + 4)::BIGINT % 4 AS cx, ((floor(py) + u) % 4 + 4)::BIGINT % 4 AS cy, 0::BIGINT AS cz, r, u, 11::BIGINT AS h FROM ({_TILED}), (VALUES (0), (1)) a(r), (VALUES (0), (1)) b(u)"
+_WEIGHT = " * ".join(f"CASE {side} WHEN 1 THEN {f} * {f} * (3 - 2 * {f}) ELSE 1 - {f} * {f} * (3 - 2 * {f}) END" for side, f in (("r", "fx"), ("u", "fy")))
+
+
+@query(
+    "q_periodic_noise",
+    f"WITH n AS (SELECT x, y, k, sum(h / 4294967296.0 * {_WEIGHT}) AS v FROM ({sql.hashed(_LATTICE)}) GROUP BY x, y, k) SELECT x, y, round(max(v) FILTER (k = 0), 6) AS noise, round(max(v) FILTER (k = 1), 6) AS wrapped FROM n GROUP BY x, y",
+)
 def periodic_noise(spark, sf_dir):
-    """N-6, N-7: a tile of periodic noise, and the same a period further."""
+    """N-7: a tile of periodic noise, and the same a period further."""
     x, y = F.col("x") / 8.0, F.col("y") / 8.0
     here, there = noise.periodic_noise2(x, y, 4, 11), noise.periodic_noise2(x + 4, y - 8, 4, 11)
     return grid(spark, 32).select("x", "y", F.round(here, 6).alias("noise"), F.round(there, 6).alias("wrapped"))

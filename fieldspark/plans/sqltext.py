@@ -44,3 +44,18 @@ def moved(value: str, by: int, axis: str) -> str:
 def heights(res: int) -> str:
     """The test field: whole-numbered hills."""
     return f"SELECT x, y, ((x * x * 7 + y * y * 13 + x * y * 5) % 251)::DOUBLE AS h FROM ({cells(res)})"
+
+
+def hashed(source: str, h: str = "h", axes: tuple[str, ...] = ("cx", "cy", "cz")) -> str:
+    """The rows of `source` with the seed in `h` made a lattice point's hash."""
+    out = source
+    for axis, k in zip(axes, (0x27D4EB2F, 0x165667B1, 0x9E3779B1)):
+        out = fmix(f"SELECT * REPLACE (xor({h}, {mul(f'({axis} & {MASK})', k)}) AS {h}) FROM ({out})", h)
+    return out
+
+
+def value_noise(source: str, keys: str) -> str:
+    """(keys, v): value noise in [-1, 1] at the places (x, y, z) under the seeds s of `source`; keys are unique."""
+    corners = f"SELECT {keys}, s AS h, floor(x)::BIGINT + dx AS cx, floor(y)::BIGINT + dy AS cy, floor(z)::BIGINT + dz AS cz, x - floor(x) AS fx, y - floor(y) AS fy, z - floor(z) AS fz, dx, dy, dz FROM ({source}), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy), (VALUES (0), (1)) d(dz)"
+    w = " * ".join(f"CASE WHEN d{a} = 1 THEN f{a} * f{a} * (3 - 2 * f{a}) ELSE 1 - f{a} * f{a} * (3 - 2 * f{a}) END" for a in "xyz")
+    return f"SELECT {keys}, sum(h / 4294967296.0 * {w}) * 2 - 1 AS v FROM ({hashed(corners)}) GROUP BY {keys}"

@@ -29,22 +29,44 @@ def stream_ttl(spark, sf_dir):
     return settled(stateful.ttl(events(spark, sf_dir), 36000.0), ["user_id"]).withColumn("age", F.round("age", 3))
 
 
-@query("q_stream_cached")
+def _folded(start: str, first: str, step: str) -> str:
+    """Each user's rows in order, folded into one state; rows and state are structs alike."""
+    return f"(SELECT user_id, list_reduce(list({{{first}}} ORDER BY ts, event_id), lambda a, e: {{{step}}}, {{{start}}}) AS s FROM events GROUP BY user_id)"
+
+
+_DUE = "((a.frames + [0, 1, 2, 5][user_id % 4 + 1]) % [1, 2, 3, 6][user_id % 4 + 1] = 0 OR a.held IS NULL OR abs(e.held - a.held) >= 4)"
+_CACHED = _folded(
+    "'frames': 0::BIGINT, 'refreshes': 0::BIGINT, 'held': NULL::DOUBLE",
+    "'frames': 0::BIGINT, 'refreshes': 0::BIGINT, 'held': value",
+    f"'frames': a.frames + 1, 'refreshes': a.refreshes + {_DUE}::BIGINT, 'held': CASE WHEN {_DUE} THEN e.held ELSE a.held END",
+)
+
+
+@query("q_stream_cached", f"SELECT user_id, s.frames AS frames, s.refreshes AS refreshes, s.held AS held FROM {_CACHED}")
 def stream_cached(spark, sf_dir):
     """ST-6."""
     return settled(stateful.cached(events(spark, sf_dir)), ["user_id"])
 
 
-@query("q_stream_moved")
+_FAR = "(a.place IS NULL OR abs(e.place - a.place) >= 20)"
+_MOVED = _folded("'rebuilds': 0::BIGINT, 'place': NULL::DOUBLE", "'rebuilds': 0::BIGINT, 'place': value", f"'rebuilds': a.rebuilds + {_FAR}::BIGINT, 'place': CASE WHEN {_FAR} THEN e.place ELSE a.place END")
+
+
+@query("q_stream_moved", f"SELECT user_id, s.rebuilds AS rebuilds, s.place AS place FROM {_MOVED}")
 def stream_moved(spark, sf_dir):
     """ST-7."""
     return settled(stateful.moved(events(spark, sf_dir)), ["user_id"])
 
 
-@query("q_stream_damped")
+_DT = "coalesce(least(greatest(e.last - a.last, 0), 0.1), 0)"
+_V = f"((a.v + (e.x - a.x) * 40 * {_DT}) * power(0.85::DOUBLE, {_DT} / 0.1))"
+_DAMPED = _folded("'x': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'last': NULL::DOUBLE", "'x': value, 'v': 0.0::DOUBLE, 'last': epoch(ts)", f"'x': a.x + {_V} * {_DT}, 'v': {_V}, 'last': e.last")
+
+
+@query("q_stream_damped", f"SELECT user_id, round(s.x, 4) AS x, round(s.v, 4) AS v FROM {_DAMPED}")
 def stream_damped(spark, sf_dir):
     """ST-2, ST-12."""
-    return settled(stateful.damped(events(spark, sf_dir)), ["user_id"]).select("user_id", F.round("x", 6).alias("x"), F.round("v", 6).alias("v"))
+    return settled(stateful.damped(events(spark, sf_dir)), ["user_id"]).select("user_id", F.round("x", 4).alias("x"), F.round("v", 4).alias("v"))
 
 
 @query("q_stream_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -40,15 +40,14 @@ def keyframe_asof(spark, sf_dir):
 
 @query(
     "q_asof_join",
-    """WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
-SELECT e.event_id, (SELECT max(p.ts) FROM p WHERE p.user_id = e.user_id AND p.ts <= e.ts) AS seen_at, (SELECT arg_max(p.value, p.ts) FROM p WHERE p.user_id = e.user_id AND p.ts <= e.ts) AS seen_value FROM events e WHERE event_id % 3 = 1""",
+    "WITH p AS (SELECT user_id, ts, max(value) AS value FROM events GROUP BY ALL) SELECT e.event_id, p.ts AS seen_at, p.value AS seen_value FROM events e ASOF LEFT JOIN p ON p.user_id = e.user_id AND e.ts > p.ts",
 )
 def asof_join(spark, sf_dir):
-    """J-11 as a join: the newest earlier row by key, in one shuffle."""
+    """J-11 as a join: what each event's user did last before it, in one shuffle."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    right = events.where("event_id % 3 = 0").groupBy("user_id", "ts").agg(F.max("value").alias("seen_value")).withColumn("seen_at", F.col("ts"))
-    left = events.where("event_id % 3 = 1").select("event_id", "user_id", "ts")
-    return spatial.asof_join(left, right, ["user_id"], "ts", ["seen_at", "seen_value"]).select("event_id", "seen_at", "seen_value")
+    right = events.groupBy("user_id", "ts").agg(F.max("value").alias("seen_value")).withColumn("seen_at", F.col("ts"))
+    left = events.select("event_id", "user_id", "ts")
+    return spatial.asof_join(left, right, ["user_id"], "ts", ["seen_at", "seen_value"], strict=True).select("event_id", "seen_at", "seen_value")
 
 
 @query(
@@ -79,9 +78,10 @@ def rolling_p95(spark, sf_dir):
     "SELECT user_id, list_sort(list(value))[(count(*) // 2 + 1)::INTEGER] AS median, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95::DOUBLE))::INTEGER + 1] AS p95 FROM events GROUP BY user_id",
 )
 def upper_median(spark, sf_dir):
-    """A-19 on small groups, by arrays."""
-    found = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return found.select("user_id", metrics.upper_median(F.col("v")).alias("median"), metrics.floor_percentile(F.col("v"), 0.95).alias("p95"))
+    """A-19 by ranks: no user's values are gathered."""
+    rows = table(spark, sf_dir, "events").select("user_id", "value")
+    half = metrics.grouped_floor_percentile(rows, ["user_id"], "value", 0.5, "median")
+    return half.join(metrics.grouped_floor_percentile(rows, ["user_id"], "value", 0.95, "p95"), "user_id")
 
 
 @query(

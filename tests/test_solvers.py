@@ -45,10 +45,52 @@ def field(spark):
 
 
 def test_fill_is_the_priority_flood(field):
-    found = solvers.fill(field, 32, rounds=4, steps=16, tile=16)
+    found = solvers.fill(field, 32, steps=16, tile=16)
     assert np.allclose(array(found, "filled", 32), flood(array(field, "h", 32)))
 
 
+def test_fill_of_a_winding_channel(spark):
+    """A channel through walls, longer than any one round reaches, on a grid that no level divides evenly."""
+    wall = (F.col("x") % 4 == 0) & ~((F.col("y") == 2) & (F.col("x") % 8 == 0)) & ~((F.col("y") == 42) & (F.col("x") % 8 == 4))
+    winding = grid(spark, 45).withColumn("h", F.when(wall, 50.0).otherwise(F.abs(F.col("y") - 20) * 0.01))
+    assert np.allclose(array(solvers.fill(winding, 45, steps=8, tile=8), "filled", 45), flood(array(winding, "h", 45)))
+
+
+def plain_trace(surface, bed, starts, steps=260, lake=2.2, flat=0.012):
+    """Visits by one particle after the other over the whole field."""
+    res, visits = len(surface), np.zeros(surface.shape, int)
+    look = lambda x, y: float(solvers._between(surface, np.array([x]), np.array([y]))[0])
+    for px, py in starts:
+        dx = dy = 0.0
+        for _ in range(steps):
+            xi, yi = int(min(max(px, 1), res - 2)), int(min(max(py, 1), res - 2))
+            visits[yi, xi] += 1
+            gx, gy = look(px + 0.65, py) - look(px - 0.65, py), look(px, py + 0.65) - look(px, py - 0.65)
+            length = np.hypot(gx, gy)
+            if surface[yi, xi] - bed[yi, xi] > lake or length < flat:
+                break
+            dx, dy = 0.45 * dx - 0.55 * gx / length, 0.45 * dy - 0.55 * gy / length
+            size = max(np.hypot(dx, dy), 1e-6)
+            px, py = px + dx / size, py + dy / size
+            if not (1 <= px <= res - 2 and 1 <= py <= res - 2):
+                break
+    return visits
+
+
+@pytest.mark.parametrize("tile", [8, 64])
+def test_traces_over_tiles_equal_the_whole(spark, tile):
+    slope = grid(spark, 40).withColumn("h", F.col("x") * 0.5 + F.sin(F.col("y") / 3.0) * 4 + F.cos(F.col("x") / 5.0) * 3)
+    filled = slope.withColumn("filled", F.col("h"))
+    starts = [(float(a) + 0.3, float(b) + 0.6) for a in range(0, 40, 3) for b in range(0, 40, 3)]
+    particles = spark.createDataFrame([(k, *p) for k, p in enumerate(starts)], "id long, px double, py double")
+    surface = array(filled, "filled", 40)
+    want = plain_trace(surface, surface, starts)
+    got = np.zeros_like(want)
+    for r in solvers.trace(particles, filled, 40, tile=tile).collect():
+        got[r.y, r.x] = r.visits
+    assert (got == want).all() and want.sum() > 2000
+
+
 def test_talus_tiles_equal_the_whole(field):
     h, hard = array(field, "h", 32), array(field, "hardness", 32)
     for _ in range(8):
