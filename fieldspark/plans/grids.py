@@ -170,7 +170,7 @@ def _blur(source: str, value: str, radius: int, axis: str, out: str) -> str:
 
 @query("q_triangle_blur", f"SELECT x, y, round(b, 5) AS blurred FROM ({_blur(_blur(_H, 'h', 2, 'x', 'a'), 'a', 2, 'y', 'b')})")
 def triangle_blur(spark, sf_dir):
-    """W-3, G-8: separable blur with replicated edges."""
+    """W-3: separable blur with replicated edges."""
     found = stencil.blur(stencil.blur(hills(spark), "h", 2, "x", "a"), "a", 2, "y", "b")
     return found.select("x", "y", F.round("b", 5).alias("blurred"))
 
