@@ -17,11 +17,11 @@ def channels(spark):
     """The test field with a standing level, strengths of flow and leftover rain."""
     x, y, h = F.col("x"), F.col("y"), F.col("h")
     filled = F.greatest(h, F.lit(30.0) + F.floor(x / 16) * 8)
-    flow = (x * 11 + y * 17) % 100 / 160.0
+    flow = (x * 11 + y * 17) % 100 / 163.0
     return hills(spark).withColumns({"filled": filled, "flow": flow, "wet_flow": flow * 0.9, "lake": (filled - h) * 0.3, "rain": (x + y * 3) % 7 / 40.0})
 
 
-_INPUT = f"SELECT *, filled - h AS _d, (filled - h) * 0.3::DOUBLE AS lake, flow * 0.9::DOUBLE AS wet_flow FROM (SELECT *, greatest(h, 30.0::DOUBLE + x // 16 * 8) AS filled, (x * 11 + y * 17) % 100 / 160.0::DOUBLE AS flow, (x + y * 3) % 7 / 40.0::DOUBLE AS rain FROM ({sql.heights(RES)}))"
+_INPUT = f"SELECT *, filled - h AS _d, (filled - h) * 0.3::DOUBLE AS lake, flow * 0.9::DOUBLE AS wet_flow FROM (SELECT *, greatest(h, 30.0::DOUBLE + x // 16 * 8) AS filled, (x * 11 + y * 17) % 100 / 163.0::DOUBLE AS flow, (x + y * 3) % 7 / 40.0::DOUBLE AS rain FROM ({sql.heights(RES)}))"
 _CARVED = f"""i AS MATERIALIZED ({_INPUT}), g AS (SELECT *, {sql.moved('filled', -1, 'x')} - {sql.moved('filled', 1, 'x')} AS gx, {sql.moved('filled', -1, 'y')} - {sql.moved('filled', 1, 'y')} AS gy FROM i),
 s AS (SELECT *, sqrt(gx * gx + gy * gy) AS g, least(flow * 2.1, 1) AS strong, least(wet_flow * 1.5, 1) AS wide, {_step(2.2 * 0.7, 0.12, 'lake')} AS fade FROM g),
 d AS (SELECT *, power(strong, 1.35) * 7.5 * fade AS depth, {_step(0.5, 0.24, '(g / 128)')} AS gentle FROM s),
@@ -32,10 +32,10 @@ r AS MATERIALIZED (SELECT x, y, bed, depth, CASE WHEN lake > 2.2 THEN lake WHEN
   least(CASE WHEN lake > 2.2 THEN 1 ELSE greatest(strong * 0.85, CASE WHEN lake > 0.9 THEN 0.8 ELSE 0 END) END + least(rain * 2, 0.35), 1)::DOUBLE AS source FROM c)"""
 
 
-@query("q_river_carve", f"WITH {_CARVED} SELECT x, y, " + ", ".join(f"round({c}, 7) + 0.0::DOUBLE AS {c}" for c in ("bed", "river_depth", "surface", "flow_x", "flow_y", "source")) + " FROM r")
+@query("q_river_carve", f"WITH {_CARVED} SELECT x, y, " + ", ".join(f"round({c}, 5) + 0.0::DOUBLE AS {c}" for c in ("bed", "river_depth", "surface", "flow_x", "flow_y", "source")) + " FROM r")
 def river_carve(spark, sf_dir):
     """G-5: beds, river depths, the water's level, flow directions and the source of moisture."""
-    return hydrology.carved(channels(spark), TEXEL).select("x", "y", *[(F.round(c, 7) + 0.0).alias(c) for c in ("bed", "river_depth", "surface", "flow_x", "flow_y", "source")])
+    return hydrology.carved(channels(spark), TEXEL).select("x", "y", *[(F.round(c, 5) + 0.0).alias(c) for c in ("bed", "river_depth", "surface", "flow_x", "flow_y", "source")])
 
 
 _BLURRED = _blur(_blur(_blur(_blur("SELECT x, y, source AS b0 FROM r", "b0", 10, "x", "b1"), "b1", 10, "y", "b2"), "b2", 10, "x", "b3"), "b3", 10, "y", "b4")

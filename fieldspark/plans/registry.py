@@ -27,4 +27,4 @@ def find(name: str) -> Callable:
     return QUERIES[name]
 
 
-from . import grids, hydrology, relational, scattering, solving, streams, terrain, timelines, worlds  # noqa: E402, F401
+from . import grids, hydrology, optics, relational, scattering, solving, streams, terrain, timelines, worlds  # noqa: E402, F401
