@@ -140,7 +140,7 @@ def masked_mean(spark, sf_dir):
     f"SELECT x, y, CASE WHEN wet = 1 AND steep / 64 > 0.35 THEN h - 2 ELSE h END AS cut FROM (SELECT *, greatest({', '.join(f'abs(h - {sql.moved(chr(104), b, a)}) * {sql.moved(chr(119) + chr(101) + chr(116), b, a)}' for b, a in _AROUND)}) AS steep FROM ({_WET}))",
 )
 def cliff_cut(spark, sf_dir):
-    """A-11, G-9: cells under the mask with a steep neighbour sink."""
+    """A-11: cells under the mask with a steep neighbour sink."""
     field = hills(spark).withColumn("wet", (F.col("h") > 120).cast("int"))
     found = stencil.steepest_masked(field, "h", "wet", "steep")
     return found.select("x", "y", F.when((F.col("wet") == 1) & (F.col("steep") / 64 > 0.35), F.col("h") - 2).otherwise(F.col("h")).alias("cut"))

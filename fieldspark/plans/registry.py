@@ -20,11 +20,16 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
+def choose(known: dict[str, Callable], name: str, kind: str) -> Callable:
+    """The entry of that name; a miss lists the known ones."""
+    if name not in known:
+        raise KeyError(f"no {kind} {name!r}; known: {', '.join(sorted(known))}")
+    return known[name]
+
+
 def find(name: str) -> Callable:
-    """The query of that name; a miss lists the known ones."""
-    if name not in QUERIES:
-        raise KeyError(f"no query {name!r}; known: {', '.join(sorted(QUERIES))}")
-    return QUERIES[name]
+    """The query of that name."""
+    return choose(QUERIES, name, "query")
 
 
-from . import grids, hydrology, optics, relational, scattering, solving, streams, terrain, timelines, worlds  # noqa: E402, F401
+from . import grids, hydrology, ingest, optics, relational, scattering, solving, streams, terrain, timelines, worlds  # noqa: E402, F401

@@ -117,7 +117,7 @@ def newest_partition_sum(spark, sf_dir):
     "SELECT l_orderkey, l_linenumber, l_partkey, round(exp(-coalesce(sum(l_discount * l_quantity / 20) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 5) AS clear FROM lineitem",
 )
 def transmittance(spark, sf_dir):
-    """A-26, A-29, W-10: front-to-back accumulation."""
+    """A-26, W-10: front-to-back accumulation."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity")
     found = metrics.ordered_transmittance(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_discount") * F.col("l_quantity") / 20, "clear")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", F.round("clear", 5).alias("clear"))
@@ -128,7 +128,7 @@ def transmittance(spark, sf_dir):
     "SELECT l_suppkey, round(avg(l_quantity) FILTER (l_discount < 0.05), 5) AS near_mean, round(CASE WHEN sum(exp(-abs(l_tax - 0.04) * 40)) > 12 THEN sum(l_quantity * exp(-abs(l_tax - 0.04) * 40)) / sum(exp(-abs(l_tax - 0.04) * 40)) ELSE avg(l_quantity) END, 5) AS guided FROM lineitem GROUP BY l_suppkey",
 )
 def conditional_mean(spark, sf_dir):
-    """A-27, A-28, A-30: a filtered mean, and a weighted one that falls back to the plain mean."""
+    """A-27, A-28: a filtered mean, and a weighted one that falls back to the plain mean."""
     weight, q = F.exp(-F.abs(F.col("l_tax") - 0.04) * 40), F.col("l_quantity")
     guided = F.when(F.sum(weight) > 12, F.sum(q * weight) / F.sum(weight)).otherwise(F.avg(q))
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(F.when(F.col("l_discount") < 0.05, q)), 5).alias("near_mean"), F.round(guided, 5).alias("guided"))
@@ -198,7 +198,7 @@ def distinct_layers(spark, sf_dir):
     "SELECT user_id, count(*) AS n, max((json_extract_string(props, '$.k'))::INTEGER) AS top, count(*) FILTER ((json_extract_string(props, '$.k'))::INTEGER > 50) AS above FROM events GROUP BY user_id",
 )
 def map_metrics(spark, sf_dir):
-    """P-12, P-19, SNK-4, SRC-9: values out of JSON documents."""
+    """P-19: values out of JSON documents."""
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max(k).alias("top"), F.count_if(k > 50).alias("above"))
 
@@ -233,6 +233,6 @@ def cull_classify(spark, sf_dir):
     "SELECT n_name || lpad(printf('%.2f', round(sum(s_acctbal), 2)), 12, ' ') AS line FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name",
 )
 def report_lines(spark, sf_dir):
-    """SNK-6, SNK-7: padded report lines."""
+    """SNK-6: padded report lines."""
     joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.round(F.sum("s_acctbal"), 2).alias("s")).select(F.concat("n_name", F.lpad(F.format_string("%.2f", "s"), 12, " ")).alias("line"))

@@ -145,7 +145,7 @@ p AS (SELECT event_id, list_transform(string_split(pose, ','), lambda s: try_cas
 SELECT event_id, len(v) >= 5 AND len(list_filter(v, lambda x: x IS NULL)) = 0 AS valid, CASE WHEN len(v) >= 5 AND len(list_filter(v, lambda x: x IS NULL)) = 0 THEN v[1] END AS px, CASE WHEN len(v) >= 5 AND len(list_filter(v, lambda x: x IS NULL)) = 0 THEN v[6] END AS fov FROM p""",
 )
 def parse_pose_rows(spark, sf_dir):
-    """SRC-1, SRC-2: pose strings, null where they are short or not numbers."""
+    """SRC-2: pose strings, null where they are short or not numbers."""
     e, n = F.col("event_id"), F.col("user_id")
     text = F.when(e % 5 == 0, F.concat_ws(",", n, e, F.lit("3.5"), F.lit("1"))).when(e % 5 == 1, F.concat_ws(",", n, F.lit("x,3,4,5"))).otherwise(F.concat_ws(",", n, e % 100, F.lit("-2.5"), e % 7, F.lit("0.25,60")))
     rows = table(spark, sf_dir, "events").select("event_id", parse_pose(text).alias("v"))

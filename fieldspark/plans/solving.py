@@ -182,3 +182,18 @@ def periodic_noise(spark, sf_dir):
     x, y = F.col("x") / 8.0, F.col("y") / 8.0
     here, there = noise.periodic_noise2(x, y, 4, 11), noise.periodic_noise2(x + 4, y - 8, 4, 11)
     return grid(spark, 32).select("x", "y", F.round(here, 6).alias("noise"), F.round(there, 6).alias("wrapped"))
+
+
+_OFFSETS = ((0.0, 0.0), (0.125, 0.0), (-0.125, 0.0), (0.0, 0.125), (0.0, -0.125))
+_BAKE = f"SELECT x, y, k, x / 8.0 + ox AS px, y / 8.0 + oy AS py FROM ({sql.cells(32)}), (VALUES " + ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for k, (a, b) in enumerate(_OFFSETS)) + ") v(k, ox, oy)"
+
+
+@query(
+    "q_noise_baked",
+    f"WITH n AS (SELECT x, y, k, sum(h / 4294967296.0 * {_WEIGHT}) AS v FROM ({sql.hashed(_LATTICE.replace(_TILED, _BAKE))}) GROUP BY x, y, k) SELECT x, y, round(max(v) FILTER (k = 0), 6) AS noise, round((max(v) FILTER (k = 1) - max(v) FILTER (k = 2)) * 4, 5) AS gx, round((max(v) FILTER (k = 3) - max(v) FILTER (k = 4)) * 4, 5) AS gy FROM n GROUP BY x, y",
+)
+def noise_baked(spark, sf_dir):
+    """N-6: a table of periodic noise with its gradient."""
+    x, y = F.col("x") / 8.0, F.col("y") / 8.0
+    v = [noise.periodic_noise2(x + a, y + b, 4, 11) for a, b in _OFFSETS]
+    return grid(spark, 32).select("x", "y", F.round(v[0], 6).alias("noise"), F.round((v[1] - v[2]) * 4, 5).alias("gx"), F.round((v[3] - v[4]) * 4, 5).alias("gy"))

@@ -101,7 +101,7 @@ b AS (SELECT *, CASE WHEN h > 230 THEN 0 WHEN h > 205 THEN 1 WHEN moist > 0.72 A
 SELECT biome, count(*) AS cells, round(avg(slope), 5) AS slope, count(DISTINCT floor(least(greatest(moist, 0), 1) * 255 + 0.5)) AS steps FROM b GROUP BY biome""",
 )
 def biome_fields(spark, sf_dir):
-    """G-20, P-7, W-1, SNK-1: classification of a field, with a channel stored in 255ths."""
+    """P-7, W-1, SNK-1: classification of a field, with a channel stored in 255ths."""
     field = stencil.central_difference(hills(spark), "h", 64.0).withColumn("moist", (F.col("x") * 3 + F.col("y") * 5) % 100 / 100.0)
     h, slope, moist = F.col("h"), F.col("slope"), F.col("moist")
     tree = F.when(h > 230, 0).when(h > 205, 1).when((moist > 0.72) & (slope < 0.9) & (h < 120), 5).when((F.col("x") + F.col("y")) % 9 > 5, 3).when((slope < 0.6) & (moist < 0.5), 4).otherwise(2)

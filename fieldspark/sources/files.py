@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,8 +29,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8, width * height * channels, at).reshape(height, width, channels)
 
 
-def pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(img, x, y, c, v) of all images under a path; an image is one task's row, never the driver's."""
+def decoded(images: DataFrame) -> DataFrame:
+    """(img, x, y, c, v) of images (path, content); an image is one task's row, never the driver's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -40,8 +39,20 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
                 y, x, c = np.indices(image.shape)
                 yield pd.DataFrame({"img": name.rsplit("/", 1)[-1], "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), "c": c.ravel().astype("int32"), "v": image.ravel().astype("int32")})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "img string, x int, y int, c int, v int")
+    return images.select("path", "content").mapInPandas(run, "img string, x int, y int, c int, v int")
+
+
+def pixels(spark: SparkSession, path: str) -> DataFrame:
+    """The pixels of all images under a path."""
+    return decoded(spark.read.format("binaryFile").load(path))
+
+
+def read_back(frame: DataFrame, most: int) -> list:
+    """All rows on the driver, of which there may be `most`; one more is an error, so a table is never gathered by mistake."""
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows to read back")
+    return rows
 
 
 def flipped(frame: DataFrame, height: int) -> DataFrame:
@@ -63,17 +74,28 @@ def flags(words: Sequence[str]) -> dict[str, str]:
 
 def run_parameters(spark: SparkSession, given: dict[str, str]) -> DataFrame:
     """One row of typed run parameters with their defaults; the hour is clamped, a shot is 1..9 or null."""
-    row = spark.createDataFrame([(json.dumps(given),)], "j string")
-    at = lambda key: F.get_json_object("j", f"$.{key}")
+    row = spark.createDataFrame([(given,)], "m map<string,string>")
+    return row.select(*parameters(F.col("m")))
+
+
+def query_map(text: Column) -> Column:
+    """The keys and values of `?a=1&b=2`; a bare key means "1"."""
+    pairs = F.filter(F.split(F.regexp_replace(text, "^[?]", ""), "&"), lambda p: p != "")
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.element_at(F.split(p, "="), 1).alias("k"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("1").alias("v"))))
+
+
+def parameters(given: Column) -> list[Column]:
+    """Typed run parameters out of a map, with their defaults; the hour is clamped, a shot is 1..9 or null."""
+    at = lambda key: F.get(F.map_values(F.map_filter(given, lambda k, v: k == key)), F.lit(0))
     shot = at("shot").try_cast("int")
-    return row.select(
+    return [
         F.coalesce(at("seed").try_cast("bigint"), F.lit(1)).alias("seed"),
         F.coalesce(at("scene"), F.lit("terrain")).alias("scene"),
         F.least(F.greatest(F.coalesce(at("T").try_cast("double"), F.lit(11.0)), F.lit(0.0)), F.lit(24.0)).alias("time_of_day"),
         F.coalesce(at("preset"), F.lit("high")).alias("preset"),
         F.when(shot.between(1, 9), shot).alias("shot"),
         (F.coalesce(at("freeze"), F.lit("0")) == "1").alias("freeze"),
-    )
+    ]
 
 
 def write_stats(frame: DataFrame, path: str) -> None:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -34,3 +35,25 @@ def settled(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFra
     values = [c for c in rows.columns if c not in (*keys, "_batch")]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
     return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def observed(stream: DataFrame, name: str, metrics: Sequence[Column], updates: Sequence[Callable[[DataFrame, int], None]], every: int = 90) -> list[dict]:
+    """Runs the updates, in their order, on each batch until all that is there has been read; the metrics of every `every`th batch.
+
+    Metrics are gathered while the batch runs, by the tasks that read it anyway;
+    one batch is in flight at a time. Returning is what a waiter waits for.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        for update in updates:
+            update(batch, number)
+
+    path = f"{shared_dir(stream.sparkSession)}/observed-{uuid.uuid4().hex}"
+    query = stream.observe(name, *metrics).writeStream.option("checkpointLocation", path).trigger(availableNow=True).foreachBatch(run).start()
+    query.awaitTermination()
+    found = []
+    for progress in query.recentProgress:
+        if progress["batchId"] % every == 0 and progress["observedMetrics"].get(name):
+            row = progress["observedMetrics"][name]
+            found.append({"batch": progress["batchId"], **(row if isinstance(row, dict) else row.asDict())})
+    return found

@@ -87,3 +87,38 @@ def damped(events: DataFrame, stiffness: float = 40.0, damping: float = 0.85, mo
         yield pd.DataFrame({"user_id": [key[0]], "x": [x], "v": [v]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, x double, v double", "x double, v double, last double", "update", GroupStateTimeout.NoTimeout)
+
+
+def rebaked(events: DataFrame, seconds: float) -> DataFrame:
+    """(user_id, bakes, baked, residual): a value baked anew only after `seconds`; between bakes what it is off by is applied."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState):
+        bakes, baked, since, residual = state.get if state.exists else (0, 0.0, -1e18, 0.0)
+        for row in _ordered(parts).itertuples():
+            at = pd.Timestamp(row.ts).timestamp()
+            if at - since > seconds:
+                bakes, baked, since = bakes + 1, float(row.value), at
+            residual = float(row.value) - baked
+        state.update((bakes, baked, since, residual))
+        yield pd.DataFrame({"user_id": [key[0]], "bakes": [bakes], "baked": [baked], "residual": [residual]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, bakes long, baked double, residual double", "bakes long, baked double, since double, residual double", "update", GroupStateTimeout.NoTimeout)
+
+
+def falling(events: DataFrame, gravity: float = 9.81, lift: float = 0.05, most_dt: float = 0.1) -> DataFrame:
+    """(user_id, height, speed, landings): a body that each row pushes up, that falls, and that the ground stops."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState):
+        height, speed, landings, last = state.get if state.exists else (0.0, 0.0, 0, float("nan"))
+        for row in _ordered(parts).itertuples():
+            at = pd.Timestamp(row.ts).timestamp()
+            dt = 0.0 if last != last else min(max(at - last, 0.0), most_dt)
+            speed += row.value * lift - gravity * dt
+            height += speed * dt
+            if height <= 0 and speed < 0:
+                height, speed, landings = 0.0, 0.0, landings + 1
+            last = at
+        state.update((height, speed, landings, last))
+        yield pd.DataFrame({"user_id": [key[0]], "height": [height], "speed": [speed], "landings": [landings]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, height double, speed double, landings long", "height double, speed double, landings long, last double", "update", GroupStateTimeout.NoTimeout)
