@@ -7,6 +7,7 @@ split into 16-bit halves and masked; no value ever leaves 53 bits.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,6 +140,25 @@ def sfc32(seed: Column, count: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(count + 8)), start, step, lambda s: s["out"])
 
 
+def draws(seed: int) -> Iterator[int]:
+    """The same generator in Python, draw by draw, for sequential work on one key."""
+
+    def mixed(h: int) -> int:
+        h = (h ^ (h >> 16)) * FMIX_1 & MASK
+        h = (h ^ (h >> 13)) * FMIX_2 & MASK
+        return h ^ (h >> 16)
+
+    a, b, c, d = (mixed((seed + k * 0x9E3779B9) & MASK) for k in range(1, 5))
+    skipped = 0
+    while True:
+        t = (a + b + d) & MASK
+        a, b, c, d = b ^ (b >> 9), (c + (c << 3)) & MASK, (((c << 21) | (c >> 11)) + t) & MASK, (d + 1) & MASK
+        if skipped < 8:
+            skipped += 1
+        else:
+            yield t
+
+
 def gauss(u: Column, v: Column) -> Column:
     """A normal draw from two uniform ones (Box-Muller)."""
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)

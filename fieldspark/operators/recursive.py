@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.hashing import draws
 from .grid import WORLD_SIZE
 from .scatter import capped
 
@@ -41,15 +42,13 @@ def quadtree(cameras: DataFrame, min_size: float = 128.0, world: float = WORLD_S
 
 @udtf(returnType="branch int, parent int, level int, x double, y double, z double, length double")
 class Growth:
-    """Branches of a seeded recursive grammar, depth first under a budget."""
+    """Branches of a seeded recursive grammar, depth first under a budget; the order of its draws matters, so a plant is one row's work."""
 
     def eval(self, seed: int, levels: int, children: int, budget: int):
-        state = seed & 0xFFFFFFFF
+        drawn = draws(seed)
 
         def draw() -> float:
-            nonlocal state
-            state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
-            return state / 4294967296.0
+            return next(drawn) / 4294967296.0
 
         count, stack = 0, [(-1, 0, 0.0, 0.0, 0.0, 8.0)]
         while stack and count < budget:

@@ -71,14 +71,18 @@ def _settled(now: DataFrame, res: int, spacing: float, steps: int, tile: int) ->
         edge = np.zeros(a["h"].shape, bool)
         edge[:, (xs == 0) | (xs == res - 1)] = True
         edge[(ys == 0) | (ys == res - 1)] = True
-        w = a["filled"]
-        for _ in range(steps):
+        w, left = a["filled"], steps
+        while left or alone:
             after = fill_step(a["h"], w, edge, spacing)
             if (after == w).all():
                 break
-            w = after
+            w, left = after, left - 1
         return {"h": a["h"], "filled": w, "moved": a["filled"] - w}
 
+    # A grid that one tile holds is settled there.
+    alone = res <= tile
+    if alone:
+        return stored(on_tiles(now, res, ["h", "filled"], ["h", "filled"], 0, step, tile), "fill")
     while True:
         found = stored(on_tiles(now, res, ["h", "filled"], ["h", "filled", "moved"], min(steps, 2 * tile), step, tile), "fill")
         now = found.drop("moved")
@@ -97,7 +101,9 @@ def fill(frame: DataFrame, res: int, steps: int = 48, tile: int = TILE, levels:
     bed = frame.select("x", "y", F.col("h").cast("double").alias("h"))
     peak = bed.agg(F.max("h")).first()[0]
     coarse, before = None, 0
-    for f in [k for k in levels if k == 1 or -(-res // k) >= 4]:
+    # The finest level that one tile holds needs no coarser one.
+    fitting = min((k for k in levels if -(-res // k) <= tile), default=max(levels))
+    for f in sorted({k for k in levels if k <= fitting} | {1}, reverse=True):
         own = -(-res // f)
         cells = bed if f == 1 else bed.groupBy(F.floor(F.col("x") / f).cast("int").alias("x"), F.floor(F.col("y") / f).cast("int").alias("y")).agg(F.max("h").alias("h"))
         if coarse is None:

@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import smoothstep
-from ..operators import lookup, stencil, terrain
+from ..functions import hashing
+from ..functions.scalar import pick, saturate, smoothstep
+from ..operators import lookup, scatter, spatial, stencil, terrain
 from ..operators.grid import grid, world
+from ..session import stored
 from . import sqltext as sql
 from .grids import RES, _bilinear, hills
 from .registry import query
@@ -70,6 +72,12 @@ def world_cells(spark, side: int = SIDE):
     return terrain.macro(grid(spark, side).withColumns({"wx": world(F.col("x"), side), "wy": world(F.col("y"), side)}))
 
 
+def classified_cells(spark):
+    h = F.col("height")
+    cells = stored(world_cells(spark), "world").withColumns({"moisture": saturate(1 - h / 900), "water": F.when(h < terrain.LAKE_LEVEL, 0.5).otherwise(0.0)})
+    return terrain.classified(cells, TEXEL)
+
+
 @query("q_macro_terrain", f"WITH {macro_sql(SIDE)} SELECT x, y, round(height, 3) AS height, round(hardness, 4) AS hardness, round(t_alp, 5) AS t_alp, round(t_karst, 5) AS t_karst, round(t_lake, 5) AS t_lake, round(va_dist, 3) AS valley_dist FROM m")
 def macro_terrain(spark, sf_dir):
     """G-19: base, hills, ridges, towers, carved valleys and the lake, composed; portable noise stands in for the library's (N-8)."""
@@ -92,13 +100,77 @@ f AS (SELECT *, power({clamp(f"chill * {_step(2.6, 0.8, 'coarse')} + ledge * chi
 SELECT x, y, biome, round(temp, 4) AS temp, round(snow, 4) AS snow, round(rock, 4) AS rock, round({clamp(f"(0.85 - 0.6 * rock) * {_step(-2.5, 1.5, 'temp')} * {_step(0.05, 0.25, '(moisture + 0.15)')} * {_step(1.9, 1.1, 'slope')} - snow * 0.7")}, 4) AS dens FROM f"""
 
 
+#: Of each layer its salt, the salt of its clumps, its density by biome and the weights of its classes.
+LAYERS = {
+    "trees": (0x1A2B, 0x51F3, (0.0, 0.3, 0.85, 0.8, 0.08, 0.3), (9, 5, 2)),
+    "understory": (0x2B3C, 0x51F3, (0.05, 0.35, 0.6, 0.7, 0.4, 0.5), (6, 6, 4)),
+    "extras": (0x3C4D, 0x2E0F, (0.1, 0.12, 0.2, 0.25, 0.1, 0.15), (8, 8)),
+    "stones": (0x4D5E, 0x77AA, (0.55, 0.4, 0.26, 0.32, 0.14, 0.18), (10, 4, 2)),
+}
+LAYER_CAP = 120
+
+
+def _clump_sql(source: str, salt: int) -> str:
+    """(x, y, clump): the greatest kernel of the hashed parents around (wx, wy)."""
+    cell, bias = spatial.PARENT_CELL, spatial.PARENT_BIAS
+    near = f"SELECT x, y, wx, wy, floor(wx / {cell})::BIGINT + dx + {bias} AS cx, floor(wy / {cell})::BIGINT + dy + {bias} AS cy FROM {source}, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)"
+    hashed = sql.pcg(sql.pcg(near, "cx", "cy", salt), "cx", "cy", salt ^ 0x9E3779, "eu", "ev")
+    far = f"SELECT *, {cell} * (u / 16777216.0::DOUBLE * 0.55 + 0.5) AS r, sqrt(power(wx - (cx - {bias} + 0.15 + u / 16777216.0::DOUBLE * 0.7) * {cell}, 2) + power(wy - (cy - {bias} + 0.15 + v / 16777216.0::DOUBLE * 0.7) * {cell}, 2)) AS d FROM ({hashed})"
+    t = "least(greatest((d - r * 0.22) / (r - r * 0.22), 0), 1)"
+    return f"SELECT x, y, greatest(max(CASE WHEN eu / 16777216.0 < {spatial.PARENT_PROB} THEN 1 - {t} * {t} * (3 - 2 * {t}) ELSE 0 END), 0) AS clump FROM ({far}) GROUP BY x, y"
+
+
+def _layers_sql() -> str:
+    base = _classified_sql()
+    head, tail = base.rsplit("SELECT x, y, biome,", 1)
+    dens = tail.split("AS rock, round(", 1)[1].rsplit(", 4) AS dens", 1)[0]
+    parts = []
+    for name, (salt, clumps, density, weights) in LAYERS.items():
+        gate = "CASE biome " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(density)) + " END"
+        grow = "(0.25 + 0.75 * clump)"
+        accept = {
+            "trees": f"{gate} * {grow} * dens",
+            "understory": f"{gate} * (0.4 + 0.6 * clump) * greatest(dens, 0.15)",
+            "extras": f"{gate} * {grow} * (1 - snow)",
+            "stones": f"{gate} * (clump * 0.78 + 0.22) * (rock * 0.85 + 0.3) * (1 - {_step(0.72, 0.98, 'slope')} * 0.9)",
+        }[name]
+        dry = "height > 142.25" if name != "stones" else "height > 142.25 AND slope < 2.4"
+        source = f"SELECT n.*, clump FROM n JOIN ({_clump_sql('n', clumps)}) USING (x, y) WHERE {dry}"
+        kept = f"SELECT * EXCLUDE (u, v) FROM ({sql.pcg(source, 'x', 'y', salt)}) WHERE u < {accept} * 16777216"
+        edges = [sum(weights[: k + 1]) for k in range(len(weights) - 1)]
+        cls = "CASE " + " ".join(f"WHEN u <= {e} * 1048576 THEN {k}" for k, e in enumerate(edges)) + f" ELSE {len(weights) - 1} END"
+        parts.append(f"SELECT '{name}' AS layer, biome, {cls} AS cls, x, y, row_number() OVER (PARTITION BY biome ORDER BY y, x) AS place FROM ({sql.pcg(kept, 'x', 'y', salt + 7)})")
+    return f"{head}, n AS MATERIALIZED (SELECT *, {dens} AS dens FROM f) SELECT layer, biome, cls, count(*) AS n, sum(x * 64 + y)::BIGINT AS places FROM ({' UNION ALL '.join(parts)}) WHERE place <= {LAYER_CAP} GROUP BY layer, biome, cls"
+
+
+@query("q_scatter_layers", _layers_sql())
+def scatter_layers(spark, sf_dir):
+    """G-21: four layers over the classified world: exclusions, clumps, each layer's own rules, the hash gate, classes, a cap by biome."""
+    x, y = F.col("x"), F.col("y")
+    world_ = classified_cells(spark)
+    out = None
+    for name, (salt, clumps, density, weights) in LAYERS.items():
+        dry = world_.where(F.col("height") > terrain.LAKE_LEVEL + 0.25)
+        dry = dry.where(F.col("slope") < 2.4) if name == "stones" else dry
+        near = dry.withColumns({"clump": spatial.clump(F.col("wx"), F.col("wy"), clumps), "gate": pick(F.col("biome"), list(density[:-1]), density[-1])})
+        gate, clump, dens = F.col("gate"), F.col("clump"), F.col("dens")
+        accept = {
+            "trees": gate * (0.25 + 0.75 * clump) * dens,
+            "understory": gate * (0.4 + 0.6 * clump) * F.greatest(dens, F.lit(0.15)),
+            "extras": gate * (0.25 + 0.75 * clump) * (1 - F.col("snow")),
+            "stones": gate * (clump * 0.78 + 0.22) * (F.col("rock") * 0.85 + 0.3) * (1 - smoothstep(0.72, 0.98, F.col("slope")) * 0.9),
+        }[name]
+        kept = scatter.gate(near, x, y, salt, accept)
+        classed = kept.withColumn("cls", scatter.weighted_pick(hashing.pcg2d(x, y, salt + 7)["u"], [F.lit(k * 1048576) for k in weights]))
+        own = scatter.capped(classed, ["biome"], ["y", "x"], LAYER_CAP).select(F.lit(name).alias("layer"), "biome", "cls", "x", "y")
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("layer", "biome", "cls").agg(F.count("*").alias("n"), F.sum(x * 64 + y).alias("places"))
+
+
 @query("q_biome_classify", _classified_sql())
 def biome_classify(spark, sf_dir):
     """G-20, W-2, P-7: temperature, snow, rock, the biome tree and plant density over the composed world."""
-    h = F.col("height")
-    cells = world_cells(spark).withColumns({"moisture": F.least(F.greatest(1 - h / 900, F.lit(0.0)), F.lit(1.0)), "water": F.when(h < terrain.LAKE_LEVEL, 0.5).otherwise(0.0)})
-    found = terrain.classified(cells, TEXEL)
-    return found.select("x", "y", "biome", *[F.round(c, 4).alias(c) for c in ("temp", "snow", "rock", "dens")])
+    return classified_cells(spark).select("x", "y", "biome", *[F.round(c, 4).alias(c) for c in ("temp", "snow", "rock", "dens")])
 
 
 _SLOPED = f"SELECT x, y, h, (e - w) / 128 AS gx_, (n - s) / 128 AS gz_ FROM (SELECT *, {sql.moved('h', -1, 'x')} AS w, {sql.moved('h', 1, 'x')} AS e, {sql.moved('h', -1, 'y')} AS s, {sql.moved('h', 1, 'y')} AS n FROM ({sql.heights(RES)}))"

@@ -1,5 +1,7 @@
 """Hashes against independent plain-Python versions and public vectors."""
 
+from itertools import islice
+
 from pyspark.sql import functions as F
 
 from fieldspark.functions import hashing
@@ -31,3 +33,8 @@ def test_fixed_vectors(spark):
 def test_fmix_of_many(spark):
     rows = spark.range(0, 4294967296, 85899345).select("id", hashing.fmix32(F.col("id")).alias("h")).collect()
     assert all(r.h == fmix(r.id) for r in rows)
+
+
+def test_draws_in_python_equal_the_column(spark):
+    rows = spark.createDataFrame([(k * 7919 - 5,) for k in range(6)], "s long").select("s", hashing.sfc32(F.col("s"), 12).alias("d")).collect()
+    assert all(list(islice(hashing.draws(r.s), 12)) == r.d for r in rows)
