@@ -28,15 +28,35 @@ def run_parameters(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", files.query_map(text).alias("m")).select("event_id", *files.parameters(F.col("m")))
 
 
+def digests(spark, sf_dir):
+    """An image of 8 x 4 pixels for each document, made of its digest."""
+    header = F.encode(F.lit("P5\n8 4\n255\n"), "utf-8")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(header, F.encode(F.md5(F.col("text").cast("binary")), "utf-8")).alias("content"))
+
+
 @query(
     "q_image_pixels",
     "SELECT doc_id::VARCHAR AS img, (k % 8)::INTEGER AS x, (3 - k // 8)::INTEGER AS y, ascii(substr(md5(text), (k + 1)::INTEGER, 1)) AS v FROM documents, range(32) t(k)",
 )
 def image_pixels(spark, sf_dir):
     """SRC-8, SNK-3: images of 8 x 4 pixels, one made of each document's digest, decoded and with their rows flipped."""
-    header = F.encode(F.lit("P5\n8 4\n255\n"), "utf-8")
-    images = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(header, F.encode(F.md5(F.col("text").cast("binary")), "utf-8")).alias("content"))
-    return files.flipped(files.decoded(images), 4).select("img", "x", "y", "v")
+    return files.flipped(files.decoded(digests(spark, sf_dir)), 4).select("img", "x", "y", "v")
+
+
+_CODE = "ascii(substr(md5(text), (8 * {row} + {column} + 1)::INTEGER, 1))"
+
+
+@query(
+    "q_image_heat",
+    f"""WITH k AS (SELECT doc_id::VARCHAR AS img, (k % 8)::INTEGER AS x, (k // 8)::INTEGER AS y, text FROM documents, range(32) t(k))
+SELECT img, x, y, {_CODE.format(row="y", column="x")} AS v FROM k UNION ALL SELECT img, x + 20 AS x, y, abs({_CODE.format(row="y", column="x")} - {_CODE.format(row="(3 - y)", column="x")}) AS v FROM k UNION ALL SELECT DISTINCT img, x + 8 AS x, y, 0 AS v FROM k UNION ALL SELECT DISTINCT img, x + 16 AS x, y, 0 AS v FROM k WHERE x < 4""",
+)
+def image_heat(spark, sf_dir):
+    """SNK-5, U-5: each image beside how far it is from its flipped self, written as PNG files and read again."""
+    image = stored(files.decoded(digests(spark, sf_dir)), "pixels")
+    both = files.side_by_side(image, files.heat(image, files.flipped(image, 4)), 8)
+    written = stored(files.png_files(both), "png")
+    return files.decoded(written).select("img", "x", "y", "v")
 
 
 @query("q_stats_round_trip", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")

@@ -206,22 +206,23 @@ def map_metrics(spark, sf_dir):
 #: Distance bands of the level-of-detail classes, the slack of the outer region and the cap of a group.
 LODS = ((0.0, 40.0), (34.0, 90.0), (80.0, 400.0))
 GROUP_CAP = 60
+REGION = ((0.8, 0.0, 0.6, 30.0), (-0.6, 0.0, 0.8, 45.0), (0.0, 1.0, 0.0, 2.5), (0.0, -1.0, 0.0, 3.0), (-0.8, 0.6, 0.0, 38.0), (0.0, 0.0, -1.0, 47.0))
 
 
 @query(
     "q_cull_classify",
-    f"""WITH c AS (SELECT c_custkey, c_nationkey % 6 AS cls, (c_custkey % 101) - 50 AS x, (c_custkey // 7) % 101 - 50 AS z FROM customer), d AS (SELECT *, sqrt(x * x + z * z) AS d FROM c WHERE x * 0.8 + z * 0.6 + 30 > -2 AND x * -0.6 + z * 0.8 + 45 > -2),
+    f"""WITH c AS (SELECT c_custkey, c_nationkey % 6 AS cls, (c_custkey % 101) - 50 AS x, (c_custkey // 7) % 101 - 50 AS z, c_custkey % 13 - 6 AS y FROM customer), d AS (SELECT *, sqrt(x * x + y * y + z * z) AS d FROM c WHERE x * 0.8 + z * 0.6 + 30 > -2 AND x * -0.6 + z * 0.8 + 45 > -2 AND y + 2.5 > -2 AND 3.0 - y > -2 AND x * -0.8 + y * 0.6 + 38 > -2 AND z * -1 + 47 > -2),
 b AS (SELECT *, cls * 3 + lod AS grp FROM d JOIN (VALUES (0, 0.0, 40.0), (1, 34.0, 90.0), (2, 80.0, 400.0)) v(lod, lo, hi) ON d >= lo AND d < hi), p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY c_custkey) AS k FROM b)
 SELECT grp, count(*) AS found, least(count(*), {GROUP_CAP}) AS drawn, sum(c_custkey) FILTER (k <= {GROUP_CAP})::BIGINT AS id_sum FROM p GROUP BY grp""",
 )
 def cull_classify(spark, sf_dir):
-    """G-22, P-8..P-11, J-5..J-7: region test, overlapping bands, capped groups, counts."""
+    """G-22, P-8..P-11, J-5..J-7: region test by six planes, overlapping bands, capped groups, counts."""
     from ..operators.spatial import halfspaces
 
     key = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 6).alias("cls"), (key % 101 - 50).alias("x"), (F.floor(key / 7) % 101 - 50).alias("z"))
-    inside = rows.where(halfspaces([F.col("x"), F.col("z")], ((0.8, 0.6, 30.0), (-0.6, 0.8, 45.0)), F.lit(2.0)))
-    far = inside.withColumn("d", F.sqrt((F.col("x") * F.col("x") + F.col("z") * F.col("z")).cast("double")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 6).alias("cls"), (key % 101 - 50).alias("x"), (key % 13 - 6).alias("y"), (F.floor(key / 7) % 101 - 50).alias("z"))
+    inside = rows.where(halfspaces([F.col(c) for c in "xyz"], REGION, F.lit(2.0)))
+    far = inside.withColumn("d", F.sqrt((F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).cast("double")))
     hit = far.select("c_custkey", "cls", F.explode(scatter.bands(F.col("d"), LODS)).alias("lod")).select("c_custkey", (F.col("cls") * 3 + F.col("lod")).alias("grp"))
     counts = hit.groupBy("grp").agg(F.count("*").alias("found"))
     kept = scatter.capped(hit, ["grp"], ["c_custkey"], GROUP_CAP).groupBy("grp").agg(F.sum("c_custkey").alias("id_sum"))

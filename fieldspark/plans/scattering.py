@@ -12,7 +12,7 @@ from ..session import table
 from . import sqltext as sql
 from .registry import query
 
-#: Salts of the gate and of the weighted pick.
+#: Salts of the gate and of the weighted pick, and the share of each biome that passes.
 GATE, PICK = 0x1234F, 0x77E1
 ACCEPT = (0.2, 0.8, 0.85, 0.3, 0.5, 0.65)
 CAP = 150

@@ -10,7 +10,7 @@ from ..operators import metrics, spatial
 from ..session import table
 from .registry import query
 
-#: Time, saturation, contrast and shadow amount of the fixed grade keyframes.
+#: Time, saturation, contrast and shadow amount of the grade keyframes.
 KEYFRAMES = (
     (0.0, 0.8, 1.06, 0.45),
     (6.2, 1.1, 1.05, 0.4),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,7 +37,7 @@ def decoded(images: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch.path, batch.content):
-                image = decode_netpbm(data)
+                image = decode_png(data) if data[:4] == b"\x89PNG" else decode_netpbm(data)
                 y, x, c = np.indices(image.shape)
                 yield pd.DataFrame({"img": name.rsplit("/", 1)[-1], "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), "c": c.ravel().astype("int32"), "v": image.ravel().astype("int32")})
 
@@ -55,6 +57,54 @@ def read_back(frame: DataFrame, most: int) -> list:
     return rows
 
 
+def encode_png(image: np.ndarray) -> bytes:
+    """A PNG file of (height, width) or (height, width, 3) bytes."""
+    image = image if image.ndim == 3 else image[:, :, None]
+    height, width, channels = image.shape
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, width * channels).astype(np.uint8)], 1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """(height, width, channels) of an unfiltered, not interlaced 8-bit PNG file of grey or RGB."""
+    at, packed, head = 8, b"", ()
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        head = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + size
+    channels = {0: 1, 2: 3}[head[3]]
+    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(head[1], 1 + head[0] * channels)
+    if head[2] != 8 or head[6] or lines[:, 0].any():
+        raise ValueError("only unfiltered 8-bit images are read")
+    return lines[:, 1:].reshape(head[1], head[0], channels)
+
+
+def png_files(pixels_: DataFrame) -> DataFrame:
+    """(path, content) of images given by their pixels (img, x, y, c, v); an image is one task's group."""
+
+    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((table.y.max() + 1, table.x.max() + 1, table.c.max() + 1), np.uint8)
+        image[table.y, table.x, table.c] = table.v
+        return pd.DataFrame({"path": [key[0]], "content": [encode_png(image)]})
+
+    return pixels_.groupBy("img").applyInPandas(run, "path string, content binary")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, width: int, gutter: int = 12) -> DataFrame:
+    """Two images of one name as one, the second beyond a gutter."""
+    return left.unionByName(right.withColumn("x", F.col("x") + width + gutter))
+
+
+def heat(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How far apart two images of one name are, pixel by pixel."""
+    keys = ["img", "x", "y", "c"]
+    return left.join(right.withColumnRenamed("v", "other"), keys).select(*keys, F.abs(F.col("v") - F.col("other")).alias("v"))
+
+
 def flipped(frame: DataFrame, height: int) -> DataFrame:
     """Rows counted from the other end."""
     return frame.withColumn("y", F.lit(height - 1) - F.col("y"))

@@ -19,6 +19,19 @@ def test_images(spark, tmp_path):
     assert files.flipped(files.pixels(spark, str(tmp_path / "b.pgm")), 2).where("y = 0").first().v == int(b[1, 0, 0])
 
 
+def test_png_round_trip():
+    rng = np.random.default_rng(3)
+    for shape in ((4, 7, 1), (5, 3, 3)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        assert (files.decode_png(files.encode_png(image)) == image).all()
+
+
+def test_read_back_is_bounded(spark):
+    assert len(files.read_back(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError, match="more than 4"):
+        files.read_back(spark.range(5), 4)
+
+
 def test_flags_and_parameters(spark):
     given = files.flags(["--seed", "7", "--freeze", "--T", "31", "--shot", "12"])
     assert given == {"seed": "7", "freeze": "1", "T": "31", "shot": "12"}
