@@ -18,7 +18,9 @@ segments of its remaining bits, by the same argument.
 
 Nulls: a null text counts as empty; a text without words has fingerprint zero,
 which links like any other. Null ids never become a component's name unless
-all ids in it are null. Extra columns are ignored; repeated rows are kept.
+all ids in it are null. Extra columns are ignored; repeated rows are kept. A
+text longer than a block is a block of its own; some 200 bytes of arrays are held
+for each of its words.
 """
 
 from __future__ import annotations

@@ -33,6 +33,14 @@ def brute_fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_fingerprint_of_a_long_text():
+    rng = np.random.default_rng(17)
+    words = [f"W{k}" for k in rng.integers(0, 50_000, 450_000)]
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).lower().encode(), 42) for i in range(len(words) - 2)], "<u8")
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+    assert simhash.fingerprint(" ".join(words).encode(), 3) == sum(1 << b for b in range(64) if 2 * int(ones[b]) > len(hashes))
+
+
 def test_gray_index_finds_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)

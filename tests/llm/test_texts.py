@@ -81,6 +81,18 @@ def test_bpe_rows(odd, none, own, reference):
     assert bpe.digests(none, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_of_long_texts_and_full_caches(reference, monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyzé日")
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(words, 400_000)), "x" * 3000 + "\n" + " ".join(words), "\n\n".join(words[:3000]), "a\x1fb \x1f c"]
+    assert len(texts[0]) > 2 << 20
+    small = bpe.Codec(RANKS, public_tokenizers.PATTERN, bound=1 << 18)
+    for text in [*texts, *texts[1:]]:
+        ids = small.encode(text)
+        assert ids == reference.encode_ordinary(text) and small.decode(ids) == text.encode()
+
+
 def test_packing_rows(odd, none):
     tokenizer = LIBRARY
     rows = packing.pack_documents(odd, WORDS, sequence=64, with_ids=True).collect()
