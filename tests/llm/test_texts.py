@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -290,6 +291,17 @@ def test_lsa_ties_go_to_the_first_of_the_sample():
         assert np.array_equal(voters.scores(asked, rows=rows), found)
 
 
+def test_words_of_a_block():
+    texts = [None, "", "  A b\tÀ\x0bb ", "\n", "İ x\x1cy  Z", "one"]
+    words, place, sizes = attention.block_words(pa.array(texts, pa.string()))
+    names = words.to_pylist()
+    want = [attention.words_of((t or "").encode()) for t in texts]
+    assert [names[k] for k in place] == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
+    assert len(set(names)) == len(names)
+    empty = attention.block_words(pa.array([], pa.string()))
+    assert len(empty[1]) == 0 and len(empty[2]) == 0
+
+
 def test_subwords_of_many_words():
     own = attention.subwords(MULTI, public_tokenizers.PATTERN)
     words = [b"the", b"", "İstanbul\u3000x".encode(), "\u3000".encode(), b"don't!!", b"\x1c", "日本語🙂".encode(), b"", b"12,5", "a\xa0".encode()]
