@@ -80,6 +80,8 @@ def map_blocks(df: DataFrame, text_column: int, schema: str, block: Callable[[pa
             for part in slices(batch, text_column):
                 columns = block(part)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, want)], schema=want)
+            # A worker lives on from stage to stage; what Arrow keeps in store would add up.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

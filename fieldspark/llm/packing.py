@@ -49,7 +49,7 @@ class WordEncoder:
     gathered from its words' ids at once.
     """
 
-    def __init__(self, path: str, bound: int = 80 << 20):
+    def __init__(self, path: str, bound: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
