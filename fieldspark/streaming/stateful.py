@@ -113,7 +113,8 @@ def falling(events: DataFrame, gravity: float = 9.81, lift: float = 0.05, most_d
         for row in _ordered(parts).itertuples():
             at = pd.Timestamp(row.ts).timestamp()
             dt = 0.0 if last != last else min(max(at - last, 0.0), most_dt)
-            speed += row.value * lift - gravity * dt
+            # Pushed first, then pulled: the order of the sums decides the last bits, which add up.
+            speed = speed + row.value * lift - gravity * dt
             height += speed * dt
             if height <= 0 and speed < 0:
                 height, speed, landings = 0.0, 0.0, landings + 1

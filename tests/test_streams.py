@@ -1,7 +1,10 @@
 """Streams against plain replays of the same rows, in one batch and in many."""
 
+import duckdb
+import numpy as np
 import pandas as pd
 
+from fieldspark.plans import registry
 from fieldspark.streaming import stateful
 from fieldspark.streaming.run import settled, source
 
@@ -34,3 +37,14 @@ def test_cached_in_one_batch(spark):
     table = pd.read_parquet("/root/testdata/sf0.001/events.parquet")
     found = settled(stateful.cached(source(spark, "/root/testdata/sf0.001", "events")), ["user_id"]).collect()
     assert {r.user_id: (r.frames, r.refreshes, r.held) for r in found} == replay(table)
+
+
+def test_falling_keeps_the_last_digits_over_many_rows(spark, tmp_path):
+    rng, n = np.random.default_rng(5), 60_000
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(rng.integers(1, 10**5, n)), unit="us")
+    table = pd.DataFrame({"event_id": np.arange(n), "ts": at.astype("datetime64[us]"), "user_id": np.arange(n) % 4, "event_type": "click", "value": rng.gamma(2.0, 25.0, n).round(2)})
+    table.to_parquet(tmp_path / "events.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(db.sql(registry.ORACLES["q_stream_falling"]).fetchall())
+    assert sorted(map(tuple, registry.QUERIES["q_stream_falling"](spark, str(tmp_path)).collect())) == want
