@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, map_blocks, written
+from .common import discard, lookup, map_blocks, slices, written
 from .graph import components, unite
 
 RADIUS = 3
@@ -239,7 +239,7 @@ def links(classes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataF
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SIGNS = 4
 SIMILAR = 0.8
-#: Bits of 256 by which the signatures of a candidate pair differ at most; at a similarity of 0.8 they differ in about 39.
+#: Bits of 256 by which the signatures of a pair that bands propose differ at most; others are left to the prefixes. At a similarity of 0.8 they differ in about 39.
 LOOSE = 60
 #: Share of a signature's bits that agree at that similarity, and the e-folds by which a pair's chance to share no band falls.
 AGREE, FOLDS = 0.848, 4.0
@@ -356,15 +356,39 @@ def proposals(classes: DataFrame, similar: float) -> DataFrame:
     return dealt(full).repartition(wanted, "key").mapInArrow(find, "node long, other long").distinct()
 
 
-def verified(sets: list[np.ndarray], signs: np.ndarray, parent: np.ndarray, first: np.ndarray, second: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+def most_apart(first, second, similar: float):
+    """In how many shingles two texts with so many may differ at the similarity."""
+    return (first + second) * (1 - similar) / (1 + similar) + 1e-6
+
+
+def parities(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Of each set a bit for each remainder of `bits` (a power of two): whether an odd number of its hashes has it.
+
+    A hash that only one of two sets has turns one bit, so they differ in as
+    many hashes as bits, at least.
+    """
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for k, x in enumerate(sets):
+        odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+    return out
+
+
+def parity_bits(size: int) -> int:
+    """Bits of parity that tell sets of this size apart."""
+    return 1 << max(8, min(16, int(size).bit_length()))
+
+
+def verified(sets: list[np.ndarray], parent: np.ndarray, first: np.ndarray, second: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
     """Roots after uniting the pairs of `first` and `second` whose Jaccard similarity is `similar` or more; united ones are not compared again."""
     size = np.array([len(x) for x in sets], np.int64)
+    odd = parities(sets, parity_bits(size.max(initial=0)))
     same, whole = np.array_equal(first, second), second
     for k, i in enumerate(first):
         second = whole[k + 1 :] if same else whole
-        near = np.bitwise_count(signs[second] ^ signs[i]).sum(1, dtype=np.int64) <= LOOSE
-        near &= np.minimum(size[second], size[i]) >= similar * np.maximum(size[second], size[i])
-        for j in second[near & (parent[second] != parent[i])]:
+        near = second[(np.minimum(size[second], size[i]) >= similar * np.maximum(size[second], size[i])) & (parent[second] != parent[i])]
+        near = near[np.bitwise_count(odd[near] ^ odd[i]).sum(1, dtype=np.int64) <= most_apart(size[near], size[i], similar)]
+        for j in near:
             if parent[i] != parent[j]:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if common >= similar * (size[i] + size[j] - common):
@@ -372,6 +396,158 @@ def verified(sets: list[np.ndarray], signs: np.ndarray, parent: np.ndarray, firs
     return parent
 
 
+#: A shingle in over so many prefixes goes behind all rarer ones; one in over so many is compared in blocks of about so many.
+COMMON, BLOCK = 200, 4_000
+#: Pairs that are looked at together.
+MET = 1 << 20
+
+
+class Order:
+    """One order of all shingles, those that were common last; any order finds the same texts, this one with fewer pairs.
+
+    Two sets whose similarity is `similar` share a shingle among the first
+    `n - ceil(similar * n) + 1` of each: without one of these either set
+    has too few left. So shared prefixes propose every such pair.
+    """
+
+    def __init__(self, common: np.ndarray, counts: np.ndarray, similar: float):
+        order = np.argsort(common)
+        self.common, self.counts, self.similar = common[order], counts[order], similar
+
+    def prefix(self, hashes: np.ndarray) -> np.ndarray:
+        """The first hashes of a set (sorted by value), in order."""
+        size = len(hashes) - int(np.ceil(self.similar * len(hashes) - 1e-9)) + 1
+        if not len(hashes) or not len(self.common):
+            return hashes[:size]
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        weight = np.where(self.common[at] == hashes, self.counts[at], 0)
+        return hashes[np.lexsort((hashes, weight))[:size]]
+
+
+def cross_pairs(key: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of equal key and different group (rows are sorted by both) whose sizes and places in the prefixes allow the similarity."""
+    rows = np.arange(len(key))
+    last = np.searchsorted(key, key, side="right")
+    new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]), True]
+    start = np.append(np.flatnonzero(new[:-1]), len(key))[np.cumsum(new[:-1])] if len(key) else rows
+    count = last - start
+    total = np.cumsum(count)
+    at = 0
+    while at < len(key):
+        # A row alone may have more partners than are looked at together; they are few enough for its block.
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MET, side="right")))
+        n = count[at:end]
+        a = np.repeat(rows[at:end], n)
+        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at:end], n)
+        keep = np.minimum(size[a], size[b]) >= similar * np.maximum(size[a], size[b])
+        # The first shared shingle leaves so many that may be shared.
+        keep &= np.minimum(size[a] - place[a], size[b] - place[b]) >= (size[a] + size[b]) * similar / (1 + similar) - 1e-6
+        if keep.any():
+            yield a[keep], b[keep]
+        at = end
+
+
+def missed(texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """(node, other): every pair of different `grp` that may have the similarity; texts has `node`, `text` and `grp`.
+
+    Nothing here goes by chance: prefixes in one order of all shingles meet,
+    and pairs whose parities differ in too many bits go.
+    """
+    spark = texts.sparkSession
+
+    def prefixes(order: Order, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+        """Rows of all prefixes; without `hot`, which has the keys to be parted and their pieces, the hashes alone."""
+        shared = spark.sparkContext.broadcast((order, hot))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, parted = shared.value
+            for batch in batches:
+                for part in slices(batch, 1):
+                    sets = [np.unique(shingle_hashes(t or b"", width)) for t in part.column(1).to_pylist()]
+                    first = [own.prefix(x) for x in sets]
+                    many = np.array([len(x) for x in first], np.int64)
+                    key = np.concatenate([np.zeros(0, np.uint64), *first])
+                    if parted is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+                        continue
+                    row = np.repeat(np.arange(len(many)), many)
+                    place = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
+                    node, grp = (part.column(c).to_numpy() for c in (0, 2))
+                    if len(parted[0]) and len(key):
+                        # A key over a block meets itself block by block.
+                        at = np.minimum(np.searchsorted(parted[0], key), len(parted[0]) - 1)
+                        pieces = np.where(parted[0][at] == key, parted[1][at], 1)
+                        piece = (node[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % pieces.astype(np.uint64)
+                        again = np.repeat(np.arange(len(key)), pieces)
+                        other = np.arange(len(again)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                        low, high = np.minimum(piece[again], other.astype(np.uint64)), np.maximum(piece[again], other.astype(np.uint64))
+                        key = key[again] + (low * np.uint64(1 << 20) + high) * np.uint64(0xC2B2AE3D27D4EB4F)
+                        row, place = row[again], place[again]
+                    size = np.array([len(x) for x in sets], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(grp[row]), pa.array(size[row]), pa.array(place.astype(np.int32))], names=["key", "node", "grp", "size", "place"])
+                pa.default_memory_pool().release_unused()
+
+        return texts.select("node", "text", "grp").mapInArrow(run, "key long" if hot is None else "key long, node long, grp long, size int, place int")
+
+    def counted(order: Order, least: int) -> tuple[np.ndarray, np.ndarray]:
+        found = prefixes(order).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).toArrow()
+        return found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+
+    order = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64), similar)
+    order = Order(*counted(order, COMMON), similar)
+    key, n = counted(order, BLOCK)
+    by_key = np.argsort(key)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        key, node, grp, size, place = (table.column(c).to_numpy() for c in ("key", "node", "grp", "size", "place"))
+        # Keys of one text alone have no pair.
+        order = np.lexsort((grp, key))
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) > 1 else order[:0]
+        node = node[order]
+        for a, b in cross_pairs(key[order], grp[order], size[order], place[order], similar):
+            met = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(met[:, 0].copy()), pa.array(met[:, 1].copy())], names=["node", "other"])
+
+    dealt = prefixes(order, (key[by_key], -(-n[by_key] // BLOCK)))
+    signed = written(dealt, "prefixes")
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() // PARTITION_ROWS))
+    pairs = written(signed.repartition(wanted, "key").mapInArrow(find, "node long, other long").distinct(), "met")
+    discard(signed)
+
+    def marked(batch: pa.RecordBatch) -> list:
+        sets = [np.unique(shingle_hashes(t or b"", width)) for t in batch.column(1).to_pylist()]
+        size = [len(x) for x in sets]
+        return [batch.column(0), np.array(size, np.int64), [parities([x], parity_bits(n))[0].tobytes() for x, n in zip(sets, size)]]
+
+    asked = texts.join(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "node", "left_semi")
+    odd = written(map_blocks(asked.select("node", "text"), 1, "node long, size long, odd binary", marked), "parities")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes, others = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            limit = most_apart(sizes, others, similar)
+            for k, (a, b) in enumerate(zip(batch.column(3), batch.column(5))):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                # The wider one is folded: its halves' parities add up to those of half as many bits.
+                while len(a) != len(b):
+                    if len(a) > len(b):
+                        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+                    else:
+                        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                keep[k] = np.bitwise_count(a ^ b).sum() <= limit[k]
+            yield batch.select(["node", "other"]).filter(pa.array(keep))
+
+    both = pairs.join(odd, "node").join(odd.select(F.col("node").alias("other"), F.col("size").alias("size2"), F.col("odd").alias("odd2")), "other")
+    return written(both.select("node", "other", "size", "odd", "size2", "odd2").mapInArrow(near, "node long, other long"), "missed")
+
+
 def _grouped(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root): every node with the name of its component."""
     return nodes.join(components(edges).select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -385,26 +561,24 @@ def _checked(members: DataFrame, texts: DataFrame, width: int, similar: float) -
     """
 
     def shingled(batch: pa.RecordBatch) -> list:
-        found = [signature(t or b"", width) for t in batch.column(1).to_pylist()]
-        return [batch.column(0), [np.array(f[0], np.uint64).view(np.int64) for f in found], [f[1].view(np.int64) for f in found]]
+        return [batch.column(0), [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in batch.column(1).to_pylist()]]
 
     # A text's shingles are made once, however many blocks it is in.
     asked = texts.join(members.select("node").distinct(), "node")
-    sets = map_blocks(asked.select("node", "text"), 1, "node long, signs array<long>, hashes array<long>", shingled)
+    sets = map_blocks(asked.select("node", "text"), 1, "node long, hashes array<long>", shingled)
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
         hashes = [x.values.to_numpy().view(np.uint64) for x in table.column("hashes")]
-        signs = np.array(table.column("signs").to_pylist(), np.int64).view(np.uint64)
         _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
         first = np.full(len(nodes), len(nodes))
         np.minimum.at(first, root, np.arange(len(nodes)))
-        parent = verified(hashes, signs, first[root], *(np.flatnonzero(side == x) for x in (side.min(), side.max())), similar)
+        parent = verified(hashes, first[root], *(np.flatnonzero(side == x) for x in (side.min(), side.max())), similar)
         tied = np.flatnonzero(parent != np.arange(len(nodes)))
         return pa.table([pa.array(nodes[tied]), pa.array(nodes[parent[tied]])], names=["node", "other"])
 
-    met = members.join(sets, "node").select("node", "signs", "hashes", "loose", "a", "b", "side", "root")
+    met = members.join(sets, "node").select("node", "hashes", "loose", "a", "b", "side", "root")
     return written(met.groupBy("loose", "a", "b").applyInArrow(verify, "node long, other long"), "verified")
 
 
@@ -415,7 +589,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id
     bits. At the similarity no segment of 64 bits need agree, so signatures four
     times as long are indexed, too: each of many bands reads some of the 256
     bits, and texts that agree on a band's bits are proposed if LOOSE bits differ
-    at most. Proposals make candidate groups; in these the shingles themselves
+    at most. Both go by chance, so all prefixes of the shingles (see Order)
+    propose what they have missed: every pair with the similarity, by
+    necessity. Proposals make candidate groups; in these the shingles themselves
     are compared, and only texts with the similarity are linked. Groups larger
     than a block are cut: the blocks are compared within, then a text of each
     united part with those of the others, and only what then is still apart is
@@ -440,12 +616,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id
     equal = lookup(classes.select("node", "s0"), first, "s0", "n").where("node != other").select("node", "other")
     tied = links(first.select(F.col("s0").alias("fp"))).select(F.col("fp").alias("s0"), F.col("other").alias("s1"))
     ends = tied.join(first.select("s0", F.col("other").alias("a")), "s0").join(first.select(F.col("s0").alias("s1"), F.col("other").alias("b")), "s1")
-    loose = components(edges.unionByName(equal).unionByName(ends.select(F.col("a").alias("node"), F.col("b").alias("other"))))
+    proposed = components(edges.unionByName(equal).unionByName(ends.select(F.col("a").alias("node"), F.col("b").alias("other"))))
+    proposed = written(proposed, "proposed")
+    # What the signatures have missed.
+    texts = docs.select(F.col(row_column).alias("node"), F.col(text_column).cast("binary").alias("text"))
+    whole = classes.select("node").join(proposed, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+    held = written(texts.join(whole, "node"), "texts")
+    more = missed(held, width, similar)
+    discard(held)
+    loose = components(proposed.select("node", F.col("component").alias("other")).where("node != other").unionByName(more))
     loose = written(loose.withColumnRenamed("component", "loose").join(classes.select("node", "shingles"), "node"), "candidates")
     wide = loose.groupBy("loose").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / SETS, F.sum("shingles") / SHINGLES)).cast("int").alias("pieces"))
     wide = written(wide, "candidate-groups")
     members = written(lookup(loose.select("node", "loose"), wide, "loose", "members").withColumn("piece", F.pmod(F.xxhash64("node"), F.greatest("pieces", F.lit(1))).cast("int")), "members")
-    texts = docs.select(F.col(row_column).alias("node"), F.col(text_column).cast("binary").alias("text"))
     once = members.select("node", "loose", F.col("piece").alias("a"), F.col("piece").alias("b"), F.col("piece").alias("side"), F.col("node").alias("root"))
     joined = _checked(once, texts, width, similar)
     named = members.select("node", "loose", "piece", "pieces")
