@@ -11,7 +11,8 @@ under a causal mask.
 
 Word counts over all training documents are gathered in Spark. The most frequent
 words, HEAVY at most, and pairs of ids, PAIRS at most, are broadcast. Words are
-also a second expert: a word's probability is a mixture, fitted by EM, of what
+also a second expert: a word's probability is a mixture, fitted by EM on all
+training words, of what
 the ids give and of its smoothed share of the corpus. The exact counts of the
 other words, and of the pairs of ids that are not broadcast, come by joins on
 the word and on the pair, which none can skew; both scores have the counts of all.
@@ -19,10 +20,10 @@ the word and on the pair, which none can skew; both scores have the counts of al
 Every id has a vector of its own. Classes and first vectors follow from the
 counts of all training documents: which ids stand before and after an id in its
 words. First weights are fitted on SAMPLE documents (those with the smallest
-hashes, of up to SAMPLE_BYTES bytes). Then groups of about GROUP documents, dealt
-by a hash from one of SHARE of the training documents, train the weights further
-apart from each other, and their weights are averaged, so what the model has seen
-grows with the corpus and doesn't depend on how the rows are partitioned.
+hashes, of up to SAMPLE_BYTES bytes). Then all training documents, dealt by a hash
+into groups of about GROUP, train the weights further apart from each other, and
+their weights are averaged, so the model has seen the whole corpus and doesn't
+depend on how the rows are partitioned.
 
 A null text is an empty one: only its end. With no training documents all
 counts are zero. Repeated rows are scored each; extra columns are ignored. A
@@ -55,8 +56,8 @@ WINDOW = 32
 STRIDE = 26
 STEPS = 500
 BATCH = 64
-#: Weights are trained further on one of so many training documents, in groups of so many, at this rate, and so many weights are averaged at once.
-SHARE, GROUP, RATE, FAN_IN = 64, 200, 0.002, 16
+#: Weights are trained further on one of so many training documents (1: all), in groups of so many, at this rate, and so many weights are averaged at once.
+SHARE, GROUP, RATE, FAN_IN = 1, 200, 0.002, 16
 #: Neighbours by which ids are told apart, on either side.
 CONTEXTS = 128
 #: Weight of the class's own distribution beside the counts after an id.
@@ -192,30 +193,13 @@ class Attention:
         self.place = (0.05 * rng.standard_normal((window, d))).astype(np.float32)
         self.query, self.key, self.value, self.out = draw(d, d), draw(d, d), draw(d, d), draw(d, d)
         self.score, self.bias = draw(d, classes), np.zeros(classes, np.float32)
-        self.mask = np.where(np.tril(np.ones((window, window), bool)), 0, -1e9).astype(np.float32)
+        self.seen = np.tril(np.ones((window, window), np.float32))
         self.settle()
 
-    def forward(self, x: np.ndarray) -> tuple:
-        """Class scores of (batch, window) symbols, with what the backward pass needs."""
-        h = self.embed[x] + self.place
-        flat = h.reshape(-1, h.shape[2])
-        shape = h.shape
-        q, k, v = ((flat @ w).reshape(shape) for w in (self.query, self.key, self.value))
-        a = q @ k.transpose(0, 2, 1)
-        a *= 1 / math.sqrt(shape[2])
-        a += self.mask
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        mixed = a @ v
-        top = flat + mixed.reshape(flat.shape) @ self.out
-        return top @ self.score + self.bias, (x, flat, q, k, v, a, mixed, top)
-
     def settle(self) -> None:
-        """Prepares what scoring uses: one product for queries, keys, values, and the sums of weights with them."""
+        """Prepares what scoring uses: one product for queries, keys and values."""
         d = self.query.shape[0]
         self.joint = np.concatenate([self.query / math.sqrt(d), self.key, self.value], 1)
-        self.seen = np.tril(np.ones(self.mask.shape, np.float32))
 
     def log_probs(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each position's target class."""
@@ -238,42 +222,64 @@ class Attention:
         return (own - np.log(scores @ np.ones(scores.shape[1], np.float32))).reshape(x.shape)
 
     def gradients(self, x: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the real positions and its gradients; those of the vectors come as (rows, values)."""
-        scores, (x, flat, q, k, v, a, mixed, top) = self.forward(x)
-        scores -= scores.max(1, keepdims=True)
-        p = np.exp(scores)
-        p /= p.sum(1, keepdims=True)
-        rows, weight = np.arange(len(p)), real.ravel().astype(np.float32) / max(1, real.sum())
-        loss = float(-(np.log(p[rows, target.ravel()] + 1e-12) * weight).sum())
-        p[rows, target.ravel()] -= 1
-        p *= weight[:, None]
-        shape, scale = q.shape, 1 / math.sqrt(q.shape[2])
+        """Mean loss over the real positions and its gradients."""
+        logs, g = self.passes(x, target, real)
+        return float(-logs[real].mean()), g
+
+    def passes(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, vectors: bool = True) -> tuple[np.ndarray, dict]:
+        """Natural log probability of each position's class, and the gradients of the mean loss over the real ones.
+
+        Those of the vectors, if wanted, come as (rows, values).
+        """
+        d, scale = self.query.shape[0], np.float32(1 / math.sqrt(self.query.shape[0]))
+        joint = np.concatenate([self.query * scale, self.key, self.value], 1)
+        shape = (*x.shape, d)
+        flat = (self.embed[x] + self.place).reshape(-1, d)
+        both = (flat @ joint).reshape(*x.shape, 3 * d)
+        q, k, v = (np.ascontiguousarray(both[:, :, n * d : (n + 1) * d]) for n in range(3))
+        a = q @ k.transpose(0, 2, 1)
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a *= self.seen
+        a /= a.sum(2, keepdims=True)
+        mixed = (a @ v).reshape(-1, d)
+        top = flat + mixed @ self.out
+        p = top @ self.score
+        p += self.bias
+        np.minimum(p, 60, out=p)
+        rows, wanted, weight = np.arange(len(p)), target.ravel(), real.ravel().astype(np.float32) / np.float32(max(1, real.sum()))
+        own = p[rows, wanted]
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], np.float32)
+        p *= (weight / total)[:, None]
+        p[rows, wanted] -= weight
         g = {"score": top.T @ p, "bias": p.sum(0)}
         d_top = p @ self.score.T
-        g["out"] = mixed.reshape(flat.shape).T @ d_top
+        g["out"] = mixed.T @ d_top
         d_mixed = (d_top @ self.out.T).reshape(shape)
-        d_a = d_mixed @ v.transpose(0, 2, 1)
-        d_v = a.transpose(0, 2, 1) @ d_mixed
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True)) * scale
-        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        d_flat = d_top.copy()
-        for name, d in (("query", d_q), ("key", d_k), ("value", d_v)):
-            d = d.reshape(flat.shape)
-            g[name] = flat.T @ d
-            d_flat += d @ getattr(self, name).T
-        g["place"] = d_flat.reshape(shape).sum(0)
-        rows, at = np.unique(x.ravel(), return_inverse=True)
-        sums = np.zeros((len(rows), flat.shape[1]), np.float32)
-        np.add.at(sums, at, d_flat)
-        g["embed"] = rows, sums
-        return loss, g
+        d_s = d_mixed @ v.transpose(0, 2, 1)
+        # A row of weights times its gradients sums up to what it mixes times the gradients of that.
+        d_s -= (d_mixed.reshape(-1, d) * mixed).sum(1).reshape(*x.shape, 1)
+        d_s *= a
+        d_both = np.concatenate([d_s @ k, d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_mixed], 2).reshape(-1, 3 * d)
+        g_joint = flat.T @ d_both
+        g["query"], g["key"], g["value"] = g_joint[:, :d] * scale, g_joint[:, d : 2 * d], g_joint[:, 2 * d :]
+        d_top += d_both @ joint.T
+        g["place"] = d_top.reshape(shape).sum(0)
+        if vectors:
+            rows, at = np.unique(x.ravel(), return_inverse=True)
+            sums = np.zeros((len(rows), d), np.float32)
+            np.add.at(sums, at, d_top)
+            g["embed"] = rows, sums
+        return (own - np.log(total)).reshape(x.shape), g
 
     def train(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, rng: np.random.Generator, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01) -> list[float]:
         """Adam with a falling rate; returns the losses."""
         adam, losses = Adam(self), []
         for step in range(steps):
             some = rng.integers(0, len(x), batch)
-            losses.append(adam.step(x[some], target[some], real[some], rate * (1 - step / steps)))
+            logs = adam.step(x[some], target[some], real[some], rate * (1 - step / steps))
+            losses.append(float(-logs[real[some]].mean()))
         self.settle()
         return losses
 
@@ -298,32 +304,45 @@ class Adam:
         self.first = {n: np.zeros_like(getattr(net, n)) for n in names}
         self.second = {n: np.zeros_like(getattr(net, n)) for n in names}
 
-    def step(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, rate: float) -> float:
-        loss, g = self.net.gradients(x, target, real)
+    def step(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, rate: float) -> np.ndarray:
+        """Log probabilities of the classes before the step."""
+        logs, g = self.net.passes(x, target, real, "embed" in self.names)
         self.steps += 1
         for n in self.names:
             at, own = g[n] if n == "embed" else (slice(None), g[n])
             first, second = 0.9 * self.first[n][at] + 0.1 * own, 0.99 * self.second[n][at] + 0.01 * own**2
             self.first[n][at], self.second[n][at] = first, second
             getattr(self.net, n)[at] -= rate * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-8)
-        return loss
+        return logs
+
 
+def trained_further(table: WordTable, parts, rate: float) -> tuple | None:
+    """Windows seen, the weights after one pass over some texts, and what the mixture's weight needs of them.
 
-def trained_further(model: Model, parts, rate: float) -> tuple[int, bytes] | None:
-    """Windows seen, and the weights after one pass over some texts."""
-    own, net = subwords(model.rank_path, model.pattern), copy.copy(model.net)
+    That is a histogram of the heavy words' odds (see `odds_place`), and the
+    other words with what their ids give. Each word's share of it was predicted
+    before the weights met the word.
+    """
+    model, net = table.model, copy.copy(table.model.net)
     for n in net.NAMES[1:]:
         setattr(net, n, getattr(net, n).copy())
-    adam, seen = Adam(net, net.NAMES[1:]), 0
+    adam, seen, odds, rare = Adam(net, net.NAMES[1:]), 0, np.zeros(ODDS_BINS, np.int64), []
     for texts in parts:
-        ids = [own.many(words_of(t))[0].astype(np.int64) for t in texts]
-        if not ids:
-            continue
-        x, target, real, _ = model._batched([np.r_[own.end, t[:-1]] for t in ids], ids)
-        for at in range(0, len(x), BATCH):
-            adam.step(x[at : at + BATCH], target[at : at + BATCH], real[at : at + BATCH], rate)
-        seen += len(x)
-    return (seen, net.pack()) if seen else None
+        rows, sizes = table.rows(texts)
+        ids, starts, lengths = table.ids_of(rows, sizes)
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[np.cumsum(lengths) - lengths] = model.end
+        logs = np.zeros(len(ids), np.float32)
+        for x, target, real, place in model.window_parts(before, ids, lengths):
+            got = adam.step(x, target, real, rate)
+            logs[place[real]] = got[real]
+            seen += len(x)
+        by_ids = np.add.reduceat(logs, starts, dtype=np.float64) + table.static[rows]
+        heavy = ~np.isnan(table.base[rows])
+        odds += np.bincount(odds_place(by_ids[heavy] - table.share[rows[heavy]]), minlength=ODDS_BINS)
+        rare.append(table.rare(rows, by_ids, ~heavy))
+    return (seen, net.pack(), odds, rare) if seen else None
 
 
 def averaged(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
@@ -333,18 +352,26 @@ def averaged(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
     return total, mean.astype(np.float32).tobytes()
 
 
-def refine(model: Model, train: DataFrame, rows: int, id_column: str, text_column: str) -> None:
-    """Trains the weights on in groups of one of SHARE training documents, and averages them in rounds of FAN_IN."""
+def refine(model: Model, train: DataFrame, counts: DataFrame, rows: int, id_column: str, text_column: str) -> None:
+    """Trains the weights on in groups of all training documents, averages them in rounds of FAN_IN, and fits the mixture's weight on all words.
+
+    Rows are dealt into groups by their hashes; SHARE of 1 leaves none out.
+    """
     text = F.col(text_column)
     hashed = train.where(F.octet_length(text) > 0).select(text.cast("binary").alias("t"), F.xxhash64(F.col(id_column), text).alias("o"))
     some = hashed.where(F.pmod("o", F.lit(SHARE)) == 0).withColumn("g", F.pmod(F.xxhash64("o"), F.lit(-(-rows // (SHARE * GROUP)) or 1)))
     shared = train.sparkSession.sparkContext.broadcast(model)
+    words = pa.list_(pa.struct([("word", pa.binary()), ("b", pa.float32()), ("open", pa.bool_())]))
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("g")[0].as_py()
+        if _tables.get("trained") is not shared.value:
+            _tables.update(trained=shared.value, learned=WordTable(shared.value))
         texts = table.sort_by([("o", "ascending"), ("t", "ascending")]).select(["t"]).combine_chunks().to_batches()
-        n, weights = trained_further(shared.value, (part.column(0).to_pylist() for batch in texts for part in slices(batch, 0)), RATE)
-        return pa.table([pa.array([group], pa.int64()), pa.array([n], pa.int64()), pa.array([weights], pa.binary())], names=["g", "n", "weights"])
+        n, weights, odds, rare = trained_further(_tables["learned"], (part.column(0) for batch in texts for part in slices(batch, 0)), RATE)
+        rare = pa.ListArray.from_arrays(pa.array([0, sum(map(len, rare))], pa.int32()), pa.concat_arrays(rare)).cast(words)
+        pa.default_memory_pool().release_unused()
+        return pa.table([pa.array([group], pa.int64()), pa.array([n], pa.int64()), pa.array([weights], pa.binary()), pa.array([odds.tolist()], pa.list_(pa.int64())), rare], names=["g", "n", "weights", "odds", "rare"])
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.sort_by("g")
@@ -352,12 +379,41 @@ def refine(model: Model, train: DataFrame, rows: int, id_column: str, text_colum
         return pa.table([pa.array([table.column("g")[0].as_py() // FAN_IN], pa.int64()), pa.array([n], pa.int64()), pa.array([weights], pa.binary())], names=["g", "n", "weights"])
 
     schema = "g long, n long, weights binary"
-    found = written(some.groupBy("g").applyInArrow(run, schema), "weights")
+    first = written(some.groupBy("g").applyInArrow(run, schema + ", odds array<long>, rare array<struct<word:binary,b:float,open:boolean>>"), "weights")
+    found = first.select("g", "n", "weights")
     while found.count() > FAN_IN:
         found = written(found.groupBy(F.floor(F.col("g") / FAN_IN).alias("up")).applyInArrow(merge, schema), "weights")
     rows = [(r.n, bytes(r.weights)) for r in found.orderBy("g").collect()]
     if rows:
         model.net.unpack(np.frombuffer(averaged(rows)[1], np.float32))
+        heavy = first.select(F.posexplode("odds").alias("place", "n")).groupBy("place").agg(F.sum("n").alias("n"))
+        rare = first.select(F.explode("rare").alias("r")).select("r.word", "r.b", "r.open")
+        met = with_counts(rare, counts, model)
+        by_ids, n = F.col("b") + F.coalesce("more", F.lit(0.0)), F.coalesce("n", F.lit(0)) + 0.5
+        odds = by_ids - F.log(n) + math.log(model.total + 0.5 * (model.distinct + 1))
+        place = F.least(F.greatest(F.floor((odds + ODDS_MOST) * (ODDS_BINS / (2 * ODDS_MOST))), F.lit(0)), F.lit(ODDS_BINS - 1)).cast("int")
+        light = met.groupBy(place.alias("place")).agg(F.count("*").alias("n"))
+        histogram = np.zeros(ODDS_BINS)
+        for r in heavy.unionByName(light).collect():
+            histogram[r.place] += r.n
+        model.mix = mixture(histogram)
+
+
+#: Log odds of the two experts are counted in so many bins between these bounds.
+ODDS_BINS, ODDS_MOST = 4096, 64
+
+
+def odds_place(odds: np.ndarray) -> np.ndarray:
+    """The bin of each log odds."""
+    return np.clip(np.floor((odds + ODDS_MOST) * (ODDS_BINS / (2 * ODDS_MOST))), 0, ODDS_BINS - 1).astype(np.int64)
+
+
+def mixture(histogram: np.ndarray, rounds: int = 20) -> float:
+    """EM for the weight of the first of two experts, by the histogram of their log odds."""
+    odds, mix = (np.arange(ODDS_BINS) + 0.5) * (2 * ODDS_MOST / ODDS_BINS) - ODDS_MOST, 0.5
+    for _ in range(rounds if histogram.sum() else 0):
+        mix = float(np.clip((histogram / (1 + np.exp(-odds - math.log(mix / (1 - mix))))).sum() / histogram.sum(), 0.02, 0.98))
+    return mix
 
 
 def windows(lengths: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -467,6 +523,16 @@ class Model:
         place = starts[text][:, None] + np.minimum(within, lengths[text][:, None] - 1)
         return inputs[place], self.classes[targets][place], real, place
 
+    def window_parts(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, rows: int = BATCH):
+        """`window_rows` of so many windows at a time."""
+        text, first, scored = windows(lengths)
+        starts, classes = np.cumsum(lengths) - lengths, self.classes[targets]
+        for at in range(0, len(text), rows):
+            t, f = text[at : at + rows], first[at : at + rows]
+            within, size = f[:, None] + np.arange(WINDOW), lengths[t][:, None]
+            place = starts[t][:, None] + np.minimum(within, size - 1)
+            yield inputs[place], classes[place], (within < size) & (within >= scored[at : at + rows][:, None]), place
+
     def class_log_probs(self, ids: np.ndarray, lengths: np.ndarray, rows: int = 64) -> np.ndarray:
         """Log probability of every id's class, by the ids before it in its text.
 
@@ -490,21 +556,6 @@ class Model:
             out[place[real]] = got[real]
         return out
 
-    def fit_mix(self, sample: list[bytes], known: Callable[[list[bytes]], dict[bytes, tuple[int, float]]]) -> None:
-        """EM for the weight; `known` gives the count, and what light pairs add, of words that aren't broadcast."""
-        table = WordTable(self, 1 << 62)
-        rows, sizes = table.rows(pa.array(sample, pa.binary()))
-        more = known([w for w in table.words if w not in self.heavy])
-        found = [more.get(w, (0, 0.0)) for w in table.words]
-        count = np.array([self.heavy.get(w, f[0]) for w, f in zip(table.words, found)], np.float64)
-        share = np.log((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-        by_ids, alone = table.by_ids(rows, sizes) + np.array([f[1] for f in found])[rows], share[rows]
-        mix = 0.5
-        for _ in range(20):
-            a, b = by_ids + math.log(mix), alone + math.log(1 - mix)
-            mix = float(np.clip(np.exp(a - np.logaddexp(a, b)).mean(), 0.02, 0.98))
-        self.mix = mix
-
 
 class WordTable:
     """What is known of each word that a worker has met, row by row, in bounded space."""
@@ -562,14 +613,22 @@ class WordTable:
             self.learn(new)
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words)).take(place), sizes
 
-    def by_ids(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log probability of every word by its ids."""
+    def ids_of(self, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, where each word's begin, and how many each text has."""
         count = self.size[rows]
         starts = np.cumsum(count) - count
         place = np.arange(count.sum()) + np.repeat(self.start[rows] - starts, count)
-        lengths = np.add.reduceat(count, np.cumsum(sizes) - sizes)
-        classes = self.model.class_log_probs(self.ids[place], lengths)
-        return np.add.reduceat(classes, starts, dtype=np.float64) + self.static[rows]
+        return self.ids[place], starts, np.add.reduceat(count, np.cumsum(sizes) - sizes)
+
+    def by_ids(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log probability of every word by its ids."""
+        ids, starts, lengths = self.ids_of(rows, sizes)
+        return np.add.reduceat(self.model.class_log_probs(ids, lengths), starts, dtype=np.float64) + self.static[rows]
+
+    def rare(self, rows: np.ndarray, by_ids: np.ndarray, some: np.ndarray) -> pa.StructArray:
+        """Some words, with what their ids give."""
+        words = [self.words[k] for k in rows[some].tolist()]
+        return pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(by_ids[some].astype(np.float32)), pa.array(self.open[rows[some]])], names=["word", "b", "open"])
 
     def scores(self, texts: pa.Array) -> tuple:
         """Of each text: words, heavy words, log10 sums of base and model over these, and its other words with what their ids give."""
@@ -582,9 +641,7 @@ class WordTable:
         heavy = ~np.isnan(base)
         rare = np.flatnonzero(~heavy)
         cuts = np.searchsorted(rare, np.r_[starts, len(rows)])
-        words = [self.words[k] for k in rows[rare].tolist()]
-        parts = [pa.array(words, pa.binary()), pa.array(by_ids[rare].astype(np.float32)), pa.array(self.open[rows[rare]])]
-        other = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(parts, names=["word", "b", "open"]))
+        other = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), self.rare(rows, by_ids, rare))
         return sizes, np.add.reduceat(heavy.astype(np.int64), starts), np.add.reduceat(np.where(heavy, base, 0.0), starts), np.add.reduceat(np.where(heavy, each, 0.0), starts), other
 
 
@@ -611,6 +668,14 @@ def light_shares(words: DataFrame, model: Model) -> DataFrame:
     return pairs.join(model.light, ["before", "id"]).groupBy("word").agg(F.sum(F.log1p(F.col("n") / (BACKOFF * F.col("alone")))).alias("more"))
 
 
+def with_counts(rare: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """Adds to words that aren't broadcast their counts, `n`, and what light pairs add, `more`."""
+    # There are many words as frequent as any on either side, so that the join is even.
+    few = counts.where(frequency_level() < model.level)
+    more = light_shares(rare.where("open").select("word").distinct(), model)
+    return rare.drop("open").join(few.join(more, "word", "full"), "word", "left")
+
+
 def frequency_level() -> Column:
     """Eighths of doublings of a count."""
     return F.floor(F.log2(F.col("n").cast("double")) * 8)
@@ -669,17 +734,7 @@ def fit(docs: DataFrame, training: Column, rank_path: str, pattern: str, id_colu
     known = dict(zip(heavy.column("word").to_pylist(), heavy.column("n").to_pylist()))
     model = Model(rank_path, pattern, known, total, distinct, unigrams, neighbours(after, unigrams), tuple(pairs.column(c).to_numpy() for c in ("before", "id", "n")), sums_of, held)
     model.light, model.level = after.where(frequency_level() < pair_level), level
-    refine(model, train, rows, id_column, text_column)
-
-    def known_words(words: list[bytes]) -> dict[bytes, tuple[int, float]]:
-        if not words:
-            return {}
-        asked = written(train.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.binary())})), "asked")
-        found = asked.join(counts, "word", "left").join(light_shares(asked, model), "word", "left").toArrow()
-        return {w: (n or 0, more or 0.0) for w, n, more in zip(*(found.column(c).to_pylist() for c in ("word", "n", "more")))}
-
-    if held:
-        model.fit_mix(held[-len(held) // 4 :], known_words)
+    refine(model, train, counts, rows, id_column, text_column)
     return model, counts
 
 
@@ -698,10 +753,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "do
     scored = map_blocks(docs.select(id_column, text_column), 1, schema, block).withColumn("row", F.monotonically_increasing_id())
     stored = written(scored, "scored")
     rare = stored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.b", "r.open")
-    # There are many words as frequent as any on either side, so that the join is even.
-    few = counts.where(frequency_level() < model.level)
-    more = light_shares(rare.where("open").select("word").distinct(), model)
-    found = rare.drop("open").join(few.join(more, "word", "full"), "word", "left")
+    found = with_counts(rare, counts, model)
     n = F.coalesce("n", F.lit(0)) + 0.5
     mixed = model.mix * F.exp(F.col("b") + F.coalesce("more", F.lit(0.0))) + (1 - model.mix) / (model.total + 0.5 * (model.distinct + 1)) * n
     sums = found.groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(n)).alias("more"), F.sum(F.log10(mixed)).alias("mixed"))

@@ -523,3 +523,24 @@ def test_secrets_of_very_long_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r.doc_id: (r.b, r.s) for r in secrets.scan(docs, weights).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s")).collect()}
     assert rows[0] == (0, 1) and rows[1][0] == 0 and rows[1][1] > 80_000 and rows[2] == (100_000, 100_000)
+
+
+def test_attention_learns_from_all_training_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").select("doc_id", "text").localCheckpoint()
+    averaged, mixture, windows, words = attention.averaged, attention.mixture, [], []
+    monkeypatch.setattr(attention, "averaged", lambda rows: (windows.append(sum(n for n, _ in rows)), averaged(rows))[1])
+    monkeypatch.setattr(attention, "mixture", lambda histogram: (words.append(int(histogram.sum())), mixture(histogram))[1])
+    monkeypatch.setattr(attention, "HEAVY", 500)
+    attention.fit(docs, F.col("doc_id") % 3 > 0, MULTI, public_tokenizers.PATTERN)
+    own = attention.subwords(MULTI, public_tokenizers.PATTERN)
+    texts = [attention.words_of(r.text.encode()) for r in docs.where("doc_id % 3 > 0 AND text > ''").collect()]
+    assert windows == [len(attention.windows(np.array([len(own.many(t)[0]) for t in texts]))[0])]
+    assert words == [sum(map(len, texts))]
+
+
+def test_mixture_of_a_histogram():
+    rng = np.random.default_rng(8)
+    odds, mix = rng.normal(0.3, 2.0, 50_000), 0.5
+    for _ in range(20):
+        mix = float(np.mean(1 / (1 + np.exp(-odds) * (1 - mix) / mix)))
+    assert attention.mixture(np.bincount(attention.odds_place(odds), minlength=attention.ODDS_BINS)) == pytest.approx(mix, abs=1e-3)
