@@ -7,7 +7,8 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +32,39 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8, width * height * channels, at).reshape(height, width, channels)
 
 
+#: Pixels that one batch of rows holds, about; a larger image is a batch of its own.
+BATCH_PIXELS = 1 << 19
+
+
 def decoded(images: DataFrame) -> DataFrame:
     """(img, x, y, c, v) of images (path, content); an image is one task's row, never the driver's."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(names: list[str], found: list[np.ndarray], places: dict) -> pa.RecordBatch:
+        for image in found:
+            if image.shape not in places:
+                y, x, c = np.indices(image.shape, np.int32)
+                places[image.shape] = x.ravel(), y.ravel(), c.ravel()
+        x, y, c = (np.concatenate([places[image.shape][k] for image in found]) for k in range(3))
+        img = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(found)), [image.size for image in found])))
+        v = np.concatenate([image.ravel() for image in found]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([img, *map(pa.array, (x, y, c, v))], names=["img", "x", "y", "c", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.path, batch.content):
+            names, found, held, places = [], [], 0, {}
+            for name, data in zip(batch.column(0), batch.column(1)):
+                data = data.as_py()
                 image = decode_png(data) if data[:4] == b"\x89PNG" else decode_netpbm(data)
-                y, x, c = np.indices(image.shape)
-                yield pd.DataFrame({"img": name.rsplit("/", 1)[-1], "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), "c": c.ravel().astype("int32"), "v": image.ravel().astype("int32")})
+                if held and held + image.size > BATCH_PIXELS:
+                    yield rows(names, found, places)
+                    names, found, held, places = [], [], 0, {}
+                names.append(name.as_py().rsplit("/", 1)[-1])
+                found.append(image)
+                held += image.size
+            if found:
+                yield rows(names, found, places)
 
-    return images.select("path", "content").mapInPandas(run, "img string, x int, y int, c int, v int")
+    return images.select("path", "content").mapInArrow(run, "img string, x int, y int, c int, v int")
 
 
 def pixels(spark: SparkSession, path: str) -> DataFrame:
@@ -84,14 +107,43 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def png_files(pixels_: DataFrame) -> DataFrame:
-    """(path, content) of images given by their pixels (img, x, y, c, v); an image is one task's group."""
-
-    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((table.y.max() + 1, table.x.max() + 1, table.c.max() + 1), np.uint8)
-        image[table.y, table.x, table.c] = table.v
-        return pd.DataFrame({"path": [key[0]], "content": [encode_png(image)]})
-
-    return pixels_.groupBy("img").applyInPandas(run, "path string, content binary")
+    """(path, content) of images given by their pixels (img, x, y, c, v); an image is one task's, and its rows stand together."""
+
+    def images(table: pa.Table) -> pa.RecordBatch:
+        x, y, c, v = (table.column(k).to_numpy() for k in ("x", "y", "c", "v"))
+        name = table.column("img").combine_chunks()
+        cuts = np.r_[np.flatnonzero(np.r_[True, changes(name)]), len(name)]
+        files_ = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            image = np.zeros((y[a:b].max() + 1, x[a:b].max() + 1, c[a:b].max() + 1), np.uint8)
+            image[y[a:b], x[a:b], c[a:b]] = v[a:b]
+            files_.append(encode_png(image))
+        return pa.RecordBatch.from_arrays([name.take(pa.array(cuts[:-1])), pa.array(files_, pa.binary())], names=["path", "content"])
+
+    def changes(name: pa.Array) -> np.ndarray:
+        """Where a row's name is another than that before, from the second row on."""
+        return pc.fill_null(pc.not_equal(name[1:], name[:-1]), True).to_numpy(zero_copy_only=False) if name.null_count == 0 else np.array([a != b for a, b in zip(name[1:].to_pylist(), name[:-1].to_pylist())], bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last image may go on in the next batch.
+            name = batch.column(0)
+            new = np.flatnonzero(changes(name)) + 1
+            if held and held[-1].column(0)[-1].as_py() != name[0].as_py():
+                yield images(pa.Table.from_batches(held))
+                held = []
+            if len(new):
+                yield images(pa.Table.from_batches([*held, batch.slice(0, int(new[-1]))]))
+                held = [batch.slice(int(new[-1]))]
+            else:
+                held.append(batch)
+        if held:
+            yield images(pa.Table.from_batches(held))
+
+    return pixels_.select("img", "x", "y", "c", "v").repartition("img").sortWithinPartitions("img").mapInArrow(run, "path string, content binary")
 
 
 def side_by_side(left: DataFrame, right: DataFrame, width: int, gutter: int = 12) -> DataFrame:
@@ -100,9 +152,13 @@ def side_by_side(left: DataFrame, right: DataFrame, width: int, gutter: int = 12
 
 
 def heat(left: DataFrame, right: DataFrame) -> DataFrame:
-    """How far apart two images of one name are, pixel by pixel."""
+    """How far apart two images of one name are, pixel by pixel; a pixel that one lacks is left out."""
     keys = ["img", "x", "y", "c"]
-    return left.join(right.withColumnRenamed("v", "other"), keys).select(*keys, F.abs(F.col("v") - F.col("other")).alias("v"))
+    one = left.select(*keys, F.col("v").alias("a"), F.lit(None).cast("int").alias("b"))
+    two = right.select(*keys, F.lit(None).cast("int").alias("a"), F.col("v").alias("b"))
+    # Dealt by image, so that what follows finds an image's rows in one task.
+    both = one.unionByName(two).repartition("img").groupBy(*keys).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return both.where("a IS NOT NULL AND b IS NOT NULL").select(*keys, F.abs(F.col("a") - F.col("b")).alias("v"))
 
 
 def flipped(frame: DataFrame, height: int) -> DataFrame:

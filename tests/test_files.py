@@ -59,3 +59,26 @@ def test_stored_precision(spark):
 def test_unknown_query_lists_known_ones():
     with pytest.raises(KeyError, match="q_quadtree"):
         registry.find("q_nothing")
+
+
+def test_images_of_many_sizes_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(files, "BATCH_PIXELS", 50)
+    rng = np.random.default_rng(9)
+    images = {f"i{k}": rng.integers(0, 256, (int(rng.integers(1, 30)), int(rng.integers(1, 30)), (1, 3)[k % 2]), dtype=np.uint8) for k in range(60)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = spark.createDataFrame([(f"a/{n}", bytearray(files.encode_png(i))) for n, i in images.items()], "path string, content binary")
+        again = files.png_files(files.decoded(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(again) == 60 and all((files.decode_png(bytes(r.content)) == images[r.path]).all() for r in again)
+
+
+def test_images_need_no_join_and_no_call_by_image(spark):
+    """Seconds grew by some milliseconds an image, and pixels were sorted for a join."""
+    image = files.decoded(spark.createDataFrame([("a", bytearray(b"P5 2 1 255\n" + bytes([3, 9])))], "path string, content binary"))
+    far = files.heat(image, image.withColumn("x", 1 - F.col("x")).where("x = 0"))
+    assert [tuple(r) for r in far.collect()] == [("a", 0, 0, 0, 6)]
+    plan = files.png_files(far)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroups" not in plan
