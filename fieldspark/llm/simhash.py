@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, map_blocks, slices, written
+from .common import BLOCK_BYTES, discard, lookup, map_blocks, slices, written
 from .graph import components, unite
 
 RADIUS = 3
@@ -447,11 +447,49 @@ def cross_pairs(key: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.
         at = end
 
 
+def folded(odd: np.ndarray, bits: int) -> np.ndarray:
+    """Parities in fewer bits: the halves' add up to those of half as many."""
+    while odd.shape[1] * 64 > bits:
+        odd = odd[:, : odd.shape[1] // 2] ^ odd[:, odd.shape[1] // 2 :]
+    return odd
+
+
+class Odd:
+    """Parities of texts of many sizes, by their width."""
+
+    def __init__(self, binary: list[bytes], size: np.ndarray):
+        width = np.array([8 * len(x) for x in binary], np.int64)
+        self.width, self.size, self.rows = width, size, {}
+        for bits in np.unique(width).tolist():
+            # Texts of twice the width may meet these, too.
+            own, wide = np.flatnonzero(width == bits), np.flatnonzero(width == 2 * bits)
+            read = lambda some: np.frombuffer(b"".join([binary[k] for k in some]), np.uint64)
+            odd = np.concatenate([read(own).reshape(len(own), -1), folded(read(wide).reshape(len(wide), bits // 32), bits)])
+            place = np.zeros(len(width), np.int64)
+            place[own], place[wide] = np.arange(len(own)), np.arange(len(wide)) + len(own)
+            self.rows[bits] = odd, place
+
+    def near(self, a: np.ndarray, b: np.ndarray, similar: float) -> np.ndarray:
+        """Which pairs may have the similarity; their sizes allow it, so that widths differ by a factor of two at most."""
+        keep = np.zeros(len(a), bool)
+        bits = np.minimum(self.width[a], self.width[b])
+        for n in np.unique(bits).tolist():
+            odd, place = self.rows[n]
+            some = np.flatnonzero(bits == n)
+            for at in range(0, len(some), MET * 64 // n):
+                k = some[at : at + MET * 64 // n]
+                apart = np.bitwise_count(odd[place[a[k]]] ^ odd[place[b[k]]]).sum(1, dtype=np.int64)
+                keep[k] = apart <= most_apart(self.size[a[k]], self.size[b[k]], similar)
+        return keep
+
+
 def missed(texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """(node, other): every pair of different `grp` that may have the similarity; texts has `node`, `text` and `grp`.
+    """(grp, other): forests of the groups that have a pair of texts which may have the similarity; texts has `node`, `text` and `grp`.
 
     Nothing here goes by chance: prefixes in one order of all shingles meet,
-    and pairs whose parities differ in too many bits go.
+    and pairs whose parities differ in too many bits go. No table has a row for
+    each pair: the rows of prefixes that meet another group's are kept, get
+    their texts' parities, and meet again.
     """
     spark = texts.sparkSession
 
@@ -498,54 +536,75 @@ def missed(texts: DataFrame, width: int, similar: float) -> DataFrame:
     key, n = counted(order, BLOCK)
     by_key = np.argsort(key)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sorted_rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+        """The rows of a partition by key and group; keys of one text alone have no pair."""
         held = [b for b in batches if b.num_rows]
         if not held:
-            return
+            return None
         table = pa.Table.from_batches(held)
-        del held
-        key, node, grp, size, place = (table.column(c).to_numpy() for c in ("key", "node", "grp", "size", "place"))
-        # Keys of one text alone have no pair.
+        key, grp = (table.column(c).to_numpy() for c in ("key", "grp"))
         order = np.lexsort((grp, key))
         same = key[order][1:] == key[order][:-1]
-        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) > 1 else order[:0]
-        node = node[order]
-        for a, b in cross_pairs(key[order], grp[order], size[order], place[order], similar):
-            met = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(met[:, 0].copy()), pa.array(met[:, 1].copy())], names=["node", "other"])
+        return table.take(pa.array(order[np.r_[False, same] | np.r_[same, False]] if len(order) > 1 else order[:0]))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sorted_rows(batches)
+        if table is None:
+            return
+        some = np.zeros(table.num_rows, bool)
+        for a, b in cross_pairs(*(table.column(c).to_numpy() for c in ("key", "grp", "size", "place")), similar):
+            some[a] = some[b] = True
+        yield from table.select(["key", "node", "place"]).filter(pa.array(some)).combine_chunks().to_batches()
 
     dealt = prefixes(order, (key[by_key], -(-n[by_key] // BLOCK)))
     signed = written(dealt, "prefixes")
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() // PARTITION_ROWS))
-    pairs = written(signed.repartition(wanted, "key").mapInArrow(find, "node long, other long").distinct(), "met")
-    discard(signed)
 
-    def marked(batch: pa.RecordBatch) -> list:
-        sets = [np.unique(shingle_hashes(t or b"", width)) for t in batch.column(1).to_pylist()]
-        size = [len(x) for x in sets]
-        return [batch.column(0), np.array(size, np.int64), [parities([x], parity_bits(n))[0].tobytes() for x, n in zip(sets, size)]]
+    def by_key_of(table: DataFrame) -> DataFrame:
+        return table.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // PARTITION_ROWS)), "key")
 
-    asked = texts.join(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "node", "left_semi")
-    odd = written(map_blocks(asked.select("node", "text"), 1, "node long, size long, odd binary", marked), "parities")
+    live = written(by_key_of(signed).mapInArrow(met, "key long, node long, place int"), "met")
+    discard(signed)
+    asked = texts.join(live.groupBy("node").agg(F.collect_list(F.struct("key", "place")).alias("keys")), "node").select("node", "text", "grp", "keys")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sizes, others = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            limit = most_apart(sizes, others, similar)
-            for k, (a, b) in enumerate(zip(batch.column(3), batch.column(5))):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                # The wider one is folded: its halves' parities add up to those of half as many bits.
-                while len(a) != len(b):
-                    if len(a) > len(b):
-                        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-                    else:
-                        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                keep[k] = np.bitwise_count(a ^ b).sum() <= limit[k]
-            yield batch.select(["node", "other"]).filter(pa.array(keep))
-
-    both = pairs.join(odd, "node").join(odd.select(F.col("node").alias("other"), F.col("size").alias("size2"), F.col("odd").alias("odd2")), "other")
-    return written(both.select("node", "other", "size", "odd", "size2", "odd2").mapInArrow(near, "node long, other long"), "missed")
+            held, total = [], 0
+            for node, text, grp, keys in zip(*(batch.column(c) for c in range(4))):
+                own = np.unique(shingle_hashes(text.as_py() or b"", width))
+                odd = parities([own], parity_bits(len(own)))[0].tobytes()
+                step = max(1, BLOCK_BYTES // len(odd))
+                for at in range(0, len(keys.values), step):
+                    part = keys.values.slice(at, step)
+                    n = len(part)
+                    held.append(pa.RecordBatch.from_arrays([part.field("key"), pa.array(np.full(n, grp.as_py())), pa.array(np.full(n, len(own), np.int32)), part.field("place"), pa.array([odd] * n, pa.binary())], names=["key", "grp", "size", "place", "odd"]))
+                    total += n * len(odd)
+                    if total >= BLOCK_BYTES:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, total = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            pa.default_memory_pool().release_unused()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sorted_rows(batches)
+        if table is None:
+            return
+        key, grp, size, place = (table.column(c).to_numpy() for c in ("key", "grp", "size", "place"))
+        odd = Odd(table.column("odd").to_pylist(), size)
+        groups, own = np.unique(grp, return_inverse=True)
+        parent = np.arange(len(groups))
+        for a, b in cross_pairs(key, grp, size, place, similar):
+            apart = parent[own[a]] != parent[own[b]]
+            a, b = a[apart], b[apart]
+            keep = odd.near(a, b, similar)
+            unite(parent, own[a[keep]], own[b[keep]])
+        tied = np.flatnonzero(parent != np.arange(len(groups)))
+        yield pa.RecordBatch.from_arrays([pa.array(groups[tied]), pa.array(groups[parent[tied]])], names=["grp", "other"])
+
+    signed = written(asked.mapInArrow(marked, "key long, grp long, size int, place int, odd binary"), "parities")
+    found = written(by_key_of(signed).mapInArrow(near, "grp long, other long").distinct(), "missed")
+    discard(live, signed)
+    return found
 
 
 def _grouped(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -620,12 +679,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = SIMILAR, id
     proposed = written(proposed, "proposed")
     # What the signatures have missed.
     texts = docs.select(F.col(row_column).alias("node"), F.col(text_column).cast("binary").alias("text"))
-    whole = classes.select("node").join(proposed, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
-    held = written(texts.join(whole, "node"), "texts")
+    whole = classes.select("node", "shingles").join(proposed, "node", "left").select("node", "shingles", F.coalesce("component", "node").alias("grp"), F.col("component").isNotNull().alias("linked"))
+    whole = written(whole, "grouped")
+    held = written(texts.join(whole.select("node", "grp"), "node"), "texts")
     more = missed(held, width, similar)
     discard(held)
-    loose = components(proposed.select("node", F.col("component").alias("other")).where("node != other").unionByName(more))
-    loose = written(loose.withColumnRenamed("component", "loose").join(classes.select("node", "shingles"), "node"), "candidates")
+    loose = whole.withColumnRenamed("grp", "loose")
+    if not more.isEmpty():
+        # Groups are joined as such, so that their members are not gone through again.
+        sizes = whole.groupBy("grp").agg(F.count("*").alias("members"))
+        up = written(components(more).select(F.col("node").alias("grp"), F.col("component").alias("up")).join(sizes, "grp"), "joined-groups")
+        loose = lookup(whole, up, "grp", "members").select("node", "shingles", F.coalesce("up", "grp").alias("loose"), (F.col("linked") | F.col("up").isNotNull()).alias("linked"))
+    loose = written(loose.where("linked").drop("linked"), "candidates")
     wide = loose.groupBy("loose").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / SETS, F.sum("shingles") / SHINGLES)).cast("int").alias("pieces"))
     wide = written(wide, "candidate-groups")
     members = written(lookup(loose.select("node", "loose"), wide, "loose", "members").withColumn("piece", F.pmod(F.xxhash64("node"), F.greatest("pieces", F.lit(1))).cast("int")), "members")

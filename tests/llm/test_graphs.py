@@ -368,3 +368,21 @@ def test_similar_groups_lose_no_link_that_signatures_miss(spark, common, block,
     assert 20 < len(np.unique(parent)) < len(texts) - 20
     docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, row long")
     assert {r.doc_id: r.representative for r in simhash.similar_groups(docs).collect()} == dict(enumerate(parent.tolist()))
+
+
+def test_missed_makes_no_row_for_each_pair(spark, monkeypatch):
+    # A shingle with a small hash is in all prefixes; the texts share nothing else.
+    shared = min((f"c{k} c c c c" for k in range(2000)), key=lambda t: int(simhash.shingle_hashes(t.encode(), 5)[0]))
+    texts = [f"{shared} " + " ".join(f"w{n}x{k}" for k in range(20)) for n in range(150)]
+    sizes, written = {}, simhash.written
+
+    def counted(df, label):
+        found = written(df, label)
+        sizes[label] = found.count()
+        return found
+
+    monkeypatch.setattr(simhash, "written", counted)
+    docs = spark.createDataFrame([(k, t.encode(), k) for k, t in enumerate(texts)], "node long, text binary, grp long")
+    assert simhash.missed(docs, 5, 0.8).isEmpty()
+    assert sizes["met"] >= len(texts)
+    assert max(sizes.values()) <= sizes["prefixes"] < 10 * len(texts)
