@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,35 @@ def _least(edges: DataFrame, key: str, other: str) -> DataFrame:
     return lookup(edges, least, key, "n")
 
 
+#: Edges that are joined on the driver (16 bytes each), where rounds of jobs would take longer.
+FEW = 100_000
+
+
+def _few(links: DataFrame) -> DataFrame:
+    """The components of FEW edges between longs, or fewer."""
+    found = links.toArrow()
+    ends = np.concatenate([found.column(c).to_numpy() for c in ("u", "v")])
+    nodes, place = np.unique(ends, return_inverse=True)
+    parent = np.arange(len(nodes))
+    unite(parent, place[: len(place) // 2], place[len(place) // 2 :])
+    if not len(nodes):
+        return links.sparkSession.createDataFrame([], "node long, component long")
+    return written(links.sparkSession.createDataFrame(pa.table({"node": nodes, "component": nodes[parent]})), "few")
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component) of every node with an edge: component is the smallest node it reaches.
 
-    Alternates large stars and small stars until only stars remain. Every round
+    FEW edges or fewer between longs are joined on the driver. For more, it
+    alternates large stars and small stars until only stars remain. Every round
     is a written table, so lost executors cost a round at most; no neighbour
     list is ever gathered. Self edges, repeated edges and nulls don't matter.
     """
     a, b = edges.columns[:2]
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     links = written(links.distinct(), "links")
+    if [t for _, t in links.dtypes] == ["bigint", "bigint"] and links.count() <= FEW:
+        return _few(links)
     for _ in range(rounds):
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, "u", "v").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -54,8 +75,6 @@ def roots(parent, nodes=None):
 
 def unite(parent, a, b) -> None:
     """Joins the trees of a[i] and b[i] in a flat numpy parent array, which stays flat."""
-    import numpy as np
-
     while len(a):
         x, y = parent[a], parent[b]
         apart = x != y

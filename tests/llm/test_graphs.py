@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldspark.llm import aq, linkgraph, neargraph, simhash
+from fieldspark.llm import aq, graph, linkgraph, neargraph, simhash
 from fieldspark.llm.graph import components, unite
 from fieldspark.llm.registered import RULES
 
@@ -386,3 +386,13 @@ def test_missed_makes_no_row_for_each_pair(spark, monkeypatch):
     assert simhash.missed(docs, 5, 0.8).isEmpty()
     assert sizes["met"] >= len(texts)
     assert max(sizes.values()) <= sizes["prefixes"] < 10 * len(texts)
+
+
+def test_components_of_few_edges_equal_those_of_many(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (250, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7), (None, 3), (3, None)]
+    edges = spark.createDataFrame(edges, "a long, b long")
+    few = components(edges)
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert sorted(few.collect()) == sorted(components(edges).collect())
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
