@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import base64
 import copy
+import itertools
 import math
 from collections.abc import Callable
 
@@ -181,6 +182,14 @@ def transitions(counts: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     return counts.select("word", "n").mapInArrow(run, "before int, id int, n long").groupBy("before", "id").agg(F.sum("n").alias("n"))
 
 
+def powers(scores: np.ndarray, most: float = 60) -> float:
+    """Takes scores to their powers of e in place; greater ones than `most`, which it returns, count as that."""
+    if scores.size and scores.max() > most:
+        np.minimum(scores, most, out=scores)
+    np.exp(scores, out=scores)
+    return most
+
+
 class Attention:
     """One block of single-head causal attention with a residual, and class scores."""
 
@@ -196,82 +205,92 @@ class Attention:
         self.seen = np.tril(np.ones((window, window), np.float32))
         self.settle()
 
-    def settle(self) -> None:
-        """Prepares what scoring uses: one product for queries, keys and values."""
-        d = self.query.shape[0]
-        self.joint = np.concatenate([self.query / math.sqrt(d), self.key, self.value], 1)
+    def folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """What turns a vector into its query for vectors as they are, and what mixed vectors as they are add to one: fewer products than by keys and values."""
+        return (self.query @ self.key.T) * np.float32(1 / math.sqrt(self.query.shape[0])), self.value @ self.out
 
-    def log_probs(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each position's target class."""
+    def settle(self) -> None:
+        """Prepares what scoring uses: one product of a vector, what was mixed for it, and 1 gives the scores."""
+        self.near, far = self.folded()
+        self.head = np.concatenate([self.score, far @ self.score, self.bias[None]])
+
+    def vectors(self, x: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of all positions, and of those from `skip` on in each window, one after another."""
+        h = self.embed.take(x, axis=0)
+        h += self.place
+        return h, h[:, skip:].reshape(-1, h.shape[2])
+
+    def attended(self, h: np.ndarray, queries: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each position's weights of those up to it, and their sums."""
+        a = queries.reshape(len(h), -1, h.shape[2]) @ h.transpose(0, 2, 1)
+        powers(a)
+        a *= self.seen[skip:]
+        return a, a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], np.float32)
+
+    def log_probs(self, x: np.ndarray, target: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Natural log probability of the target class of each position from `skip` on in each window."""
         d = self.query.shape[0]
-        flat = (self.embed[x] + self.place).reshape(-1, d)
-        both = (flat @ self.joint).reshape(*x.shape, 3 * d)
-        a = both[:, :, :d] @ both[:, :, d : 2 * d].transpose(0, 2, 1)
-        if a.max() > 60:
-            np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        a *= self.seen
-        # A column of ones beside the values gives the sum of the weights.
-        mixed = (a @ np.concatenate([both[:, :, 2 * d :], np.ones((*x.shape, 1), np.float32)], 2)).reshape(-1, d + 1)
-        scores = (flat + (mixed[:, :d] / mixed[:, d:]) @ self.out) @ self.score
-        scores += self.bias
-        if scores.max() > 60:
-            np.minimum(scores, 60, out=scores)
+        h, own = self.vectors(x, skip)
+        a, total = self.attended(h, own @ self.near, skip)
+        both = np.ones((len(own), 2 * d + 1), np.float32)
+        both[:, :d] = own
+        np.divide((a @ h).reshape(-1, d), total[:, None], out=both[:, d : 2 * d])
+        scores = both @ self.head
         own = scores[np.arange(len(scores)), target.ravel()]
-        np.exp(scores, out=scores)
-        return (own - np.log(scores @ np.ones(scores.shape[1], np.float32))).reshape(x.shape)
+        most = powers(scores)
+        return (np.minimum(own, most) - np.log(scores @ np.ones(scores.shape[1], np.float32))).reshape(target.shape)
 
     def gradients(self, x: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the real positions and its gradients."""
         logs, g = self.passes(x, target, real)
         return float(-logs[real].mean()), g
 
-    def passes(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, vectors: bool = True) -> tuple[np.ndarray, dict]:
-        """Natural log probability of each position's class, and the gradients of the mean loss over the real ones.
+    def passes(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, vectors: bool = True, skip: int = 0) -> tuple[np.ndarray, dict]:
+        """Natural log probability of the class of each position from `skip` on, and the gradients of the mean loss over the real ones.
 
         Those of the vectors, if wanted, come as (rows, values).
         """
-        d, scale = self.query.shape[0], np.float32(1 / math.sqrt(self.query.shape[0]))
-        joint = np.concatenate([self.query * scale, self.key, self.value], 1)
-        shape = (*x.shape, d)
-        flat = (self.embed[x] + self.place).reshape(-1, d)
-        both = (flat @ joint).reshape(*x.shape, 3 * d)
-        q, k, v = (np.ascontiguousarray(both[:, :, n * d : (n + 1) * d]) for n in range(3))
-        a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        a *= self.seen
-        a /= a.sum(2, keepdims=True)
-        mixed = (a @ v).reshape(-1, d)
-        top = flat + mixed @ self.out
-        p = top @ self.score
-        p += self.bias
-        np.minimum(p, 60, out=p)
+        d, width = self.query.shape[0], x.shape[1]
+        near, far = self.folded()
+        h, own = self.vectors(x, skip)
+        q = own @ near
+        a, total = self.attended(h, q, skip)
+        flat = a.reshape(-1, width)
+        flat *= (1 / total)[:, None]
+        mixed = (a @ h).reshape(-1, d)
+        top = np.ones((len(own), d + 1), np.float32)
+        np.add(own, mixed @ far, out=top[:, :d])
+        p = top @ np.concatenate([self.score, self.bias[None]])
         rows, wanted, weight = np.arange(len(p)), target.ravel(), real.ravel().astype(np.float32) / np.float32(max(1, real.sum()))
-        own = p[rows, wanted]
-        np.exp(p, out=p)
+        mine = p[rows, wanted]
+        mine = np.minimum(mine, powers(p))
         total = p @ np.ones(p.shape[1], np.float32)
         p *= (weight / total)[:, None]
         p[rows, wanted] -= weight
-        g = {"score": top.T @ p, "bias": p.sum(0)}
+        g_top = top.T @ p
+        g = {"score": g_top[:d], "bias": g_top[d]}
         d_top = p @ self.score.T
-        g["out"] = mixed.T @ d_top
-        d_mixed = (d_top @ self.out.T).reshape(shape)
-        d_s = d_mixed @ v.transpose(0, 2, 1)
+        d_mixed, g_far = d_top @ far.T, mixed.T @ d_top
+        d_s = d_mixed.reshape(len(x), -1, d) @ h.transpose(0, 2, 1)
         # A row of weights times its gradients sums up to what it mixes times the gradients of that.
-        d_s -= (d_mixed.reshape(-1, d) * mixed).sum(1).reshape(*x.shape, 1)
+        d_s -= np.einsum("ij,ij->i", d_mixed, mixed).reshape(len(x), -1, 1)
         d_s *= a
-        d_both = np.concatenate([d_s @ k, d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_mixed], 2).reshape(-1, 3 * d)
-        g_joint = flat.T @ d_both
-        g["query"], g["key"], g["value"] = g_joint[:, :d] * scale, g_joint[:, d : 2 * d], g_joint[:, 2 * d :]
-        d_top += d_both @ joint.T
-        g["place"] = d_top.reshape(shape).sum(0)
+        d_q = (d_s @ h).reshape(-1, d)
+        g_near = (own.T @ d_q) * np.float32(1 / math.sqrt(d))
+        g["query"], g["key"], g["value"], g["out"] = g_near @ self.key, g_near.T @ self.query, g_far @ self.out.T, self.value.T @ g_far
         if vectors:
+            d_h = d_s.transpose(0, 2, 1) @ q.reshape(len(x), -1, d) + a.transpose(0, 2, 1) @ d_mixed.reshape(len(x), -1, d)
+            d_h[:, skip:] += (d_top + d_q @ near.T).reshape(len(x), -1, d)
+            g["place"] = d_h.sum(0)
             rows, at = np.unique(x.ravel(), return_inverse=True)
             sums = np.zeros((len(rows), d), np.float32)
-            np.add.at(sums, at, d_top)
+            np.add.at(sums, at, d_h.reshape(-1, d))
             g["embed"] = rows, sums
-        return (own - np.log(total)).reshape(x.shape), g
+        else:
+            # Only sums over the windows are needed: single products instead of one for each window.
+            g["place"] = d_s.reshape(-1, width).T @ q + flat.T @ d_mixed
+            g["place"][skip:] += d_top.reshape(len(x), -1, d).sum(0) + d_q.reshape(len(x), -1, d).sum(0) @ near.T
+        return (mine - np.log(total)).reshape(target.shape), g
 
     def train(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, rng: np.random.Generator, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01) -> list[float]:
         """Adam with a falling rate; returns the losses."""
@@ -301,18 +320,24 @@ class Adam:
 
     def __init__(self, net: Attention, names: tuple[str, ...] = Attention.NAMES):
         self.net, self.names, self.steps = net, names, 0
-        self.first = {n: np.zeros_like(getattr(net, n)) for n in names}
-        self.second = {n: np.zeros_like(getattr(net, n)) for n in names}
+        # All weights but the vectors become parts of one array, so that a step is one update of it.
+        self.rest, at = np.frombuffer(bytearray(net.pack()), np.float32), 0
+        for n in net.NAMES[1:]:
+            own = getattr(net, n)
+            setattr(net, n, self.rest[at : at + own.size].reshape(own.shape))
+            at += own.size
+        values = {"rest": self.rest} | ({"embed": net.embed} if "embed" in names else {})
+        self.first, self.second = ({n: np.zeros_like(v) for n, v in values.items()} for _ in range(2))
 
-    def step(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, rate: float) -> np.ndarray:
+    def step(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, rate: float, skip: int = 0) -> np.ndarray:
         """Log probabilities of the classes before the step."""
-        logs, g = self.net.passes(x, target, real, "embed" in self.names)
+        logs, g = self.net.passes(x, target, real, "embed" in self.names, skip)
         self.steps += 1
-        for n in self.names:
-            at, own = g[n] if n == "embed" else (slice(None), g[n])
+        for n in self.first:
+            values, at, own = (self.net.embed, *g[n]) if n == "embed" else (self.rest, slice(None), np.concatenate([g[k].ravel() for k in self.net.NAMES[1:]]))
             first, second = 0.9 * self.first[n][at] + 0.1 * own, 0.99 * self.second[n][at] + 0.01 * own**2
             self.first[n][at], self.second[n][at] = first, second
-            getattr(self.net, n)[at] -= rate * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-8)
+            values[at] -= rate * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-8)
         return logs
 
 
@@ -324,8 +349,6 @@ def trained_further(table: WordTable, parts, rate: float) -> tuple | None:
     before the weights met the word.
     """
     model, net = table.model, copy.copy(table.model.net)
-    for n in net.NAMES[1:]:
-        setattr(net, n, getattr(net, n).copy())
     adam, seen, odds, rare = Adam(net, net.NAMES[1:]), 0, np.zeros(ODDS_BINS, np.int64), []
     for texts in parts:
         rows, sizes = table.rows(texts)
@@ -334,8 +357,8 @@ def trained_further(table: WordTable, parts, rate: float) -> tuple | None:
         before[1:] = ids[:-1]
         before[np.cumsum(lengths) - lengths] = model.end
         logs = np.zeros(len(ids), np.float32)
-        for x, target, real, place in model.window_parts(before, ids, lengths):
-            got = adam.step(x, target, real, rate)
+        for skip, x, target, real, place in model.window_parts(before, ids, lengths):
+            got = adam.step(x, target, real, rate, skip)
             logs[place[real]] = got[real]
             seen += len(x)
         by_ids = np.add.reduceat(logs, starts, dtype=np.float64) + table.static[rows]
@@ -456,8 +479,14 @@ class Model:
         counts = np.zeros((size, 2 * CONTEXTS), np.float32)
         ids, column, n = near
         counts[ids, column] = n
-        expected = counts.sum(1, keepdims=True) * (counts.sum(0, keepdims=True) / max(1.0, counts.sum(dtype=np.float64)))
-        info = np.log1p(np.divide(counts, expected, out=np.zeros_like(counts), where=expected > 0))
+        own, others = counts.sum(1, keepdims=True), counts.sum(0, keepdims=True) / max(1.0, counts.sum(dtype=np.float64))
+        # In place and by parts: the table is the largest that the driver holds.
+        for at in range(0, size, 2048):
+            part = counts[at : at + 2048]
+            expected = own[at : at + 2048] * others
+            np.divide(part, expected, out=part, where=expected > 0)
+            np.log1p(part, out=part)
+        info = counts
         basis = np.linalg.qr(info.T @ (info @ rng.standard_normal((2 * CONTEXTS, WIDTH)).astype(np.float32)))[0]
         points = info @ np.linalg.qr(info.T @ (info @ basis))[0]
         points /= np.sqrt((points**2).sum(1, keepdims=True)) + 1e-6
@@ -524,16 +553,18 @@ class Model:
         return inputs[place], self.classes[targets][place], real, place
 
     def window_parts(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, rows: int = BATCH):
-        """`window_rows` of so many windows at a time."""
-        text, first, scored = windows(lengths)
+        """`window_rows` of so many windows at a time, without what only gives context: first the windows that open a text, which skip nothing, then the others."""
+        text, first, _ = windows(lengths)
         starts, classes = np.cumsum(lengths) - lengths, self.classes[targets]
-        for at in range(0, len(text), rows):
-            t, f = text[at : at + rows], first[at : at + rows]
-            within, size = f[:, None] + np.arange(WINDOW), lengths[t][:, None]
-            place = starts[t][:, None] + np.minimum(within, size - 1)
-            yield inputs[place], classes[place], (within < size) & (within >= scored[at : at + rows][:, None]), place
-
-    def class_log_probs(self, ids: np.ndarray, lengths: np.ndarray, rows: int = 64) -> np.ndarray:
+        for skip, some in ((0, np.flatnonzero(first == 0)), (WINDOW - STRIDE, np.flatnonzero(first))):
+            for at in range(0, len(some), rows):
+                t, f = text[some[at : at + rows]], first[some[at : at + rows]]
+                within, size = f[:, None] + np.arange(WINDOW), lengths[t][:, None]
+                place = starts[t][:, None] + np.minimum(within, size - 1)
+                scored = place[:, skip:]
+                yield skip, inputs[place], classes[scored], within[:, skip:] < size, scored
+
+    def class_log_probs(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log probability of every id's class, by the ids before it in its text.
 
         Batches of 64 windows keep the arrays small enough for the allocator to
@@ -543,17 +574,12 @@ class Model:
         symbols[1:] = ids[:-1]
         symbols[np.cumsum(lengths) - lengths] = self.end
         out = np.zeros(len(ids), np.float32)
-        target = self.classes[ids]
-        text, first, scored = windows(lengths)
-        starts = np.cumsum(lengths) - lengths
-        for at in range(0, len(text), rows):
-            t, f = text[at : at + rows], first[at : at + rows]
-            within = f[:, None] + np.arange(WINDOW)
-            size = lengths[t][:, None]
-            place = starts[t][:, None] + np.minimum(within, size - 1)
-            got = self.net.log_probs(symbols[place], target[place])
-            real = (within < size) & (within >= scored[at : at + rows][:, None])
-            out[place[real]] = got[real]
+        for skip, x, target, real, place in self.window_parts(symbols, ids, lengths):
+            got = self.net.log_probs(x, target, skip)
+            if real.all():
+                out[place] = got
+            else:
+                out[place[real]] = got[real]
         return out
 
 
@@ -608,10 +634,12 @@ class WordTable:
             self.forget()
         distinct, place, sizes = block_words(texts)
         words = distinct.to_pylist()
-        new = [w for w in words if w not in self.row]
-        if new:
-            self.learn(new)
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words)).take(place), sizes
+        own = np.fromiter(map(self.row.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            own[new] = len(self.words) + np.arange(len(new))
+            self.learn([words[k] for k in new.tolist()])
+        return own.take(place), sizes
 
     def ids_of(self, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all words, where each word's begin, and how many each text has."""

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -538,6 +539,45 @@ def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     assert words == [sum(map(len, texts))]
 
 
+def test_attention_computes_only_what_is_scored():
+    """Positions that only give context get no scores; the others get the same, and the same gradients."""
+    rng = np.random.default_rng(3)
+    net = attention.Attention(0.3 * rng.standard_normal((40, 8)), 5, rng, 16)
+    x, target = rng.integers(0, 40, (7, 16)), rng.integers(0, 5, (7, 16))
+    assert np.allclose(net.log_probs(x, target[:, 6:], skip=6), net.log_probs(x, target)[:, 6:], atol=1e-5)
+    real = np.broadcast_to(np.arange(16) >= 6, x.shape)
+    logs, want = net.passes(x, target, real)
+    for vectors in (True, False):
+        some, got = net.passes(x, target[:, 6:], real[:, 6:], vectors, skip=6)
+        assert np.allclose(some, logs[:, 6:], atol=1e-5)
+        assert all(np.allclose(got[n], want[n], atol=1e-5) for n in net.NAMES[1:])
+        assert not vectors or np.allclose(got["embed"][1], want["embed"][1], atol=1e-5)
+
+
+def test_attention_window_parts_score_each_position_once():
+    model = attention.Model.__new__(attention.Model)
+    model.classes = np.arange(500, dtype=np.int32)
+    lengths = np.array([1, 5, 32, 33, 200, 58])
+    ids, scored, rows = np.arange(lengths.sum()), [], 0
+    for skip, x, target, real, place in model.window_parts(ids, ids, lengths, rows=3):
+        assert x.shape == (len(place), attention.WINDOW) and target.shape == real.shape == place.shape
+        assert np.array_equal(target, place) and np.array_equal(x[:, skip:], place)
+        scored += place[real].tolist()
+        rows += place.size
+    assert sorted(scored) == ids.tolist()
+    assert rows < attention.WINDOW * len(attention.windows(lengths)[0])
+
+
+def test_attention_classes_hold_one_table_on_the_driver():
+    rng, size = np.random.default_rng(4), 50_000
+    near = rng.integers(0, size, 100_000), rng.integers(0, 2 * attention.CONTEXTS, 100_000), rng.integers(1, 9, 100_000)
+    tracemalloc.start()
+    attention.Model._classes(rng.integers(0, 9, size).astype(float), near, rng)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * size * 2 * attention.CONTEXTS
+
+
 def test_mixture_of_a_histogram():
     rng = np.random.default_rng(8)
     odds, mix = rng.normal(0.3, 2.0, 50_000), 0.5
