@@ -245,8 +245,8 @@ class Attention:
         logs, g = self.passes(x, target, real)
         return float(-logs[real].mean()), g
 
-    def passes(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, vectors: bool = True, skip: int = 0) -> tuple[np.ndarray, dict]:
-        """Natural log probability of the class of each position from `skip` on, and the gradients of the mean loss over the real ones.
+    def passes(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, vectors: bool = True, skip: int = 0, count: int = 0) -> tuple[np.ndarray, dict]:
+        """Natural log probability of the class of each position from `skip` on, and the gradients of the mean loss over the real ones, or of their part in the mean of `count`.
 
         Those of the vectors, if wanted, come as (rows, values).
         """
@@ -261,7 +261,7 @@ class Attention:
         top = np.ones((len(own), d + 1), np.float32)
         np.add(own, mixed @ far, out=top[:, :d])
         p = top @ np.concatenate([self.score, self.bias[None]])
-        rows, wanted, weight = np.arange(len(p)), target.ravel(), real.ravel().astype(np.float32) / np.float32(max(1, real.sum()))
+        rows, wanted, weight = np.arange(len(p)), target.ravel(), real.ravel().astype(np.float32) / np.float32(max(1, count or real.sum()))
         mine = p[rows, wanted]
         mine = np.minimum(mine, powers(p))
         total = p @ np.ones(p.shape[1], np.float32)
@@ -297,8 +297,8 @@ class Attention:
         adam, losses = Adam(self), []
         for step in range(steps):
             some = rng.integers(0, len(x), batch)
-            logs = adam.step(x[some], target[some], real[some], rate * (1 - step / steps))
-            losses.append(float(-logs[real[some]].mean()))
+            logs = adam.step([(0, x[some], target[some], real[some])], rate * (1 - step / steps))
+            losses.append(float(-logs[0][real[some]].mean()))
         self.settle()
         return losses
 
@@ -329,9 +329,11 @@ class Adam:
         values = {"rest": self.rest} | ({"embed": net.embed} if "embed" in names else {})
         self.first, self.second = ({n: np.zeros_like(v) for n, v in values.items()} for _ in range(2))
 
-    def step(self, x: np.ndarray, target: np.ndarray, real: np.ndarray, rate: float, skip: int = 0) -> np.ndarray:
-        """Log probabilities of the classes before the step."""
-        logs, g = self.net.passes(x, target, real, "embed" in self.names, skip)
+    def step(self, parts: list[tuple], rate: float) -> list[np.ndarray]:
+        """Log probabilities of the classes before the step, by parts of (skip, symbols, target classes, which are real); vectors only move by a single part."""
+        count = sum(int(real.sum()) for *_, real in parts)
+        logs, found = zip(*(self.net.passes(x, target, real, "embed" in self.names, skip, count) for skip, x, target, real in parts))
+        g = found[0] if len(found) == 1 else {n: sum(own[n] for own in found) for n in self.net.NAMES[1:]}
         self.steps += 1
         for n in self.first:
             values, at, own = (self.net.embed, *g[n]) if n == "embed" else (self.rest, slice(None), np.concatenate([g[k].ravel() for k in self.net.NAMES[1:]]))
@@ -357,10 +359,10 @@ def trained_further(table: WordTable, parts, rate: float) -> tuple | None:
         before[1:] = ids[:-1]
         before[np.cumsum(lengths) - lengths] = model.end
         logs = np.zeros(len(ids), np.float32)
-        for skip, x, target, real, place in model.window_parts(before, ids, lengths):
-            got = adam.step(x, target, real, rate, skip)
-            logs[place[real]] = got[real]
-            seen += len(x)
+        for step in model.window_parts(before, ids, lengths, mixed=True):
+            for (*_, real, place), got in zip(step, adam.step([own[:-1] for own in step], rate)):
+                logs[place[real]] = got[real]
+                seen += len(real)
         by_ids = np.add.reduceat(logs, starts, dtype=np.float64) + table.static[rows]
         heavy = ~np.isnan(table.base[rows])
         odds += np.bincount(odds_place(by_ids[heavy] - table.share[rows[heavy]]), minlength=ODDS_BINS)
@@ -552,17 +554,27 @@ class Model:
         place = starts[text][:, None] + np.minimum(within, lengths[text][:, None] - 1)
         return inputs[place], self.classes[targets][place], real, place
 
-    def window_parts(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, rows: int = BATCH):
-        """`window_rows` of so many windows at a time, without what only gives context: first the windows that open a text, which skip nothing, then the others."""
+    def window_parts(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, rows: int = BATCH, mixed: bool = False):
+        """`window_rows` of so many windows at a time, without what only gives context, as a list of one part or two.
+
+        Windows that open a text skip nothing, the others what the overlap leaves.
+        Mixed, they come in their order; otherwise each kind comes by itself.
+        """
         text, first, _ = windows(lengths)
-        starts, classes = np.cumsum(lengths) - lengths, self.classes[targets]
-        for skip, some in ((0, np.flatnonzero(first == 0)), (WINDOW - STRIDE, np.flatnonzero(first))):
-            for at in range(0, len(some), rows):
-                t, f = text[some[at : at + rows]], first[some[at : at + rows]]
-                within, size = f[:, None] + np.arange(WINDOW), lengths[t][:, None]
-                place = starts[t][:, None] + np.minimum(within, size - 1)
-                scored = place[:, skip:]
-                yield skip, inputs[place], classes[scored], within[:, skip:] < size, scored
+        starts, classes, opens = np.cumsum(lengths) - lengths, self.classes[targets], first == 0
+
+        def part(skip: int, some: np.ndarray) -> tuple:
+            t, f = text[some], first[some]
+            within, size = f[:, None] + np.arange(WINDOW), lengths[t][:, None]
+            place = starts[t][:, None] + np.minimum(within, size - 1)
+            scored = place[:, skip:]
+            return skip, inputs[place], classes[scored], within[:, skip:] < size, scored
+
+        for own in [np.arange(len(text))] if mixed else [np.flatnonzero(opens), np.flatnonzero(~opens)]:
+            for at in range(0, len(own), rows):
+                some = own[at : at + rows]
+                kinds = (0, some[opens[some]]), (WINDOW - STRIDE, some[~opens[some]])
+                yield [part(skip, kind) for skip, kind in kinds if len(kind)]
 
     def class_log_probs(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log probability of every id's class, by the ids before it in its text.
@@ -574,7 +586,7 @@ class Model:
         symbols[1:] = ids[:-1]
         symbols[np.cumsum(lengths) - lengths] = self.end
         out = np.zeros(len(ids), np.float32)
-        for skip, x, target, real, place in self.window_parts(symbols, ids, lengths):
+        for [(skip, x, target, real, place)] in self.window_parts(symbols, ids, lengths):
             got = self.net.log_probs(x, target, skip)
             if real.all():
                 out[place] = got

@@ -552,14 +552,17 @@ def test_attention_computes_only_what_is_scored():
         assert np.allclose(some, logs[:, 6:], atol=1e-5)
         assert all(np.allclose(got[n], want[n], atol=1e-5) for n in net.NAMES[1:])
         assert not vectors or np.allclose(got["embed"][1], want["embed"][1], atol=1e-5)
+    halves = [net.passes(x[k], target[k, 6:], real[k, 6:], False, 6, int(real.sum()))[1] for k in (slice(3), slice(3, 7))]
+    assert all(np.allclose(halves[0][n] + halves[1][n], want[n], atol=1e-5) for n in net.NAMES[1:])
 
 
-def test_attention_window_parts_score_each_position_once():
+@pytest.mark.parametrize("mixed", [False, True])
+def test_attention_window_parts_score_each_position_once(mixed):
     model = attention.Model.__new__(attention.Model)
     model.classes = np.arange(500, dtype=np.int32)
     lengths = np.array([1, 5, 32, 33, 200, 58])
     ids, scored, rows = np.arange(lengths.sum()), [], 0
-    for skip, x, target, real, place in model.window_parts(ids, ids, lengths, rows=3):
+    for skip, x, target, real, place in itertools.chain.from_iterable(model.window_parts(ids, ids, lengths, 3, mixed)):
         assert x.shape == (len(place), attention.WINDOW) and target.shape == real.shape == place.shape
         assert np.array_equal(target, place) and np.array_equal(x[:, skip:], place)
         scored += place[real].tolist()
